@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Estimator, Model, Pipeline, Transformer
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import (
     OneHotEncoder,
     StandardScaler,
@@ -29,16 +29,16 @@ REL_ERROR = 0.001
 class LevelIndexer(Estimator):
     """Levels to indices by falling frequency, equal ones by name.
 
-    Fits to Spark's StringIndexerModel; a null or unseen level gets the index
-    after the last.  All columns are counted in one scan.  A column of more
-    than `max_levels` levels fails: group it first.
+    Fits to Spark's StringIndexerModel for each column; a null or unseen level
+    gets the index after the last.  All columns are counted in one scan.  A
+    column of more than `max_levels` levels fails: group it first.
     """
 
     def __init__(self, cats: Sequence[str], suffix: str = "_index", max_levels: int = MAX_LEVELS):
         super().__init__()
         self.cats, self.suffix, self.max_levels = list(cats), suffix, max_levels
 
-    def _fit(self, dataset: DataFrame) -> StringIndexerModel:
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
         counts = (
             dataset.select(*[F.col(c).cast("string").alias(c) for c in self.cats])
             .unpivot([], self.cats, "column", "level")
@@ -56,11 +56,15 @@ class LevelIndexer(Estimator):
             raise ValueError(
                 f"more than {self.max_levels} levels in {wide or self.cats}; group them first"
             )
-        return StringIndexerModel.from_arrays_of_labels(
-            [[level for _, level in sorted(found[c])] for c in self.cats],
-            inputCols=self.cats,
-            outputCols=[c + self.suffix for c in self.cats],
-            handleInvalid="keep",
+        # One model per column: PySpark pads label lists of unequal length that
+        # it passes together.
+        return PipelineModel(
+            [
+                StringIndexerModel.from_labels(
+                    [level for _, level in sorted(found[c])], c, c + self.suffix, "keep"
+                )
+                for c in self.cats
+            ]
         )
 
 
