@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.listings import clean, raw, table, with_steps
+from checks.listings import clean, derived_clean, raw, table, with_steps
 from checks.registry import query
 from tablefit import listing
 from tablefit.functions import clean as cleaners
@@ -148,7 +148,7 @@ def missing_columns(spark, sf_dir):
 
 @query(with_steps("clean", "SELECT * FROM clean"), name="clean_table")
 def whole_clean_table(spark, sf_dir):
-    return clean(spark, sf_dir)
+    return derived_clean(spark, sf_dir)
 
 
 @query(with_steps("raw", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.listings import clean, raw, table, with_steps
+from checks.listings import clean, derived_clean, raw, table, with_steps
 from checks.registry import query
 from tablefit import listing
 from tablefit.operators.summary import group_count
@@ -70,7 +70,7 @@ def source_file(spark, sf_dir):
 @query(with_steps("clean", "SELECT * FROM clean"), name="write_parquet")
 def written_table(spark, sf_dir):
     path = shared_path(spark, "write_parquet")
-    write_table(clean(spark, sf_dir), path, partitions=32)
+    write_table(derived_clean(spark, sf_dir), path, partitions=32)
     return read_table(spark, path)
 
 

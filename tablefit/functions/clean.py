@@ -63,7 +63,9 @@ def flag(df: DataFrame, name: str, true: str = "t", false: str = "f") -> Column:
 def number(df: DataFrame, name: str) -> Column:
     if not has(df, name):
         return absent("double")
-    return F.trim(column(name)).try_cast("double")
+    # Blank text is common and never a number; it is sorted out before the
+    # parser, which would have to raise and catch an error for each.
+    return string(df, name).try_cast("double")
 
 
 def date(df: DataFrame, name: str) -> Column:

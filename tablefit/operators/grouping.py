@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,7 +66,10 @@ class TopNGrouper:
             found = sorted((r.place, r.level) for r in rows
                            if r.column == group.column and r.place <= group.n)
             levels = [level for _, level in found if level is not None]
-            table = df.sparkSession.createDataFrame([(v,) for v in levels], "level string")
+            # An Arrow table becomes a local relation, of a size Spark knows.
+            table = df.sparkSession.createDataFrame(
+                pa.table({"level": pa.array(levels, pa.string())})
+            )
             tables[group.column] = (table, levels)
         return tables
 
