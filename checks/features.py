@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.listings import clean, feature_rows, with_steps
 from checks.registry import query
-from checks.summaries import HASH
+from checks.summaries import SAMPLE_PLACE, sql_place
 from tablefit import listing
 from tablefit.functions.hashing import unit_hash
 from tablefit.operators.grouping import Group, TopNGrouper, left_join_levels
@@ -96,7 +96,7 @@ def feature_table(spark, sf_dir):
 
 
 @query(with_steps("clean", f"""
-SELECT listing_id, price FROM clean WHERE {HASH.format(key='listing_id')} < 0.1::DOUBLE
+SELECT listing_id, price FROM clean WHERE {SAMPLE_PLACE} < 0.1::DOUBLE
 """))
 def hash_sample(spark, sf_dir):
     return sample(clean(spark, sf_dir), "listing_id", 0.1).select("listing_id", "price")
@@ -104,19 +104,19 @@ def hash_sample(spark, sf_dir):
 
 @query(with_steps("features", f"""
 SELECT listing_id, price, room_type FROM features
-ORDER BY {HASH.format(key='listing_id')}, listing_id LIMIT 5000
+ORDER BY {SAMPLE_PLACE}, listing_id LIMIT 5000
 """))
 def sample_rows(spark, sf_dir):
     rows = feature_rows(spark, sf_dir).select("listing_id", "price", "room_type")
     return sample_n(rows, "listing_id", 5000)
 
 
-_ORDER_HASH = HASH.format(key="o_orderkey || ':' || o_custkey").replace("42:", "7:")
+_ORDER_PLACE = sql_place("o_orderkey || ':' || o_custkey", "sample", seed=7)
 
 
 @query(f"""
 SELECT o_orderkey, o_totalprice FROM orders
-ORDER BY {_ORDER_HASH}, o_orderkey LIMIT 1000
+ORDER BY {_ORDER_PLACE}, o_orderkey LIMIT 1000
 """)
 def topk_random(spark, sf_dir):
     """A sample by a key of two columns and another seed."""
@@ -138,7 +138,7 @@ def _sides(key, group_key=None):
 def _sides_sql(key: str) -> str:
     return with_steps("clean", f"""
     SELECT listing_id, host_id, price,
-           CASE WHEN {HASH.format(key=key)} < 0.8::DOUBLE THEN 'train' ELSE 'test' END AS side
+           CASE WHEN {sql_place(key, 'split')} < 0.8::DOUBLE THEN 'train' ELSE 'test' END AS side
     FROM clean
     """)
 
@@ -148,7 +148,7 @@ query(_sides_sql("host_id"), name="group_split")(_sides("listing_id", "host_id")
 
 
 @query(f"""
-SELECT l_orderkey, l_linenumber, {HASH.format(key='l_orderkey')} AS place FROM lineitem
+SELECT l_orderkey, l_linenumber, {sql_place('l_orderkey', 'split')} AS place FROM lineitem
 """)
 def row_hash(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

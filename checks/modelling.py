@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from checks.features import SPEC, filtered
 from checks.listings import clean, feature_rows, with_steps
 from checks.registry import query
-from checks.summaries import HASH
+from checks.summaries import sql_place
 from tablefit.operators import evaluate, models, prep
 from tablefit.operators.sampling import split
 from tablefit.plans.price_model import train_and_compare
 
-TRAIN = f"{HASH.format(key='listing_id')} < 0.8::DOUBLE"
+TRAIN = f"{sql_place('listing_id', 'split')} < 0.8::DOUBLE"
 CATS = ["neighbourhood_cleansed", "cancellation_policy", "room_type"]
 
 

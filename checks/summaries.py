@@ -96,13 +96,19 @@ def target_summary(spark, sf_dir):
     )
 
 
-HASH = "('0x' || substr(md5('42:' || {key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+def sql_place(key: str, use: str, seed: int = 42) -> str:
+    """A row's place in [0, 1) for the SQL check."""
+    digest = f"md5('{use}:{seed}:' || {key})"
+    return f"('0x' || substr({digest}, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+SAMPLE_PLACE = sql_place("listing_id", "sample")
 
 
 @query(with_steps("features", f"""
 SELECT COUNT(*) AS total, {sql_round('avg(price)')} AS avg_price,
        quantile_disc(price, 0.5) AS median, min(price) AS min_price, max(price) AS max_price
-FROM (SELECT price FROM features ORDER BY {HASH.format(key='listing_id')}, listing_id LIMIT 5000)
+FROM (SELECT price FROM features ORDER BY {SAMPLE_PLACE}, listing_id LIMIT 5000)
 """))
 def sample_summary(spark, sf_dir):
     rows = sample_n(feature_rows(spark, sf_dir), "listing_id", 5000)

@@ -16,7 +16,7 @@ Key = str | Sequence[str]
 
 def sample(df: DataFrame, key: Key, fraction: float, seed: int = 42) -> DataFrame:
     """About `fraction` of the keys, with all their rows: a filter, no shuffle."""
-    return df.filter(unit_hash(key, seed) < F.lit(float(fraction)))
+    return df.filter(unit_hash(key, seed, "sample") < F.lit(float(fraction)))
 
 
 def sample_n(df: DataFrame, key: Key, n: int, seed: int = 42) -> DataFrame:
@@ -29,7 +29,7 @@ def sample_n(df: DataFrame, key: Key, n: int, seed: int = 42) -> DataFrame:
     if n <= 0:
         return df
     names = [key] if isinstance(key, str) else list(key)
-    place = unit_hash(names, seed)
+    place = unit_hash(names, seed, "sample")
     rows = df.agg(F.count(F.lit(1)).alias("n")).first().n
     if n >= rows:
         return df
@@ -59,5 +59,6 @@ def split(
 
     With `group_key` all rows of one group fall on the same side.
     """
-    train = unit_hash(group_key if group_key is not None else key, seed) < F.lit(float(ratio))
+    place = unit_hash(group_key if group_key is not None else key, seed, "split")
+    train = place < F.lit(float(ratio))
     return df.filter(train), df.filter(~train)

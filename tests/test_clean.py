@@ -1,0 +1,127 @@
+"""Cell-level rules of the cleaners, with ANSI mode on."""
+
+import datetime
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablefit import listing
+from tablefit.functions import clean
+from tablefit.plans.clean_table import clean_table
+
+DAY = datetime.date
+# input: string, category, currency, flag, number, date
+CELLS = {
+    None: (None, None, None, None, None, None),
+    "": (None, "unknown", None, None, None, None),
+    "   ": (None, "unknown", None, None, None, None),
+    " x ": ("x", "x", None, None, None, None),
+    "$1,234.50": ("$1,234.50", "$1,234.50", 1234.5, None, None, None),
+    "  $7.00 ": ("$7.00", "$7.00", 7.0, None, None, None),
+    "abc": ("abc", "abc", None, None, None, None),
+    "t": ("t", "t", None, 1.0, None, None),
+    " T ": ("T", "T", None, 1.0, None, None),
+    "F": ("F", "F", None, 0.0, None, None),
+    "true": ("true", "true", None, None, None, None),
+    "2020-01-05": ("2020-01-05", "2020-01-05", None, None, None, DAY(2020, 1, 5)),
+    "not-a-date": ("not-a-date", "not-a-date", None, None, None, None),
+    "5-7-2020": ("5-7-2020", "5-7-2020", None, None, None, None),
+    "2020-01": ("2020-01", "2020-01", None, None, None, DAY(2020, 1, 1)),
+    "1e3": ("1e3", "1e3", 1000.0, None, 1000.0, None),
+    "-$5": ("-$5", "-$5", -5.0, None, None, None),
+    "12,5": ("12,5", "12,5", 125.0, None, None, None),
+    "$": ("$", "$", None, None, None, None),
+    "(3.00)": ("(3.00)", "(3.00)", None, None, None, None),
+    " 4.5 ": ("4.5", "4.5", 4.5, None, 4.5, None),
+}
+KINDS = [clean.string, clean.category, clean.currency, clean.flag, clean.number, clean.date]
+
+
+@pytest.fixture(scope="module")
+def cells(spark):
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(CELLS)], "i int, c string")
+    cleaned = df.select("i", *[kind(df, "c").alias(kind.__name__) for kind in KINDS])
+    return {list(CELLS)[row.i]: tuple(row)[1:] for row in cleaned.collect()}
+
+
+@pytest.mark.parametrize("cell", list(CELLS), ids=repr)
+def test_cell(cells, cell):
+    assert cells[cell] == CELLS[cell]
+
+
+def test_not_a_number_is_read_as_such(spark):
+    df = spark.createDataFrame([("NaN",)], "c string")
+    row = df.select(clean.number(df, "c").alias("n"), clean.currency(df, "c").alias("m")).first()
+    assert math.isnan(row.n) and math.isnan(row.m)
+
+
+def test_year_alone_is_its_first_day(spark):
+    df = spark.createDataFrame([("2020",)], "c string")
+    assert df.select(clean.date(df, "c")).first()[0] == DAY(2020, 1, 1)
+
+
+def test_absent_columns(spark):
+    df = spark.range(2)
+    row = df.select(*[kind(df, "gone").alias(kind.__name__) for kind in KINDS])
+    assert [t for _, t in row.dtypes] == ["string", "string", "double", "double", "double", "date"]
+    assert all(tuple(r) == (None, "unknown", None, None, None, None) for r in row.collect())
+
+
+def test_fill_null_category(spark):
+    df = spark.createDataFrame([(None,), ("",), ("a",)], "c string")
+    filled = [r[0] for r in df.select(clean.category(df, "c", "none", True)).collect()]
+    assert filled == ["none", "none", "a"]
+
+
+def test_other_marks_and_symbols(spark):
+    df = spark.createDataFrame([("Yes", "€3.5")], "f string, m string")
+    row = df.select(clean.flag(df, "f", "yes", "no"), clean.currency(df, "m", "€")).first()
+    assert tuple(row) == (1.0, 3.5)
+
+
+def test_column_name_with_a_dot(spark):
+    df = spark.createDataFrame([(" a ",)], "`x.y` string")
+    assert df.select(clean.string(df, "x.y")).first()[0] == "a"
+
+
+def test_currency_equals_the_regular_expression(spark):
+    df = spark.createDataFrame([("$1,2$3,",), ("a$b",), (None,)], "c string")
+    both = df.select(F.translate("c", "$,", "").alias("a"), F.regexp_replace("c", "[$,]", "").alias("b"))
+    assert all(r.a == r.b for r in both.collect())
+
+
+@pytest.mark.parametrize(
+    "columns",
+    [["id", "room_type"], ["id", "room_type", "price", "month"], ["room_type", "unheard_of"]],
+)
+def test_clean_schema_never_changes(spark, columns):
+    df = spark.createDataFrame([tuple(["Shared room"] * len(columns))], columns)
+    cleaned = clean_table(df, listing.LISTING_CLEAN, "f.csv")
+    full = spark.createDataFrame([], ", ".join(f"{c} string" for c in ["id", *listing.NUMBERS]))
+    assert len(cleaned.columns) == 60
+    assert cleaned.dtypes == clean_table(full, listing.LISTING_CLEAN, "f.csv").dtypes
+    assert cleaned.columns[:9] == [
+        "source_file", "snapshot_year", "snapshot_month", "listing_id", "host_id",
+        "last_scraped", "host_since", "room_type", "property_type",
+    ]
+
+
+def test_rows_of_other_or_no_type_are_dropped(spark):
+    df = spark.createDataFrame(
+        [("1", " Shared room"), ("2", None), ("3", "Boat"), ("4", "Hotel room")],
+        "id string, room_type string",
+    )
+    kept = clean_table(df, listing.LISTING_CLEAN, "f").select("listing_id").collect()
+    assert sorted(r[0] for r in kept) == ["1", "4"]
+
+
+def test_month_column_goes_before_the_date(spark):
+    df = spark.createDataFrame(
+        [("1", "2020-03-01", "7"), ("2", "2020-03-01", ""), ("3", None, "x"), ("4", "?", "5")],
+        "id string, last_scraped string, month string",
+    ).withColumn("room_type", F.lit("Shared room"))
+    rows = clean_table(df, listing.LISTING_CLEAN, "f").collect()
+    found = {r.listing_id: (r.snapshot_year, r.snapshot_month) for r in rows}
+    assert found == {"1": (2020.0, 7.0), "2": (2020.0, 3.0), "3": (None, None), "4": (None, 5.0)}
