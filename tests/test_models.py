@@ -1,0 +1,228 @@
+"""Preparation stages, regressors and errors."""
+
+import math
+from dataclasses import replace
+
+import numpy as np
+import pytest
+from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import Imputer, StringIndexer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from tablefit.operators import evaluate, models, prep
+from tablefit.operators.sampling import split
+from tablefit.plans.price_model import train_and_compare
+from tablefit.specs import FeatureSpec
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    """Price is known from the features, up to a little noise."""
+    i = F.col("id")
+    area = (i * 7919 % 997) / 100.0
+    rooms = (i * 104729 % 7).cast("double")
+    kind = F.when(i % 3 == 0, "house").when(i % 3 == 1, "flat").otherwise("room")
+    price = 50 + 12 * area + 30 * rooms + F.when(i % 3 == 0, 100.0).otherwise(0.0)
+    return spark.range(4000).select(
+        i.cast("string").alias("key"),
+        (price + (i * 31 % 11) / 10.0).alias("price"),
+        F.when(i % 50 != 0, kind).alias("kind"),
+        F.when(i % 40 != 0, area).alias("area"),
+        rooms.alias("rooms"),
+        F.lit(None).cast("double").alias("never"),
+    )
+
+
+SPEC = FeatureSpec(
+    label="price", cats=["kind"], nums=["area", "rooms", "never"],
+    excluded={"key": "identifier", "price": "label"},
+)
+
+
+def test_indexer_equals_sparks(spark, rows):
+    ours = prep.index(["kind"]).fit(rows).transform(rows)
+    theirs = StringIndexer(inputCol="kind", outputCol="i", handleInvalid="keep").fit(rows)
+    both = theirs.transform(ours)
+    assert both.filter(F.col("i") != F.col("kind_index")).count() == 0
+    assert both.schema["kind_index"].metadata["ml_attr"]["vals"] == both.schema["i"].metadata["ml_attr"]["vals"]
+
+
+def test_index_order_null_and_unseen(spark):
+    train = spark.createDataFrame([(c, "q") for c in "bbaac"] + [(None, None)], "c string, d string")
+    model = prep.index(["c", "d"]).fit(train)
+    test = spark.createDataFrame([(c, "q") for c in ["a", "b", "c", "zzz", None]], "c string, d string")
+    rows = model.transform(test).collect()
+    assert [r.c_index for r in rows] == [0.0, 1.0, 2.0, 3.0, 3.0]
+    assert {r.d_index for r in rows} == {0.0}
+
+
+def test_column_without_levels(spark):
+    df = spark.createDataFrame([("a", None), ("b", None)], "c string, d string")
+    rows = prep.index(["c", "d"]).fit(df).transform(df).collect()
+    assert [r.d_index for r in rows] == [0.0, 0.0]
+
+
+def test_too_many_levels_are_refused(spark):
+    df = spark.range(300).select(F.col("id").cast("string").alias("c"), F.lit("x").alias("d"))
+    with pytest.raises(ValueError, match="group them first"):
+        prep.index(["c", "d"], max_levels=200).fit(df)
+    prep.index(["c", "d"], max_levels=300).fit(df)
+
+
+def test_one_hot_width_and_unknown(spark, rows):
+    from pyspark.ml import Pipeline
+
+    encoded = Pipeline(stages=[prep.index(["kind"]), prep.one_hot(["kind"])]).fit(rows).transform(rows)
+    assert prep.width(encoded, "kind_encoded") == 4
+    null = encoded.filter("kind IS NULL").select(vector_to_array("kind_encoded")).first()[0]
+    assert null == [0.0, 0.0, 0.0, 1.0]
+
+
+@pytest.mark.parametrize("rel_error", [0.0, 0.001])
+def test_medians(spark, rel_error):
+    df = spark.createDataFrame(
+        [(1, 1.0, None), (2, 2.0, None), (None, math.nan, None), (9, 4.0, None), (4, 3.0, None)],
+        "whole int, real double, gone double",
+    )
+    model = prep.impute(["whole", "real", "gone"], rel_error=rel_error).fit(df)
+    assert model.fills == {"whole": 2.0, "real": 2.0, "gone": 0.0}
+    assert model.empty == ["gone"]
+    row = model.transform(df).collect()[2]
+    assert (row.whole_imputed, row.real_imputed, row.gone_imputed) == (2.0, 2.0, 0.0)
+
+
+def test_medians_equal_sparks_imputer(spark, rows):
+    ours = prep.impute(["area", "rooms"]).fit(rows)
+    theirs = Imputer(
+        inputCols=["area", "rooms"], outputCols=["a", "r"], strategy="median"
+    ).fit(rows).surrogateDF.first()
+    assert ours.fills == {"area": theirs.area, "rooms": theirs.rooms}
+
+
+def test_no_other_strategy():
+    with pytest.raises(ValueError):
+        prep.impute(["x"], strategy="mode")
+
+
+def test_assembly_skips_and_counts(spark):
+    df = spark.createDataFrame(
+        [(1.0, 2), (None, 2), (math.nan, 2), (1.0, None)], "a double, b int"
+    )
+    assert prep.assemble(["a", "b"]).transform(df).count() == 1
+    assert tuple(prep.skipped_rows(df, ["a", "b"]).first()) == (4, 3)
+
+
+def test_scaling_a_constant_column(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
+    raw = prep.assemble(["a", "b"]).transform(df)
+    values = [r[0] for r in prep.scale().fit(raw).transform(raw).select(vector_to_array("features")).collect()]
+    deviation = math.sqrt(2)
+    assert values == [[pytest.approx(1 / deviation), 0.0], [pytest.approx(3 / deviation), 0.0]]
+
+
+def test_everything_is_fitted_on_train(spark, rows):
+    train, test = split(rows, "key")
+    strange = test.withColumn("kind", F.lit("castle")).withColumn("area", F.lit(1e9))
+    model = prep.build(SPEC, rel_error=0.0).fit(train)
+    prepared = model.transform(strange)
+    assert prepared.count() == test.count()
+    assert prep.width(prepared, "features") == 4 + 3
+    median = train.filter("area IS NOT NULL").select("area").toPandas().area.sort_values()
+    assert model.stages[2].fills["area"] == median.iloc[(len(median) + 1) // 2 - 1]
+
+
+def test_width_without_metadata(spark, rows):
+    df = prep.assemble(["rooms", "rooms"]).transform(rows)
+    bare = df.withMetadata("features_raw", {})
+    assert prep.width(df, "features_raw") == prep.width(bare, "features_raw") == 2
+
+
+def test_ridge_equals_the_normal_equations(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3)) * [1.0, 5.0, 0.2]
+    y = x @ [2.0, -1.0, 7.0] + 4 + rng.normal(size=400)
+    df = spark.createDataFrame([tuple(map(float, (*r, v))) for r, v in zip(x, y)], ["a", "b", "c", "y"])
+    reg = 0.7
+    model = models.linear("y", reg=reg, features="features_raw").fit(
+        prep.assemble(["a", "b", "c"]).transform(df)
+    )
+    # Penalty on standardised coefficients and label.
+    sx, sy, n = x.std(axis=0), y.std(), len(y)
+    z, t = (x - x.mean(axis=0)) / sx, (y - y.mean()) / sy
+    standard = np.linalg.solve(z.T @ z / n + reg / sy * np.eye(3), z.T @ t / n)
+    assert model.coefficients.toArray() == pytest.approx(standard * sy / sx, rel=1e-6)
+
+
+def test_metrics_equal_sparks_evaluator(spark, rows):
+    df = rows.withColumn("prediction", 100 + 20 * F.col("rooms"))
+    row = evaluate.metrics(df, "price").first()
+    for name in ("rmse", "mae", "r2"):
+        theirs = RegressionEvaluator(labelCol="price", metricName=name).evaluate(df)
+        assert row[name] == pytest.approx(theirs, rel=1e-12)
+    assert row.n == 4000
+
+
+def test_metrics_of_a_constant_label(spark):
+    df = spark.createDataFrame([(5.0, 4.0), (5.0, 6.0)], "y double, prediction double")
+    row = evaluate.metrics(df, "y").first()
+    assert (row.rmse, row.mae, row.r2, row.n) == (1.0, 1.0, None, 2)
+
+
+def test_examples_order(spark):
+    df = spark.createDataFrame(
+        [("b", 1.0, 2.0), ("a", 5.0, 6.0), ("c", 9.0, 9.5), ("d", 1.0, 9.0)],
+        "key string, y double, prediction double",
+    )
+    best = evaluate.examples(df, "y", "key", k=3).collect()
+    assert [(r.key, r.abs_error) for r in best] == [("c", 0.5), ("a", 1.0), ("b", 1.0)]
+    worst = evaluate.examples(df, "y", ["key"], k=2, worst=True).collect()
+    assert [r.key for r in worst] == ["d", "a"]
+
+
+@pytest.fixture(scope="module")
+def fitted(rows):
+    return train_and_compare(rows, SPEC, "key", sample_rows=0)
+
+
+def test_models_find_the_price(fitted):
+    found = {r.model: r for r in fitted.comparison.collect()}
+    assert set(found) == {"linear_regression", "decision_tree", "random_forest"}
+    assert all(r.n == fitted.predictions.count() > 700 for r in found.values())
+    assert found["linear_regression"].r2 > 0.95
+    assert found["decision_tree"].r2 > 0.85
+    assert found["random_forest"].r2 > 0.8
+    assert fitted.width == 7
+
+
+def test_examples_of_a_fitted_model(fitted):
+    rows = fitted.examples("decision_tree", "price", "key", ["kind", "rooms"]).collect()
+    assert len(rows) == 12 and rows[0].abs_error <= rows[-1].abs_error
+    worst = fitted.examples("decision_tree", "price", "key", worst=True).first()
+    assert worst.abs_error >= rows[-1].abs_error
+
+
+def test_sampled_training(rows):
+    only_tree = {"tree": models.tree("price")}
+    fitted = train_and_compare(rows, SPEC, "key", only_tree, sample_rows=1000)
+    row = fitted.comparison.first()
+    assert row.model == "tree" and 140 < row.n < 260 and row.r2 > 0.5
+
+
+def test_compare_frames(rows):
+    train, test = split(rows, "key")
+    model = prep.build(replace(SPEC, nums=["area", "rooms"])).fit(train)
+    found = models.compare(
+        model.transform(train), model.transform(test), {"linear": models.linear("price")}, "price"
+    ).first()
+    assert found.model == "linear" and found.r2 > 0.95 and found.n == test.count()
+
+
+def test_defaults():
+    linear, tree, forest = models.linear("y"), models.tree("y"), models.forest("y")
+    assert (linear.getMaxIter(), linear.getRegParam(), linear.getElasticNetParam()) == (50, 0.1, 0.0)
+    assert (tree.getMaxDepth(), tree.getMinInstancesPerNode(), tree.getSeed()) == (8, 10, 42)
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (40, 8, 5)
+    assert (forest.getSubsamplingRate(), forest.getSeed()) == (0.8, 42)
+    assert linear.getFeaturesCol() == "features"
+    assert tree.getFeaturesCol() == forest.getFeaturesCol() == "features_raw"
