@@ -20,7 +20,7 @@ HEX_DIGITS = 13  # 52 bits, the most a double holds without rounding
 
 def unit_hash(key: str | Sequence[str], seed: int = 42, use: str = "split") -> Column:
     names = [key] if isinstance(key, str) else list(key)
-    parts = [F.coalesce(column(n).cast("string"), F.lit("\x00")) for n in names]
+    parts = [F.coalesce(column(n).cast("string"), F.lit("<null>")) for n in names]
     digest = F.md5(F.concat_ws(":", F.lit(use), F.lit(str(seed)), *parts).cast("binary"))
     number = F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("bigint")
     return number / F.lit(float(16**HEX_DIGITS))

@@ -19,7 +19,7 @@ def convert_csv(
     source: str | list[str],
     target: str,
     spec: CleanSpec,
-    partitions: int | None = 32,
+    partitions: int | None = None,
     partition_by: Sequence[str] = (),
     multiline: bool = True,
 ) -> DataFrame:
@@ -27,11 +27,13 @@ def convert_csv(
     writer and read back, with their difference.
 
     The rows handed over are counted by the write itself, so the CSV is parsed
-    once.
+    once.  Unless `partitions` fixes the number of files, rows are rebalanced
+    to files of even size, however uneven the CSV files are.
     """
     raw = with_source_file(read_text_csv(spark, source, multiline))
     key, values = spec.keep_column, list(spec.keep_values)
     per_value = [F.count_if(F.col(key) == v).alias(f"n{i}") for i, v in enumerate(values)]
-    counts = write_table(clean_table(raw, spec), target, partitions, partition_by, per_value)
+    clean = clean_table(raw, spec)
+    counts = write_table(clean, target, partitions, partition_by, True, per_value)
     before = {v: counts[f"n{i}"] for i, v in enumerate(values)}
     return reconcile_counts(before, read_table(spark, target), key)

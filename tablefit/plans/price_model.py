@@ -65,9 +65,8 @@ def train_and_compare(
     )
     train = written(train.select(spec.label, "features_raw", "features"), "train")
     fitted = models.fit_all(train, estimators or models.regressors(spec.label, seed))
-    predictions = written(
-        models.predict_all(test, fitted).drop("features_raw", "features"), "predictions"
-    )
     columns = {name: models.prediction_column(name) for name in fitted}
+    predicted = models.predict_all(test, fitted).select(*features.columns, *columns.values())
+    predictions = written(predicted, "predictions")
     comparison = compared_metrics(predictions, spec.label, columns)
     return Fitted(preparation, fitted, prep.width(train, "features"), predictions, comparison)

@@ -37,15 +37,17 @@ def write_table(
     path: str,
     partitions: int | None = None,
     partition_by: Sequence[str] = (),
+    rebalance: bool = False,
     observed: Sequence[Column] = (),
 ) -> Mapping[str, object]:
     """Overwrite `path` with snappy Parquet.
 
-    A given number of `partitions` spreads rows evenly over that many files.
-    Otherwise rows keep the partitioning they have, except that a partitioned
-    table is first rebalanced on its partition columns: each value lands in few
-    files, and Spark splits a value that holds a large part of all rows over
-    several tasks.
+    A given number of `partitions` spreads rows evenly over that many files;
+    with `rebalance` Spark chooses the number from the size of the data.
+    Otherwise rows stay in the tasks they are in, except that a partitioned
+    table is always rebalanced on its partition columns: each value lands in
+    few files, and Spark splits a value that holds a large part of all rows
+    over several tasks.
 
     Named aggregates in `observed` are computed by the write itself and
     returned.  They sit behind the shuffle, in the tasks that write, so a
@@ -54,7 +56,7 @@ def write_table(
     by = list(partition_by)
     if partitions is not None:
         df = df.repartition(partitions)
-    elif by:
+    elif by or rebalance:
         df = df.hint("rebalance", *by)
     observation = Observation()
     if observed:
