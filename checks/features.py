@@ -12,6 +12,7 @@ from tablefit.functions.hashing import unit_hash
 from tablefit.operators.grouping import Group, TopNGrouper, left_join_levels
 from tablefit.operators.sampling import sample, sample_n, split
 from tablefit.plans.feature_table import filter_ranges, grouper
+from tablefit.plans.price_model import split_features
 
 SPEC = listing.LISTING_FEATURES
 
@@ -125,6 +126,40 @@ def topk_random(spark, sf_dir):
     return picked.select("o_orderkey", "o_totalprice")
 
 
+_TRAINING = f"{sql_place('host_id', 'split')} < 0.8::DOUBLE"
+
+
+def _train_top(column: str, n: int) -> str:
+    return f"""
+    SELECT {column} AS level FROM filtered WHERE {_TRAINING} GROUP BY {column}
+    ORDER BY COUNT(*) DESC, {column} ASC NULLS LAST LIMIT {n}"""
+
+
+@query(with_steps("filtered", f"""
+WITH places AS ({_train_top('neighbourhood_cleansed', 20)}),
+kinds AS ({_train_top('property_type', 12)})
+SELECT listing_id, CASE WHEN {_TRAINING} THEN 'train' ELSE 'test' END AS side, price,
+       coalesce(places.level, 'outros') AS neighbourhood_grouped,
+       coalesce(kinds.level, 'outros') AS property_type_grouped
+FROM filtered
+LEFT JOIN places ON neighbourhood_cleansed = places.level
+LEFT JOIN kinds ON property_type = kinds.level
+"""))
+def feature_table_by_side(spark, sf_dir):
+    """Split by host first, frequent levels from the training rows."""
+    sides = split_features(
+        clean(spark, sf_dir), SPEC, "listing_id", group_key="host_id", carry=["listing_id"]
+    )
+    train, test = (
+        rows.select(
+            "listing_id", F.lit(side).alias("side"), "price",
+            "neighbourhood_grouped", "property_type_grouped",
+        )
+        for rows, side in zip(sides, ["train", "test"])
+    )
+    return train.unionByName(test)
+
+
 def _sides(key, group_key=None):
     def run(spark, sf_dir):
         rows = clean(spark, sf_dir).select("listing_id", "host_id", "price")

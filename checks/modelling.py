@@ -196,6 +196,35 @@ def ridge_one_feature(spark, sf_dir):
     return predictions.select("listing_id", "price", F.round("prediction", 4).alias("prediction"))
 
 
+@query(with_steps("filtered", f"""
+WITH train AS (
+    SELECT price AS y, accommodates AS a, minimum_nights AS b FROM filtered WHERE {TRAIN}
+),
+moments AS (
+    SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, stddev_pop(y) AS sy, stddev_pop(a) AS sa,
+           stddev_pop(b) AS sb, corr(a, y) AS ray, corr(b, y) AS rby, corr(a, b) AS rab,
+           1 + 50.0::DOUBLE / stddev_pop(y) AS d
+    FROM train
+),
+fitted AS (
+    SELECT *, sy / sa * (ray * d - rab * rby) / (d * d - rab * rab) AS slope_a,
+           sy / sb * (rby * d - rab * ray) / (d * d - rab * rab) AS slope_b
+    FROM moments
+)
+SELECT listing_id, price,
+       round(my + slope_a * (accommodates - ma) + slope_b * (minimum_nights - mb), 4)
+           AS prediction
+FROM filtered, fitted WHERE NOT ({TRAIN})
+"""))
+def ridge_two_features(spark, sf_dir):
+    """The penalised normal equations of two standardised features."""
+    rows = filtered(spark, sf_dir).select("listing_id", "price", "accommodates", "minimum_nights")
+    vectors = prep.assemble(["accommodates", "minimum_nights"]).transform(rows)
+    train, test = split(vectors, "listing_id")
+    predictions = models.linear("price", reg=50.0, features="features_raw").fit(train).transform(test)
+    return predictions.select("listing_id", "price", F.round("prediction", 4).alias("prediction"))
+
+
 _STUMP = f"""
 WITH levels AS (
     SELECT accommodates AS x, COUNT(*) AS n, SUM(price) AS s
@@ -239,6 +268,49 @@ def forest_of_stumps(spark, sf_dir):
     return _predicted(spark, sf_dir, estimator.setBootstrap(False))
 
 
+def _best_cut(rows: str, name: str) -> str:
+    """The cut of each node of `rows` (node, x, y) that lowers its variance most."""
+    return f"""
+    {name} AS (
+        SELECT node, cut FROM (
+            SELECT node, (x + next_x) / 2 AS cut, row_number() OVER (
+                PARTITION BY node
+                ORDER BY s_left * s_left / n_left
+                         + (s_all - s_left) * (s_all - s_left) / (n_all - n_left) DESC
+            ) AS place
+            FROM (
+                SELECT node, x, lead(x) OVER (PARTITION BY node ORDER BY x) AS next_x,
+                       SUM(n) OVER (PARTITION BY node ORDER BY x) AS n_left,
+                       SUM(s) OVER (PARTITION BY node ORDER BY x) AS s_left,
+                       SUM(n) OVER (PARTITION BY node) AS n_all,
+                       SUM(s) OVER (PARTITION BY node) AS s_all
+                FROM (SELECT node, x, COUNT(*) AS n, SUM(y) AS s FROM {rows} GROUP BY node, x)
+            ) WHERE next_x IS NOT NULL AND n_left >= 10 AND n_all - n_left >= 10
+        ) WHERE place = 1
+    )"""
+
+
+@query(with_steps("filtered", f"""
+WITH sides AS (
+    SELECT listing_id, price AS y, accommodates AS x, 0 AS node, {TRAIN} AS train FROM filtered
+),
+first_rows AS (SELECT * FROM sides WHERE train), {_best_cut('first_rows', 'first_cut')},
+halves AS (
+    SELECT s.* REPLACE (CAST(s.x > c.cut AS INTEGER) AS node) FROM sides s, first_cut c
+),
+second_rows AS (SELECT * FROM halves WHERE train), {_best_cut('second_rows', 'second_cut')},
+leaves AS (
+    SELECT h.* REPLACE (h.node * 2 + CAST(h.x > c.cut AS INTEGER) AS node)
+    FROM halves h JOIN second_cut c ON h.node = c.node
+),
+means AS (SELECT node, avg(y) AS mean FROM leaves WHERE train GROUP BY node)
+SELECT listing_id, y AS price, round(mean, 4) AS prediction
+FROM leaves JOIN means ON leaves.node = means.node WHERE NOT train
+"""))
+def tree_of_two_levels(spark, sf_dir):
+    return _predicted(spark, sf_dir, models.tree("price", depth=2, min_rows=10))
+
+
 def _priced(spark, sf_dir):
     """A made prediction, so that the errors have a closed form."""
     rows = filtered(spark, sf_dir)

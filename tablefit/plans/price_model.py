@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from tablefit.operators import models, prep
 from tablefit.operators.evaluate import compared_metrics, examples
 from tablefit.operators.sampling import sample_n, split
+from tablefit.plans.feature_table import build_features, filter_ranges, grouper
 from tablefit.sources.tables import written
 from tablefit.specs import FeatureSpec
 
@@ -31,6 +32,20 @@ class Fitted:
         return examples(self.predictions, label, key, column, context, k, worst)
 
 
+def split_features(
+    df: DataFrame, spec: FeatureSpec, key: str | Sequence[str], ratio: float = 0.8,
+    seed: int = 42, group_key: str | None = None, carry: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """Feature tables of both sides of a split of the clean table, with the
+    frequent levels of the training rows alone."""
+    train, test = split(df, key, ratio, seed, group_key)
+    levels = grouper(spec).fit(filter_ranges(train, spec))
+    return (
+        build_features(train, spec, carry, levels),
+        build_features(test, spec, carry, levels),
+    )
+
+
 def prepared_split(
     features: DataFrame, spec: FeatureSpec, key: str | Sequence[str], ratio: float, seed: int,
     group_key: str | None, rel_error: float,
