@@ -17,6 +17,7 @@ from checks.summaries import sql_place
 from tablefit.operators import evaluate, models, prep
 from tablefit.operators.sampling import split
 from tablefit.plans.price_model import train_and_compare
+from tablefit.sources.tables import written
 
 TRAIN = f"{sql_place('listing_id', 'split')} < 0.8::DOUBLE"
 CATS = ["neighbourhood_cleansed", "cancellation_policy", "room_type"]
@@ -162,7 +163,7 @@ def _levels_sql() -> str:
 @query(_levels_sql())
 def vector_size(spark, sf_dir):
     """Vector width and rows per side after the whole preparation."""
-    train, test = split(feature_rows(spark, sf_dir), "listing_id")
+    train, test = split(written(feature_rows(spark, sf_dir), "features"), "listing_id")
     model = prep.build(SPEC).fit(train)
     prepared = model.transform(train)
     rows = prepared.select(F.lit("train").alias("side")).unionAll(

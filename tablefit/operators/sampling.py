@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablefit.functions.hashing import unit_hash
-from tablefit.operators.quantiles import order_statistic
+from tablefit.operators.quantiles import RANKED_ROWS, order_statistic
 
 Key = str | Sequence[str]
 
@@ -33,19 +33,35 @@ def sample_n(df: DataFrame, key: Key, n: int, seed: int = 42) -> DataFrame:
     rows = df.agg(F.count(F.lit(1)).alias("n")).first().n
     if n >= rows:
         return df
-    hashes = df.select(place.alias("place"))
-    # Hashes are uniform, so rank n lies this close to n / rows.
+    cut, below, at = _cut(df.select(place.alias("place")), n, rows)
+    if below + at == n:
+        return df.filter(place <= F.lit(cut))
+    tied = df.filter(place == F.lit(cut)).orderBy(*names).limit(n - below)
+    return df.filter(place < F.lit(cut)).unionByName(tied)
+
+
+def _cut(places: DataFrame, n: int, rows: int) -> tuple[float, int, int]:
+    """The n-th smallest place, and how many rows lie below and at it."""
+    # Places are uniform, so the n-th lies this close to n / rows.
     spread = 8 * math.sqrt(n) + 8
-    guess = ((n - spread) / rows, (n + spread) / rows)
-    cut = order_statistic(hashes, "place", n, rows, guess)
-    below = hashes.agg(
+    low, width = (n - spread) / rows, 2 * spread / rows
+    # -1, 0 or 1 for below, inside and above; the costly place is used once.
+    side = F.greatest(F.least(F.floor((F.col("place") - low) / width), F.lit(1)), F.lit(-1))
+    sides = dict(places.groupBy(side.alias("side")).count().collect())
+    below, inside = sides.get(-1, 0), sides.get(0, 0)
+    if below < n <= below + inside and inside <= RANKED_ROWS:
+        counts = places.filter(side == 0).groupBy("place").count().orderBy("place")
+        for place, at in counts.limit(n - below).collect():
+            if below + at >= n:
+                return place, below, at
+            below += at
+    # A very large sample, or many rows of one key, which makes places uneven.
+    cut = order_statistic(places, "place", n, rows, (low, low + width))
+    found = places.agg(
         F.count_if(F.col("place") < cut).alias("below"),
         F.count_if(F.col("place") == cut).alias("at"),
     ).first()
-    if below.below + below.at == n:
-        return df.filter(place <= F.lit(cut))
-    tied = df.filter(place == F.lit(cut)).orderBy(*names).limit(n - below.below)
-    return df.filter(place < F.lit(cut)).unionByName(tied)
+    return cut, found.below, found.at
 
 
 def split(
