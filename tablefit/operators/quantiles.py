@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REL_ERROR = 0.001
-RANKED_ROWS = 100_000  # at most this many values per target are ranked exactly
+RANKED_ROWS = 100_000  # at most this many values, of all targets, are ranked exactly
 
 
 @dataclass
@@ -107,35 +107,38 @@ def _order_statistics(values, ranks, counts, ranked_rows, guesses=None):
         name: [_Target(name, rank, counts[name]) for rank in ranks[name]] for name in ranks
     }
     open_targets = [t for ts in targets.values() for t in ts if t.rows > 0]
+    few = max(1, ranked_rows // max(1, len(open_targets)))
     guesses = dict(guesses or {})
+    margin = 2 * REL_ERROR
     while True:
-        large = [t for t in open_targets if t.value is None and t.rows > ranked_rows]
+        large = [t for t in open_targets if t.value is None and t.rows > few]
         if not large:
             break
         if guesses:
             guessed = [t for t in large if t.column in guesses]
             _narrow(values, guessed, [guesses[t.column] for t in guessed])
             guesses = {}
-        else:
-            if not all(_narrow(values, large, _sketched(values, large, REL_ERROR))):
-                raise ArithmeticError("values changed between passes; write the table first")
+        elif not all(_narrow(values, large, _sketched(values, large, REL_ERROR, margin))):
+            margin *= 4
+            if margin > 1:
+                raise ArithmeticError("values differ between passes; write the table first")
     small = [t for t in open_targets if t.value is None]
     if small:
-        for target, (value, _) in zip(small, _sketched(values, small, 0.0)):
+        for target, (value, _) in zip(small, _sketched(values, small, 0.0, 0.0)):
             target.value = value
     return {name: [t.value for t in ts] for name, ts in targets.items()}
 
 
-def _sketched(values: DataFrame, targets: list[_Target], error: float):
-    """A bracket per target from one sketch pass; with error 0 both ends are
-    the wanted value."""
+def _sketched(values: DataFrame, targets: list[_Target], error: float, margin: float):
+    """A bracket per target, `margin` of the rows to either side, from one
+    sketch pass; without error and margin both ends are the wanted value."""
     inside = values.filter(_any([t.inside() for t in targets]))
     picked = inside.select(
         *[F.when(t.inside(), F.col(t.column)).alias(f"t{i}") for i, t in enumerate(targets)]
     )
     # Half a rank below keeps rounding from moving the rank up by one.
     shares = [(t.rank - 0.5) / t.rows for t in targets]
-    ends = [(max(0.0, s - 2 * error), min(1.0, s + 2 * error)) for s in shares]
+    ends = [(max(0.0, s - margin), min(1.0, s + margin)) for s in shares]
     asked = sorted({p for pair in ends for p in pair})
     answers = picked.approxQuantile(picked.columns, asked, error)
     found = [dict(zip(asked, row)) for row in answers]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablefit.functions.hashing import unit_hash
@@ -20,24 +20,33 @@ def sample(df: DataFrame, key: Key, fraction: float, seed: int = 42) -> DataFram
 
 
 def sample_n(df: DataFrame, key: Key, n: int, seed: int = 42) -> DataFrame:
-    """Exactly `n` rows, those with the smallest (hash, key); all rows if n <= 0.
+    """Exactly `n` rows, those with the smallest hash of the key; all rows if
+    n <= 0.
 
-    `key` must identify a row.  The hash at rank `n` is found by counting, and
-    the sample is then a filter: rows stay in their partitions, where a random
-    sort with a limit would send candidates of every task to a single one.
+    The hash at rank `n` is found by counting, and the sample is then a filter:
+    rows stay in their partitions, where a random sort with a limit would send
+    candidates of every task to a single one.  Rows that share the hash at the
+    cut, for instance those of a key that is not unique, are told apart by a
+    hash of the whole row in the same way.
     """
     if n <= 0:
         return df
-    names = [key] if isinstance(key, str) else list(key)
-    place = unit_hash(names, seed, "sample")
     rows = df.agg(F.count(F.lit(1)).alias("n")).first().n
     if n >= rows:
         return df
+    whole_row = F.shiftrightunsigned(F.xxhash64(*df.columns), 11) / F.lit(float(2**53))
+    return _smallest(df, n, rows, [unit_hash(key, seed, "sample"), whole_row])
+
+
+def _smallest(df: DataFrame, n: int, rows: int, places: list[Column]) -> DataFrame:
+    place, *finer = places
     cut, below, at = _cut(df.select(place.alias("place")), n, rows)
     if below + at == n:
         return df.filter(place <= F.lit(cut))
-    tied = df.filter(place == F.lit(cut)).orderBy(*names).limit(n - below)
-    return df.filter(place < F.lit(cut)).unionByName(tied)
+    tied = df.filter(place == F.lit(cut))
+    # Rows that agree in every column are as good as each other.
+    chosen = _smallest(tied, n - below, at, finer) if finer else tied.limit(n - below)
+    return df.filter(place < F.lit(cut)).unionByName(chosen)
 
 
 def _cut(places: DataFrame, n: int, rows: int) -> tuple[float, int, int]:

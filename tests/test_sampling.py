@@ -57,9 +57,18 @@ def test_all_rows(table, n):
     assert sample_n(table, "key", n).count() == 20_000
 
 
-def test_rows_with_equal_places_are_cut_by_key(spark):
+def test_rows_with_equal_places_are_told_apart_by_the_whole_row(spark):
     # The key leaves rows undecided, so all share one place; n still holds.
-    df = spark.range(50).select(F.lit("same").alias("key"), "id")
+    df = spark.range(5000).select(F.lit("same").alias("key"), "id")
+    picked = sample_n(df, "key", 2000)
+    assert picked.count() == 2000
+    assert _ids(picked) == _ids(sample_n(df.repartition(5, "id"), "key", 2000))
+    plan = picked._jdf.queryExecution().toString()
+    assert "Sort" not in plan and "Limit" not in plan
+
+
+def test_rows_that_agree_everywhere(spark):
+    df = spark.range(60).select(F.lit("same").alias("key"))
     assert sample_n(df, "key", 20).count() == 20
 
 
@@ -69,7 +78,9 @@ def test_one_key_with_a_third_of_all_rows(spark):
         "id",
     )
     for n in (100, 4000, 8000):
-        assert sample_n(df, "key", n).count() == n
+        picked = sample_n(df, "key", n)
+        assert picked.count() == n
+        assert _ids(picked) == _ids(sample_n(df.repartition(7), "key", n))
     train, test = split(df, "id", 0.8, group_key="key")
     assert train.select("key").distinct().intersect(test.select("key").distinct()).count() == 0
     assert train.count() + test.count() == 9000
