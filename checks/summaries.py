@@ -116,14 +116,14 @@ def sample_summary(spark, sf_dir):
 
 
 @query(with_steps("clean", """
-SELECT room_type, COUNT(*) AS total, SUM(price) AS price_sum FROM clean
-WHERE snapshot_year = 1997 GROUP BY room_type
+SELECT snapshot_year, room_type, COUNT(*) AS total, SUM(price) AS price_sum FROM clean
+GROUP BY snapshot_year, room_type
 """))
 def register_view(spark, sf_dir):
     register(clean(spark, sf_dir), "listings_clean")
     return spark.sql("""
-        SELECT room_type, COUNT(*) AS total, SUM(price) AS price_sum FROM listings_clean
-        WHERE snapshot_year = 1997 GROUP BY room_type
+        SELECT snapshot_year, room_type, COUNT(*) AS total, SUM(price) AS price_sum
+        FROM listings_clean GROUP BY snapshot_year, room_type
     """)
 
 
