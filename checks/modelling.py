@@ -301,8 +301,8 @@ halves AS (
 ),
 second_rows AS (SELECT * FROM halves WHERE train), {_best_cut('second_rows', 'second_cut')},
 leaves AS (
-    SELECT h.* REPLACE (h.node * 2 + CAST(h.x > c.cut AS INTEGER) AS node)
-    FROM halves h JOIN second_cut c ON h.node = c.node
+    SELECT h.* REPLACE (h.node * 2 + coalesce(CAST(h.x > c.cut AS INTEGER), 0) AS node)
+    FROM halves h LEFT JOIN second_cut c ON h.node = c.node
 ),
 means AS (SELECT node, avg(y) AS mean FROM leaves WHERE train GROUP BY node)
 SELECT listing_id, y AS price, round(mean, 4) AS prediction
