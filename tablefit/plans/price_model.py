@@ -69,12 +69,15 @@ def train_and_compare(
 ) -> Fitted:
     """Sample, split, prepare, fit, predict and compare.
 
-    `features` holds the spec's label and features and the key columns.  The
-    sampled rows and the vectors are read many times by the fits, so both are
-    written to the shared folder first: nothing upstream is computed twice, and
-    a lost executor costs a read.
+    `features` holds the spec's label and features and the key columns.  A
+    sample and the training vectors are read many times by the fits, so both
+    are written to the shared folder first; a lost executor then costs a read.
+    Without a sample (`sample_rows` of 0) the preparation reads `features`
+    itself a few times, a few columns each: hand over a table that is stored.
     """
-    rows = written(sample_n(features, key, sample_rows, seed), "rows")
+    rows = features
+    if sample_rows > 0:
+        rows = written(sample_n(features, key, sample_rows, seed), "rows")
     preparation, train, test = prepared_split(
         rows, spec, key, ratio, seed, group_key, rel_error
     )
