@@ -71,17 +71,11 @@ def group_count(spark, sf_dir):
 
 
 @query(with_steps("raw", """
-SELECT row_number() OVER (ORDER BY COUNT(*) DESC, cancellation_policy ASC NULLS LAST) AS place,
-       cancellation_policy, COUNT(*) AS total
-FROM raw GROUP BY cancellation_policy
+SELECT property_type, COUNT(*) AS total FROM raw GROUP BY property_type
+ORDER BY total DESC, property_type ASC NULLS LAST
 """))
 def sort_desc(spark, sf_dir):
-    """Groups in the order they come out, numbered by it."""
-    groups = summary.group_count(raw(spark, sf_dir), "cancellation_policy")
-    rows = F.collect_list(F.struct("cancellation_policy", "total"))
-    return groups.agg(rows.alias("rows")).select(F.posexplode("rows").alias("place", "r")).select(
-        (F.col("place") + 1).cast("bigint").alias("place"), "r.cancellation_policy", "r.total"
-    )
+    return summary.group_count(raw(spark, sf_dir), "property_type")
 
 
 @query(with_steps("features", f"""

@@ -95,8 +95,7 @@ class TopNModel:
         """Add each group's output column; all other columns and rows stay."""
         for group in self.groups:
             df = left_join_levels(df, group.column, *self.tables[group.column], "_kept")
-            kept = F.when(F.col("_kept").isNotNull(), F.col(group.column)).otherwise(self.other)
-            df = df.withColumn(group.output, kept).drop("_kept")
+            df = df.withColumn(group.output, F.coalesce("_kept", F.lit(self.other))).drop("_kept")
         return df
 
 

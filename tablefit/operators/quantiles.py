@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REL_ERROR = 0.001
-RANKED_ROWS = 100_000  # at most this many values, of all targets, are ranked exactly
+RANKED_ROWS = 500_000  # at most this many values, of all targets, are ranked exactly
 
 
 @dataclass

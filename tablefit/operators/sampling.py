@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablefit.functions.hashing import unit_hash
-from tablefit.operators.quantiles import RANKED_ROWS, order_statistic
+from tablefit.operators.quantiles import order_statistic
 
 Key = str | Sequence[str]
 
+FETCHED_PLACES = 100_000
+
 
 def sample(df: DataFrame, key: Key, fraction: float, seed: int = 42) -> DataFrame:
     """About `fraction` of the keys, with all their rows: a filter, no shuffle."""
@@ -58,7 +60,7 @@ def _cut(places: DataFrame, n: int, rows: int) -> tuple[float, int, int]:
     side = F.greatest(F.least(F.floor((F.col("place") - low) / width), F.lit(1)), F.lit(-1))
     sides = dict(places.groupBy(side.alias("side")).count().collect())
     below, inside = sides.get(-1, 0), sides.get(0, 0)
-    if below < n <= below + inside and inside <= RANKED_ROWS:
+    if below < n <= below + inside and inside <= FETCHED_PLACES:
         counts = places.filter(side == 0).groupBy("place").count().orderBy("place")
         for place, at in counts.limit(n - below).collect():
             if below + at >= n:

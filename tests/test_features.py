@@ -11,6 +11,7 @@ from tablefit import listing
 from tablefit.functions import features as feat
 from tablefit.operators import filters
 from tablefit.operators.grouping import Group, TopNGrouper
+from tablefit.operators.summary import group_count, group_summary
 from tablefit.plans.clean_table import clean_table
 from tablefit.plans.feature_table import build_features, grouper
 from tablefit.specs import FeatureSpec
@@ -95,6 +96,20 @@ def test_null_uses_up_a_place_or_not(spark):
     }
 
 
+def test_levels_of_a_number(spark):
+    df = spark.createDataFrame([(1,), (1,), (2,)], "c int")
+    assert _grouped(df, 1) == {1: "1", 2: "other"}
+
+
+def test_groups_come_out_largest_first_then_by_name(spark):
+    df = _levels(spark, {"b": 2, "a": 2, "z": 5, None: 2, "m": 1})
+    assert [tuple(r) for r in group_count(df, "c").collect()] == [
+        ("z", 5), ("a", 2), ("b", 2), (None, 2), ("m", 1),
+    ]
+    means = group_summary(df.withColumn("x", F.lit(1.005)), "c", "x", limit=3).collect()
+    assert [tuple(r) for r in means] == [("z", 5, 1.01), ("a", 2, 1.01), ("b", 2, 1.01)]
+
+
 def test_fewer_levels_than_places(spark):
     assert _grouped(_levels(spark, {"a": 2, "b": 1}), 9) == {"a": "a", "b": "b"}
 
