@@ -64,7 +64,7 @@ def join_left_top_property_types(spark, sf_dir):
 def _joined(spark, sf_dir, column):
     rows = filtered(spark, sf_dir).select("listing_id", column)
     group = next(g for g in SPEC.groups if g.column == column)
-    table, levels = TopNGrouper([group]).fit(rows).tables[column]
+    table, levels = TopNGrouper([group]).fit(rows).tables[group.output]
     return left_join_levels(rows, column, table, levels, "top_level")
 
 

@@ -42,12 +42,12 @@ class TopNGrouper:
             tables |= self._fetch(df, fetched)
         for group in self.groups:
             if group.n > FETCHED_LEVELS:
-                tables[group.column] = (self._most_frequent(df, group), None)
+                tables[group.output] = (self._most_frequent(df, group), None)
         return TopNModel(tuple(self.groups), self.other, tables)
 
     def _fetch(self, df: DataFrame, groups: Sequence[Group]):
         """Levels of all columns from one scan and one aggregate."""
-        names = [g.column for g in groups]
+        names = list(dict.fromkeys(g.column for g in groups))
         counts = (
             df.select(*[F.col(n).cast("string").alias(n) for n in names])
             .unpivot([], names, "column", "level")
@@ -70,7 +70,7 @@ class TopNGrouper:
             table = df.sparkSession.createDataFrame(
                 pa.table({"level": pa.array(levels, pa.string())})
             )
-            tables[group.column] = (table, levels)
+            tables[group.output] = (table, levels)
         return tables
 
     def _most_frequent(self, df: DataFrame, group: Group) -> DataFrame:
@@ -88,13 +88,13 @@ class TopNModel:
     other: str
     tables: dict[str, tuple[DataFrame, list[str] | None]]
 
-    def levels(self, column: str) -> DataFrame:
-        return self.tables[column][0]
+    def levels(self, output: str) -> DataFrame:
+        return self.tables[output][0]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add each group's output column; all other columns and rows stay."""
         for group in self.groups:
-            df = left_join_levels(df, group.column, *self.tables[group.column], "_kept")
+            df = left_join_levels(df, group.column, *self.tables[group.output], "_kept")
             df = df.withColumn(group.output, F.coalesce("_kept", F.lit(self.other))).drop("_kept")
         return df
 

@@ -96,6 +96,16 @@ def test_null_uses_up_a_place_or_not(spark):
     }
 
 
+def test_one_column_in_two_groups(spark):
+    df = _levels(spark, {"a": 3, "b": 2, "c": 1})
+    model = TopNGrouper([Group("c", 1, "one"), Group("c", 2, "two")]).fit(df)
+    rows = model.transform(df).distinct().collect()
+    assert {(r.c, r.one, r.two) for r in rows} == {
+        ("a", "a", "a"), ("b", "other", "b"), ("c", "other", "other"),
+    }
+    assert sorted(r.level for r in model.levels("two").collect()) == ["a", "b"]
+
+
 def test_levels_of_a_number(spark):
     df = spark.createDataFrame([(1,), (1,), (2,)], "c int")
     assert _grouped(df, 1) == {1: "1", 2: "other"}
