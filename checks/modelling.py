@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from checks.features import SPEC, filtered
-from checks.listings import clean, feature_rows, with_steps
+from checks.listings import feature_rows, with_steps
 from checks.registry import query
 from checks.summaries import sql_place
 from tablefit.operators import evaluate, models, prep
