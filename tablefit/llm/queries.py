@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablefit.llm.simhash import simhash_groups
 from tablefit.llm.url_filter import ALLOW, BLOCK, Rule, judge_urls
 
 #: Fixed by the contract of op9.
@@ -21,11 +22,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
 QUERIES = {
+    "op3_simhash_dedup": op3_simhash_dedup,
     "op9_url_filter": op9_url_filter,
 }
 
