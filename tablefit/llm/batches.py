@@ -110,9 +110,10 @@ class Words:
         self.begin, self.end = edge[::2], edge[1::2]
         offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.of = np.searchsorted(offsets, self.begin, side="right") - 1
-        sums = np.zeros(len(raw) + 1, U64)
+        # any stretch of bytes hashes to (sums[end] - sums[begin]) * back[begin]
+        self.sums = sums = np.zeros(len(raw) + 1, U64)
         np.cumsum(_BYTES[raw] * powers(len(raw)), out=sums[1:])
-        back = powers(len(raw) + 1, _INVERSE)
+        self.back = back = powers(len(raw) + 1, _INVERSE)
         self.hashes = mix((sums[self.end] - sums[self.begin]) * back[self.begin])
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:

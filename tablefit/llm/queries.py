@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tablefit.llm.fingerprints import fingerprint_edits
 from tablefit.llm.packing import pack
 from tablefit.llm.simhash import simhash_groups
+from tablefit.llm.toxicity import score_toxicity
 from tablefit.llm.url_filter import ALLOW, BLOCK, Rule, judge_urls
 
 #: Fixed by the contract of op9.
@@ -36,6 +37,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -44,6 +49,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op5_toxicity": op5_toxicity,
     "op9_url_filter": op9_url_filter,
 }
 
