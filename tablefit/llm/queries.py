@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tablefit.llm.fingerprints import fingerprint_edits
+from tablefit.llm.mixing import mix
 from tablefit.llm.packing import pack
 from tablefit.llm.simhash import simhash_groups
 from tablefit.llm.toxicity import score_toxicity
@@ -20,6 +21,9 @@ URL_RULES = (
     Rule(BLOCK, "com", "/de/"),
 )
 
+#: Shares of the tokens that each language should have.
+LANGUAGE_WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,6 +41,13 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains are languages; the labelled table is `labels`, whose documents' languages are known."""
+    docs = _table(spark, sf_dir, "documents")
+    labelled = docs.join(_table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    return mix(docs, labelled, LANGUAGE_WEIGHTS, domain_col="lang")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -49,6 +60,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_source_mixing": op4_source_mixing,
     "op5_toxicity": op5_toxicity,
     "op9_url_filter": op9_url_filter,
 }
