@@ -17,7 +17,9 @@ columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -36,35 +38,60 @@ CACHED_WORDS = 200_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
+#: Words of these characters alone are NFC already and have one lower-case form.
+SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]*").fullmatch
+#: Where the vocabulary cuts a lower-case word of simple characters.
+CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordTokenizer:
-    """Ids of a tokenizer whose tokens never span white space, remembered by word.
+    """Ids of a lower-casing word BPE tokenizer, remembered by word and by part of a word.
 
     The vocabulary splits at white space before it merges, so a text's ids are
-    those of its words in turn.  Only ASCII white space is cut here; all other
-    characters reach the tokenizer.
+    those of its words in turn.  Only ASCII white space is cut here.  A word of
+    simple characters is cut into letters, digits and signs, whose merges alone
+    are asked for; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cached, self.known = cached, {}
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.cached:
-            self.known, new = {}, list(words)
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+        self.merges, self.characters = self.tokenizer.model.tokenize, _byte_characters()
+        self.cached, self.words, self.parts = cached, {}, {}
+
+    def _part(self, part: str) -> bytes:
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.characters)
+        ids = array("I", [t.id for t in self.merges(shown)]).tobytes()
+        if len(self.parts) >= self.cached:
+            self.parts.clear()
+        self.parts[part] = ids
+        return ids
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if SIMPLE(text) and "<|" not in text:
+            known = self.parts.get
+            return b"".join([known(part) or self._part(part) for part in CUT(text.lower())])
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        self.learn(set().union(*split))
-        for words in split:
-            yield b"".join(map(self.known.__getitem__, words))
+        for text in texts:
+            split = text.encode("utf-8", "surrogatepass").split()
+            if len(self.words) > self.cached:
+                self.words.clear()
+            known = self.words
+            for word in set(split).difference(known):
+                known[word] = self._word(word)
+            yield b"".join(map(known.__getitem__, split))
 
 
 def pieces(path: str, capacity: int):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tablefit.llm.embeddings import embedding_groups
 from tablefit.llm.fingerprints import fingerprint_edits
 from tablefit.llm.mixing import mix
 from tablefit.llm.packing import pack
@@ -52,6 +53,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op5_toxicity": op5_toxicity,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op9_url_filter": op9_url_filter,
 }
 

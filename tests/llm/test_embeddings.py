@@ -1,0 +1,77 @@
+import os
+
+import numpy as np
+import pytest
+
+from tablefit.llm import embeddings
+from tablefit.llm.embeddings import embedding_groups
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SCHEMA = "vec_id long, embedding array<double>, label int, rep string, n string, root string"
+
+
+def plain(rows, least=0.98):
+    """(id, n_links, component, kept) by comparing everything with everything."""
+    unit = []
+    for i, v, label in rows:
+        ok = i is not None and label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
+        v = np.array(v, float) / np.abs(v).max() if ok else None
+        unit.append(v / np.sqrt(v @ v) if ok else None)
+    n = len(rows)
+    links = [[j for j in range(n) if j != i and unit[i] is not None and unit[j] is not None
+              and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= least]
+             for i in range(n)]
+    out = []
+    for i in range(n):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in links[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        component = min(rows[j][0] for j in seen) if rows[i][0] is not None else None
+        out.append((rows[i][0], len(links[i]), component, component == rows[i][0]))
+    return sorted(out, key=repr)
+
+
+def found(df):
+    return sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in df.collect()), key=repr)
+
+
+def test_recall_of_table(spark):
+    table = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding, r.label) for r in table.collect()]
+    expected, got = plain(rows), found(embedding_groups(table))
+    assert [r[0] for r in got] == [r[0] for r in expected]
+    n = sum(r[1] for r in expected)
+    assert sum(r[1] for r in got) >= 0.9 * n
+    assert all(g[1] <= e[1] for g, e in zip(got, expected))
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_crowded_clusters(spark, monkeypatch, block):
+    """More close vectors than windows and blocks hold, beside copies."""
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    rows = []
+    for c in range(3):
+        centre = rng.standard_normal(16)
+        for _ in range(150):
+            rows.append((len(rows), (centre + 0.06 * rng.standard_normal(16)).tolist(), c % 2))
+    rows += [(1000 + i, rows[0][1], 0) for i in range(50)]
+    rows += [(2000 + i, rng.standard_normal(16).tolist(), 0) for i in range(100)]
+    table = spark.createDataFrame([(*r, "", "", "") for r in rows], SCHEMA).repartition(6)
+    expected, got = plain(rows), found(embedding_groups(table, window=16))
+    assert sum(r[1] for r in got) >= 0.98 * sum(r[1] for r in expected)
+    assert np.mean([g == e for g, e in zip(got, expected)]) > 0.95
+
+
+def test_edge_cases(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, None, 0), (2, [], 0), (3, [0.0, 0.0], 0), (4, [1.0, None], 0), (5, [1.0, nan], 0), (6, [inf, 1.0], 0),
+            (7, [1.0, 2.0], None), (8, [1.0, 2.0], 0), (9, [1.0, 2.0], 0), (10, [1.0, 2.0], 1), (11, [2.0, 4.0], 0),
+            (12, [1.0, 2.0, 0.0], 0), (12, [0.0, 1.0, 0.0], 0), (13, [1e300, 2e300], 0), (14, [1e-300, 2e-300], 0),
+            (15, [-1.0, 0.0], 0), (16, [-1.0, -0.0], 0), (None, [1.0, 2.0], 0)]
+    table = spark.createDataFrame([(*r, "", "", "") for r in rows], SCHEMA)
+    assert found(embedding_groups(table)) == plain(rows)
+    assert embedding_groups(table.limit(0)).count() == 0

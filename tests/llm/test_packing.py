@@ -87,3 +87,11 @@ def test_plan_of_many():
     places = Places(patterns, 4096)
     s, o = places.find(np.array([4096, 1, 1]), np.array([0, 0, 10**9]))
     assert (s >= 0).all() and (o <= 4095).all()
+
+
+def test_words_of_documents(documents):
+    """Word by word the ids are the tokenizer's own."""
+    tokenizer, own = Tokenizer.from_file(PATH), WordTokenizer(PATH, cached=5000)
+    texts = [r.text for r in documents.select("text").collect()]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
