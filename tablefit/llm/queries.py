@@ -9,6 +9,7 @@ from tablefit.llm.embeddings import embedding_groups
 from tablefit.llm.fingerprints import fingerprint_edits
 from tablefit.llm.mixing import mix
 from tablefit.llm.packing import pack
+from tablefit.llm.scoring import score_documents
 from tablefit.llm.simhash import simhash_groups
 from tablefit.llm.toxicity import score_toxicity
 from tablefit.llm.url_filter import ALLOW, BLOCK, Rule, judge_urls
@@ -57,6 +58,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op4_source_mixing": op4_source_mixing,
     "op5_toxicity": op5_toxicity,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_url_filter": op9_url_filter,
 }
 
