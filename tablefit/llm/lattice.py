@@ -16,7 +16,7 @@ from tablefit.llm.batches import _BYTES, _INVERSE, U64, mix, powers
 
 START = "▁"
 LONG = 96
-SLOTS = 20
+SLOTS = 17
 
 
 def piece_bytes(piece: str) -> tuple[bool, bytes]:
@@ -33,27 +33,30 @@ def _hash(data: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 class _Table:
-    """Piece numbers by hash: two tables by different bits, the second for what clashes in the first."""
+    """Piece numbers by hash: slots by some bits of it, and a further table by other bits for what clashes."""
 
     def __init__(self, keys: np.ndarray, numbers: np.ndarray):
-        self.shifts, self.keys, self.numbers = (64 - SLOTS, 64 - 2 * SLOTS), [], []
-        for shift in self.shifts:
-            slot = (keys >> U64(shift)) & U64((1 << SLOTS) - 1)
+        self.levels, turn = [], 0
+        while len(keys):
+            slot = self._slot(keys, turn)
             _, first = np.unique(slot, return_index=True)
             held, number = np.zeros(1 << SLOTS, U64), np.full(1 << SLOTS, -1, np.int32)
             held[slot[first]], number[slot[first]] = keys[first], numbers[first]
-            self.keys.append(held)
-            self.numbers.append(number)
+            self.levels.append((held, number))
             rest = np.ones(len(keys), bool)
             rest[first] = False
-            keys, numbers = keys[rest], numbers[rest]
-        if len(keys):
-            raise ValueError("pieces clash in both tables")
+            keys, numbers, turn = keys[rest], numbers[rest], turn + 1
+
+    @staticmethod
+    def _slot(hashes: np.ndarray, turn: int) -> np.ndarray:
+        if turn >= 3:
+            hashes, turn = mix(hashes + U64(turn)), 0
+        return ((hashes >> U64(64 - SLOTS * (turn + 1))) & U64((1 << SLOTS) - 1)).astype(np.int64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         out = np.full(hashes.shape, -1, np.int32)
-        for shift, held, number in zip(self.shifts, self.keys, self.numbers):
-            slot = ((hashes >> U64(shift)) & U64((1 << SLOTS) - 1)).astype(np.int64)
+        for turn, (held, number) in enumerate(self.levels):
+            slot = self._slot(hashes, turn)
             own = held[slot] == hashes
             out[own] = number[slot[own]]
         return out
