@@ -17,11 +17,23 @@ def shared_path(df: DataFrame, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lets a finished write's shuffle files go at once; nothing reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared folder and read back: lineage ends here."""
-    path = shared_path(df, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The table, written to the shared folder and read back: lineage ends here.
+
+    The session's setting for shuffle files is put back after the write.
+    """
+    spark, path = df.sparkSession, shared_path(df, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablefit.llm.embeddings import embedding_groups
 from tablefit.llm.fingerprints import fingerprint_edits
@@ -11,6 +12,7 @@ from tablefit.llm.mixing import mix
 from tablefit.llm.packing import pack
 from tablefit.llm.scoring import score_documents
 from tablefit.llm.simhash import simhash_groups
+from tablefit.llm.substrings import cut_repeats
 from tablefit.llm.toxicity import score_toxicity
 from tablefit.llm.url_filter import ALLOW, BLOCK, Rule, judge_urls
 
@@ -54,6 +56,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(_table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +82,7 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_url_filter": op9_url_filter,
