@@ -34,7 +34,7 @@ from tablefit.llm.batches import text_slices
 from tablefit.llm.columns import kept, texts
 
 END_ID = 1
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
