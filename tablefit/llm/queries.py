@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablefit.llm.chat import format_chats
 from tablefit.llm.embeddings import embedding_groups
 from tablefit.llm.fingerprints import fingerprint_edits
 from tablefit.llm.mixing import mix
@@ -76,6 +77,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -86,6 +91,7 @@ QUERIES = {
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_url_filter": op9_url_filter,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 #: None of the ten can be given whole in SQL; tests/llm holds each against brute force.
