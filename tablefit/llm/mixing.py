@@ -164,3 +164,21 @@ def mix(
         F.col("doc_id").alias(id_col), "tokens", likeliest.alias("domain"), "posterior", "rate",
         (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"),
     )
+
+
+def resample(
+    docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text",
+    domain_col: str = "domain", floor: float = 0.0, total_tokens: int | None = None,
+) -> DataFrame:
+    """The documents, all their columns, each as often as its copies say.
+
+    Rows that repeat an id get the most copies of any of them; rows without an
+    id stay as they are.
+    """
+    mixed = mix(docs.select(id_col, text_col), labelled, weights, id_col, text_col, domain_col, total_tokens, floor)
+    copies = mixed.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_mixed_id")).agg(
+        F.max("copies").alias("_copies")
+    )
+    joined = docs.join(copies, F.col(id_col) == F.col("_mixed_id"), "left")
+    times = F.array_repeat(F.lit(1), F.coalesce("_copies", F.lit(1)))
+    return joined.withColumn("_time", F.explode(times)).select(*docs.columns)

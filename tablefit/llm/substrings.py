@@ -285,19 +285,52 @@ def repeated_places(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
     return kept(compared.where("not open").select("at", "sub", "place").union(few).union(many), "repeated-places")
 
 
-def cut_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int | None = None
-) -> DataFrame:
-    """One row per document: id, n_bytes, spans (removed, as byte places) and kept (the bytes left)."""
+def _grams(threshold: int, gram: int | None) -> int:
     gram = gram or max(threshold * 2 // 5, threshold - RUN + 1, 1)
     if not 0 < gram <= threshold or threshold - gram + 1 > RUN:
         raise ValueError(f"a window of {threshold} bytes cannot have grams of {gram}")
+    return gram
+
+
+def _with_places(docs: DataFrame, id_col: str, text_col: str, threshold: int, gram: int | None) -> DataFrame:
+    """(row, text, places): the other columns as a struct, the text, and the places of its repeated windows."""
+    others = [F.col(c) for c in docs.columns if c != text_col]
+    text = F.coalesce(F.col(text_col), F.lit(""))
     # sub tells apart rows that repeat an id
-    own = texts(docs, id_col, text_col).select(
-        F.col("doc_id").alias("id"), F.coalesce("doc_id", F.lit(LAST)).alias("at"),
-        F.hash("text").alias("sub"), "text",
+    own = docs.select(
+        F.struct(*others).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("at"),
+        F.hash(text).alias("sub"), text.alias("text"),
     )
-    places = repeated_places(own.select("at", "sub", "text"), threshold, gram)
+    places = repeated_places(own.select("at", "sub", "text"), threshold, _grams(threshold, gram))
     places = places.groupBy("at", "sub").agg(F.collect_list("place").alias("places"))
-    found = own.join(places, ["at", "sub"], "left").select("id", "text", "places").mapInArrow(cut(threshold), CUT_SCHEMA)
-    return found.withColumnRenamed("id", id_col)
+    return own.join(places, ["at", "sub"], "left").select("row", "text", "places")
+
+
+def cut_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int | None = None
+) -> DataFrame:
+    """One row per document: id, n_bytes, spans (removed, as byte places) and kept (the bytes left)."""
+    placed = _with_places(docs.select(id_col, text_col), id_col, text_col, threshold, gram)
+    found = placed.select(F.col("row")[id_col].cast("long").alias("id"), "text", "places")
+    return found.mapInArrow(cut(threshold), CUT_SCHEMA).withColumnRenamed("id", id_col)
+
+
+def strip_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int | None = None
+) -> DataFrame:
+    """The documents, all their columns, with the text that is left; a character cut in two goes whole."""
+    placed = _with_places(docs, id_col, text_col, threshold, gram)
+    schema = placed.select("row", "text").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut_batch = cut(threshold)
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                numbered = pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(part.num_rows)), part.column("text"), part.column("places")], ["id", "text", "places"]
+                )
+                left = [b.decode("utf-8", "ignore") for out in cut_batch(iter([numbered])) for b in out.column("kept").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(left, pa.string())], ["row", "text"])
+
+    left = placed.mapInArrow(run, schema)
+    return left.select(*(F.col("text").alias(text_col) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

@@ -210,6 +210,20 @@ def scored(model: Model | None):
     return run
 
 
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    max_positive: int = 3000, max_unlabelled: int = 9000,
+) -> Model | None:
+    """The model learnt from all rows but those held out; None without a toxic label."""
+    known = (
+        labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
+        .where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_mod("doc_id", FOLDS) != 0))
+        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    )
+    learnt = texts(docs, id_col, text_col).where(crc_mod("doc_id", FOLDS) != 0)
+    return train(learnt, known, max_positive, max_unlabelled)
+
+
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     max_positive: int = 3000, max_unlabelled: int = 9000,
@@ -218,13 +232,25 @@ def score_toxicity(
 
     Held out are ids whose crc32 modulo 5 is 0; nothing is learnt from them.
     """
+    model = fit_toxicity(docs, labels, id_col, text_col, label_col, max_positive, max_unlabelled)
     own = texts(docs, id_col, text_col).withColumn("held_out", crc_mod("doc_id", FOLDS) == 0)
-    known = (
-        labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
-        .where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_mod("doc_id", FOLDS) != 0))
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    )
-    model = train(own.where("not held_out").select("doc_id", "text"), known, max_positive, max_unlabelled)
     return own.mapInArrow(scored(model), "doc_id long, held_out boolean, score double").select(
         F.col("doc_id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> DataFrame:
+    """The documents, all their columns, that score below 0.5; where they are, without a shuffle."""
+    model = fit_toxicity(docs, labels, id_col, text_col, label_col)
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, text_col):
+                found = features([t or "" for t in part.column(text_col).to_pylist()])
+                yield part.filter(pa.array(model.score(*found, part.num_rows) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
