@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.listings import clean, feature_rows, with_steps
@@ -9,6 +10,7 @@ from checks.registry import query
 from checks.summaries import SAMPLE_PLACE, sql_place
 from tablefit import listing
 from tablefit.functions.hashing import unit_hash
+from tablefit.operators import prep
 from tablefit.operators.grouping import Group, TopNGrouper, left_join_levels
 from tablefit.operators.sampling import sample, sample_n, split
 from tablefit.plans.feature_table import filter_ranges, grouper
@@ -64,8 +66,8 @@ def join_left_top_property_types(spark, sf_dir):
 def _joined(spark, sf_dir, column):
     rows = filtered(spark, sf_dir).select("listing_id", column)
     group = next(g for g in SPEC.groups if g.column == column)
-    table, levels = TopNGrouper([group]).fit(rows).tables[group.output]
-    return left_join_levels(rows, column, table, levels, "top_level")
+    table, size = TopNGrouper([group]).fit(rows).tables[group.output]
+    return left_join_levels(rows, column, table, size, "top_level")
 
 
 _ROUNDED = ["log_number_of_reviews", "log_reviews_per_month", "log_minimum_nights",
@@ -188,3 +190,58 @@ SELECT l_orderkey, l_linenumber, {sql_place('l_orderkey', 'split')} AS place FRO
 def row_hash(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return lines.select("l_orderkey", "l_linenumber", unit_hash("l_orderkey").alias("place"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN t.level IS NULL THEN 'other' ELSE CAST(o_custkey AS VARCHAR) END AS grouped
+FROM orders LEFT JOIN (
+    SELECT CAST(o_custkey AS VARCHAR) AS level FROM orders GROUP BY o_custkey
+    ORDER BY COUNT(*) DESC, CAST(o_custkey AS VARCHAR) LIMIT 1500
+) t ON CAST(o_custkey AS VARCHAR) = t.level
+""")
+def top_n_group_wide(spark, sf_dir):
+    """More than a thousand levels."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    model = TopNGrouper([Group("o_custkey", 1500, "grouped")]).fit(orders)
+    return model.transform(orders).select("o_orderkey", "grouped")
+
+
+@query("""
+SELECT l_orderkey, CAST(l.place AS DOUBLE) AS level_index
+FROM (SELECT *, l_orderkey || '-' || l_linenumber AS k FROM lineitem) JOIN (
+    SELECT k, row_number() OVER (ORDER BY COUNT(*) DESC, k) - 1 AS place
+    FROM (SELECT l_orderkey || '-' || l_linenumber AS k FROM lineitem) GROUP BY k
+) l USING (k)
+""")
+def string_index_wide(spark, sf_dir):
+    """One level per line: tens of thousands."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    level = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    rows = lines.select("l_orderkey", level.alias("level"))
+    return prep.index(["level"]).fit(rows).transform(rows).select("l_orderkey", "level_index")
+
+
+@query("""
+SELECT COUNT(*) AS rows_out, TRUE AS repeatable
+FROM (SELECT 1 FROM lineitem LIMIT 100)
+""")
+def sample_rows_with_nulls(spark, sf_dir):
+    """A hot key whose rows differ only in where their nulls are: any layout gives one sample."""
+    text = F.concat_ws("", F.lit("v"), (F.col("l_linenumber") % 3).cast("string"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", text.alias("v"))
+    swap = F.col("l_orderkey") % 2 == 0
+    rows = lines.select(
+        F.lit("same").alias("key"), F.when(swap, F.col("v")).alias("a"), F.when(~swap, F.col("v")).alias("b")
+    )
+    counted = [
+        sample_n(rows.repartition(n), "key", 100).groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("layout", F.lit(n))
+        for n in (1, 7)
+    ]
+    both = counted[0].unionAll(counted[1])
+    same = both.groupBy("a", "b").agg((F.countDistinct("n") == 1).alias("one"), F.count("*").alias("layouts"))
+    total = F.sum("n").over(Window.partitionBy("layout"))
+    rows_out = both.withColumn("total", total).agg(F.max("total")).first()[0]
+    return same.agg(
+        F.lit(rows_out).cast("bigint").alias("rows_out"),
+        F.every((F.col("one")) & (F.col("layouts") == 2)).alias("repeatable"),
+    )

@@ -7,27 +7,29 @@ of one split.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from checks.features import SPEC, filtered
-from checks.listings import feature_rows, with_steps
+from checks.listings import ABSENT, feature_rows, with_steps
 from checks.registry import query
 from checks.summaries import sql_place
 from tablefit.operators import evaluate, models, prep
 from tablefit.operators.sampling import split
 from tablefit.plans.price_model import train_and_compare
 from tablefit.sources.tables import written
+from tablefit.specs import FeatureSpec
 
 TRAIN = f"{sql_place('listing_id', 'split')} < 0.8::DOUBLE"
-CATS = ["neighbourhood_cleansed", "cancellation_policy", "room_type"]
+CATS = list(SPEC.cats)
 
 
 def _index_sql(name: str) -> str:
     return f"""
     {name}_levels AS (
         SELECT {name} AS level, row_number() OVER (ORDER BY COUNT(*) DESC, {name}) - 1 AS place
-        FROM filtered WHERE {TRAIN} AND {name} IS NOT NULL GROUP BY {name}
+        FROM features WHERE {TRAIN} AND {name} IS NOT NULL GROUP BY {name}
     )"""
 
 
@@ -35,7 +37,7 @@ def _index_joins(columns: str, template: str) -> str:
     joins = " ".join(f"LEFT JOIN {c}_levels ON f.{c} = {c}_levels.level" for c in CATS)
     shown = ", ".join(template.format(c=c) for c in CATS)
     levels = ",".join(_index_sql(c) for c in CATS)
-    return with_steps("filtered", f"WITH {levels} SELECT {columns}, {shown} FROM filtered f {joins}")
+    return with_steps("features", f"WITH {levels} SELECT {columns}, {shown} FROM features f {joins}")
 
 
 @query(_index_joins(
@@ -44,7 +46,7 @@ def _index_joins(columns: str, template: str) -> str:
 ))
 def string_index(spark, sf_dir):
     """Indices of all rows, from the frequencies of the training rows."""
-    rows = filtered(spark, sf_dir)
+    rows = feature_rows(spark, sf_dir)
     model = prep.index(CATS).fit(split(rows, "listing_id")[0])
     return model.transform(rows).select("listing_id", *[f"{c}_index" for c in CATS])
 
@@ -56,7 +58,7 @@ def string_index(spark, sf_dir):
 ))
 def one_hot_width(spark, sf_dir):
     """Where each row's 1.0 stands, and how wide its vector is."""
-    rows = filtered(spark, sf_dir)
+    rows = feature_rows(spark, sf_dir)
     stages = Pipeline(stages=[prep.index(CATS), prep.one_hot(CATS)])
     encoded = stages.fit(split(rows, "listing_id")[0]).transform(rows)
     shown = []
@@ -67,27 +69,49 @@ def one_hot_width(spark, sf_dir):
     return encoded.select("listing_id", *shown)
 
 
-IMPUTED = ["bathrooms", "bedrooms", "beds", "number_of_reviews", "reviews_per_month",
-           "review_scores_rating", "host_is_superhost", "maximum_nights_avg_ntm"]
+NUMS = list(SPEC.nums)
 
 
 def _median_sql(name: str) -> str:
     # The column without any value is filled with 0.
     return (
-        f"coalesce({name}, (SELECT quantile_disc({name}, 0.5) FROM filtered WHERE {TRAIN}), "
-        f"0.0::DOUBLE) AS {name}_imputed"
+        f"coalesce(CAST({name} AS DOUBLE), (SELECT CAST(quantile_disc({name}, 0.5) AS DOUBLE) FROM features "
+        f"WHERE {TRAIN}), 0.0::DOUBLE)"
     )
 
 
-@query(with_steps("filtered", f"""
-SELECT listing_id, {', '.join(_median_sql(c) for c in IMPUTED)}
-FROM filtered WHERE NOT ({TRAIN})
+def _rounded_imputed():
+    return [F.round(f"{c}_imputed", 9).alias(f"{c}_imputed") for c in NUMS]
+
+
+@query(with_steps("features", f"""
+SELECT listing_id, {', '.join(f"round({_median_sql(c)}, 9) AS {c}_imputed" for c in NUMS)}
+FROM features WHERE NOT ({TRAIN})
 """))
 def impute_median(spark, sf_dir):
-    """Test rows filled with the exact medians of the training rows."""
-    train, test = split(filtered(spark, sf_dir).select("listing_id", *IMPUTED), "listing_id")
-    model = prep.impute(IMPUTED, rel_error=0.0).fit(train)
-    return model.transform(test).select("listing_id", *[f"{c}_imputed" for c in IMPUTED])
+    """Test rows filled with the exact medians of the training rows, every number."""
+    train, test = split(feature_rows(spark, sf_dir).select("listing_id", *NUMS), "listing_id")
+    model = prep.impute(NUMS, rel_error=0.0).fit(train)
+    return model.transform(test).select("listing_id", *_rounded_imputed())
+
+
+def _within(value: Column, column: str, share: float, error: float) -> Column:
+    """Whether the rank of `value` in the column is within `error` of the rows of `share`."""
+    known = F.col(column).isNotNull()
+    n = F.count_if(known)
+    below, upto = F.count_if(known & (F.col(column) < value)), F.count_if(known & (F.col(column) <= value))
+    # and one row, as a rank is a whole number
+    slack = error * n + 1
+    return F.coalesce((below <= share * n + slack) & (upto >= share * n - slack), F.lit(True))
+
+
+@query(with_steps("features", "\nUNION ALL ".join(f"SELECT '{c}' AS name, TRUE AS close FROM (SELECT 1)" for c in NUMS)))
+def impute_median_approximate(spark, sf_dir):
+    """The default medians are within their rank error, every number."""
+    train, _ = split(feature_rows(spark, sf_dir).select("listing_id", *NUMS), "listing_id")
+    fills = prep.impute(NUMS).fit(train).fills
+    close = train.agg(*(_within(F.lit(fills[c]), c, 0.5, prep.REL_ERROR).alias(c) for c in NUMS))
+    return close.unpivot([], NUMS, "name", "close")
 
 
 @query("""
@@ -103,28 +127,32 @@ def cast_numeric(spark, sf_dir):
     return prep.to_double(["l_linenumber", "l_tax", "whole"]).transform(lines)
 
 
-@query(with_steps("filtered", """
-SELECT listing_id, CAST(3 AS INTEGER) AS width, bathrooms + bedrooms + accommodates AS total
-FROM filtered WHERE bathrooms IS NOT NULL AND bedrooms IS NOT NULL AND accommodates IS NOT NULL
+# Numbers that some rows lack, but every column has.
+ASSEMBLED = [c for c in NUMS if c not in ABSENT]
+_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in ASSEMBLED)
+
+
+@query(with_steps("features", f"""
+SELECT listing_id, CAST({len(ASSEMBLED)} AS INTEGER) AS width,
+       round({' + '.join(f'CAST({c} AS DOUBLE)' for c in ASSEMBLED)}, 6) AS total
+FROM features WHERE {_COMPLETE}
 """))
 def assembled_rows(spark, sf_dir):
-    """Rows that survive assembly, with the sum of their vector."""
-    stage = prep.assemble(["bathrooms", "bedrooms", "accommodates"])
+    """Rows that survive assembly of the spec's numbers, with the sum of their vector."""
+    stage = prep.assemble(ASSEMBLED)
     values = vector_to_array("features_raw")
-    return stage.transform(filtered(spark, sf_dir)).select(
+    return stage.transform(feature_rows(spark, sf_dir)).select(
         "listing_id",
         F.size(values).alias("width"),
-        F.aggregate(values, F.lit(0.0), lambda total, v: total + v).alias("total"),
+        F.round(F.aggregate(values, F.lit(0.0), lambda total, v: total + v), 6).alias("total"),
     )
 
 
-@query(with_steps("filtered", """
-SELECT COUNT(*) AS rows,
-       COUNT(*) FILTER (WHERE bathrooms IS NULL OR bedrooms IS NULL OR beds IS NULL) AS skipped
-FROM filtered
+@query(with_steps("features", f"""
+SELECT COUNT(*) AS rows, COUNT(*) FILTER (WHERE NOT ({_COMPLETE})) AS skipped FROM features
 """))
 def filter_assembled(spark, sf_dir):
-    return prep.skipped_rows(filtered(spark, sf_dir), ["bathrooms", "bedrooms", "beds"])
+    return prep.skipped_rows(feature_rows(spark, sf_dir), ASSEMBLED)
 
 
 SCALED = ["accommodates", "minimum_nights", "availability_365", "require_guest_profile_picture"]
@@ -176,6 +204,49 @@ def vector_size(spark, sf_dir):
     )
 
 
+def _vector_sql() -> str:
+    """Every non-zero entry of the vectors of test rows, unscaled and scaled."""
+    levels = ",".join(_index_sql(c) for c in CATS)
+    entries, offset = [], "0"
+    for c in CATS:
+        entries.append(
+            f"SELECT listing_id, train, {offset} + coalesce(l.place, (SELECT COUNT(*) FROM {c}_levels)) AS place, "
+            f"1.0::DOUBLE AS value FROM sides f LEFT JOIN {c}_levels l ON f.{c} = l.level"
+        )
+        offset += f" + (SELECT COUNT(*) FROM {c}_levels) + 1"
+    for i, c in enumerate(NUMS):
+        entries.append(f"SELECT listing_id, train, {offset} + {i} AS place, {_median_sql(c)} AS value FROM sides")
+    return with_steps("features", f"""
+    WITH sides AS (SELECT *, {TRAIN} AS train FROM features), {levels},
+    entries AS MATERIALIZED ({' UNION ALL '.join(entries)}),
+    moments AS (
+        SELECT place, sum(value) / n AS mean, n, sum(value) AS total, sum(value * value) AS squares
+        FROM entries, (SELECT COUNT(*) AS n FROM sides WHERE train) WHERE train GROUP BY place, n
+    ),
+    spread AS (
+        SELECT e.place, sqrt((sum((e.value - m.mean) ** 2) + (m.n - COUNT(*)) * m.mean ** 2) / (m.n - 1)) AS deviation
+        FROM entries e JOIN moments m ON e.place = m.place WHERE e.train GROUP BY e.place, m.mean, m.n
+    )
+    SELECT listing_id, CAST(e.place AS INTEGER) AS place, round(value, 6) AS raw,
+           round(CASE WHEN coalesce(deviation, 0) > 1e-12 THEN value / deviation ELSE 0.0::DOUBLE END, 6) AS scaled
+    FROM entries e LEFT JOIN spread s ON e.place = s.place WHERE NOT train AND value != 0
+    """)
+
+
+@query(_vector_sql())
+def whole_vector(spark, sf_dir):
+    """All entries of the test rows' vectors that are not 0, with exact medians."""
+    rows = feature_rows(spark, sf_dir).select("listing_id", *SPEC.cats, *SPEC.nums)
+    train, test = split(written(rows, "features"), "listing_id")
+    prepared = prep.build(SPEC, rel_error=0.0).fit(train).transform(test)
+    both = F.arrays_zip(
+        vector_to_array("features_raw").alias("raw"), vector_to_array("features").alias("scaled")
+    )
+    return prepared.select("listing_id", F.posexplode(both).alias("place", "entry")).where("entry.raw != 0").select(
+        "listing_id", "place", F.round("entry.raw", 6).alias("raw"), F.round("entry.scaled", 6).alias("scaled")
+    )
+
+
 def _one_feature(spark, sf_dir):
     rows = filtered(spark, sf_dir).select("listing_id", "price", "accommodates")
     return split(prep.assemble(["accommodates"]).transform(rows), "listing_id")
@@ -380,15 +451,88 @@ def worst_predictions(spark, sf_dir):
     return evaluate.examples(rows, "price", "listing_id", context=CONTEXT, worst=True)
 
 
-def _fitted(spark, sf_dir, sample_rows):
+_ONE = FeatureSpec(
+    label="price", cats=[], nums=["accommodates"], excluded={"price": "label", "listing_id": "identifier"}
+)
+
+
+def _stump_body() -> str:
+    return _STUMP.strip().removeprefix("WITH").rsplit("SELECT listing_id, price,", 1)[0]
+
+
+@query(with_steps("filtered", f"""
+WITH {_stump_body()},
+line AS (
+    SELECT regr_slope(price, accommodates) / (1 + 100.0::DOUBLE / stddev_pop(price)) AS slope,
+           avg(price) AS y, avg(accommodates) AS x
+    FROM filtered WHERE {TRAIN}
+),
+priced AS (
+    SELECT price, y + slope * (accommodates - x) AS by_line,
+           CASE WHEN accommodates <= cut THEN below ELSE above END AS by_stump
+    FROM filtered, best, line WHERE NOT ({TRAIN})
+)
+{_metrics_sql("'linear'", 'by_line')} UNION ALL {_metrics_sql("'tree'", 'by_stump')}
+UNION ALL {_metrics_sql("'forest'", 'by_stump')}
+"""))
+def train_compare(spark, sf_dir):
+    """Split, fit on all training rows, predict and compare on all test rows."""
+    rows = filtered(spark, sf_dir).select("listing_id", "price", "accommodates")
+    estimators = {
+        "linear": models.linear("price", reg=100.0),
+        "tree": models.tree("price", depth=1, min_rows=10),
+        "forest": models.forest("price", trees=3, depth=1, min_rows=10, subsample=1.0).setBootstrap(False),
+    }
+    found = train_and_compare(rows, _ONE, "listing_id", estimators, max_train_rows=0).comparison
+    return found.select("model", *_rounded_metrics(found))
+
+
+@query(with_steps("features", f"""
+SELECT model, COUNT(*) AS n
+FROM features, (VALUES ('linear_regression'), ('decision_tree'), ('random_forest')) AS m(model)
+WHERE NOT ({TRAIN}) GROUP BY model
+"""))
+def compared_rows(spark, sf_dir):
+    """However few rows are fitted on, all test rows are compared."""
+    return _fitted(spark, sf_dir, 500).comparison.select("model", "n")
+
+
+@query(with_steps("features", "SELECT TRUE AS holds, TRUE AS centred"))
+def ridge_normal_equations(spark, sf_dir):
+    """Ridge on the whole scaled vector, regParam 0.1: its gradient vanishes.
+
+    For every column x that varies, covar(x, residual) is regParam / sd(price) *
+    var(x) * coefficient, and residuals have mean 0, to 1e-4 of a deviation.
+    """
+    train, _ = split(feature_rows(spark, sf_dir).select("listing_id", "price", *SPEC.cats, *SPEC.nums), "listing_id")
+    vectors = written(
+        prep.build(SPEC).fit(train).transform(train).select("price", vector_to_array("features").alias("x")), "vectors"
+    )
+    as_vector = vectors.withColumn("features", array_to_vector("x"))
+    model = models.linear("price", reg=0.1).fit(as_vector)
+    found = model.transform(as_vector)
+    residual = F.col("price") - F.col("prediction")
+    weights = F.array(*map(F.lit, model.coefficients.toArray().tolist()))
+    spread = found.agg(F.stddev_pop("price").alias("sy"), F.avg(residual).alias("mean")).first()
+    entries = found.select(residual.alias("r"), F.posexplode("x").alias("place", "x")).groupBy("place").agg(
+        F.covar_pop("x", "r").alias("along"), F.stddev_pop("x").alias("sx")
+    )
+    gap = F.abs(F.col("along") - 0.1 / spread.sy * weights[F.col("place")] * F.col("sx") * F.col("sx"))
+    return entries.where("sx > 1e-9").agg(
+        (F.max(gap / F.col("sx")) < 1e-4 * spread.sy).alias("holds"),
+        F.lit(abs(spread.mean) < 1e-4 * spread.sy).alias("centred"),
+    )
+
+
+def _fitted(spark, sf_dir, max_train_rows):
     keys = ["listing_id", "host_id"]
     features = feature_rows(spark, sf_dir).select(*keys, SPEC.label, *SPEC.cats, *SPEC.nums)
-    return train_and_compare(features, SPEC, "listing_id", sample_rows=sample_rows)
+    return train_and_compare(features, SPEC, "listing_id", max_train_rows=max_train_rows)
 
 
 @query()
 def model_comparison(spark, sf_dir):
-    """The three regressors on a sample of 5000 rows."""
+    """The three regressors fitted on 5000 training rows."""
     return _fitted(spark, sf_dir, 5000).comparison
 
 

@@ -70,7 +70,7 @@ def source_file(spark, sf_dir):
 @query(with_steps("clean", "SELECT * FROM clean"), name="write_parquet")
 def written_table(spark, sf_dir):
     path = shared_path(spark, "write_parquet")
-    write_table(derived_clean(spark, sf_dir), path, partitions=32)
+    write_table(derived_clean(spark, sf_dir), path, rebalance=True)
     return read_table(spark, path)
 
 
@@ -102,17 +102,41 @@ def scan_parquet(spark, sf_dir):
 
 
 @query(with_steps("clean", """
-SELECT room_type, COUNT(*) AS rows_before, COUNT(*) AS rows_after, 0::BIGINT AS difference
+SELECT room_type, COUNT(*) AS rows_before, COUNT(*) AS rows_after, 0::BIGINT AS difference,
+       0::BIGINT AS malformed
 FROM clean GROUP BY room_type
 """), name="verify_write")
 def converted(spark, sf_dir):
     """The whole conversion: CSV in, clean Parquet out, rows checked."""
     source = _write_csv(raw(spark, sf_dir), "convert_source")
     return convert_csv(
-        spark, source, shared_path(spark, "convert_target"), listing.LISTING_CLEAN, partitions=32
+        spark, source, shared_path(spark, "convert_target"), listing.LISTING_CLEAN
     )
 
 
+@query(with_steps("raw", """
+SELECT room_type, COUNT(*) AS rows_before, COUNT(*) AS rows_after, 0::BIGINT AS difference,
+       COUNT(*) FILTER (WHERE k % 7 < 2) AS malformed
+FROM (SELECT TRIM(room_type) AS room_type, CAST(TRIM(id) AS BIGINT) AS k FROM raw)
+WHERE room_type IN ('Entire home/apt', 'Private room', 'Shared room', 'Hotel room') GROUP BY room_type
+"""))
+def convert_malformed(spark, sf_dir):
+    """Rows with a cell too many or too few are converted and counted."""
+    id_, kind = F.trim("id"), F.trim("room_type")
+    k = id_.cast("bigint") % 7
+    ending = F.when(k == 0, ",more,cells").when(k == 1, "").otherwise(",2020-01-01")
+    lines = raw(spark, sf_dir).select(F.concat(id_, F.lit(","), kind, ending).alias("value"))
+    path = shared_path(spark, "malformed")
+    spark.range(1).select(F.lit("id,room_type,last_scraped").alias("value")).coalesce(1).write.text(f"{path}/header")
+    lines.write.text(f"{path}/rows")
+    # every file begins with the header
+    both = spark.read.text(f"{path}/header").withColumn("o", F.lit(0)).union(
+        spark.read.text(f"{path}/rows").withColumn("o", F.lit(1))
+    )
+    both.coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{path}/csv")
+    return convert_csv(spark, f"{path}/csv", shared_path(spark, "malformed_target"), listing.LISTING_CLEAN)
+
+
 @query(with_steps("clean", """
 SELECT * EXCLUDE (source_file) REPLACE (
     NULLIF(neighbourhood_cleansed, 'unknown') AS neighbourhood_cleansed
@@ -123,7 +147,7 @@ def csv_round_trip(spark, sf_dir):
     neighbourhood that was empty stays null instead of 'unknown'."""
     source = _write_csv(raw(spark, sf_dir), "round_trip_source")
     target = shared_path(spark, "round_trip_target")
-    convert_csv(spark, source, target, listing.LISTING_CLEAN, partitions=8)
+    convert_csv(spark, source, target, listing.LISTING_CLEAN)
     return read_table(spark, target).drop("source_file")
 
 

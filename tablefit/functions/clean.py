@@ -12,7 +12,15 @@ from pyspark.sql import functions as F
 
 
 def has(df: DataFrame, name: str) -> bool:
-    return name in df.columns
+    """Whether the session would find a column of this name."""
+    if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
+        return name in df.columns
+    return name.lower() in {c.lower() for c in df.columns}
+
+
+def finite(value: Column) -> Column:
+    """NaN and infinities, which text may spell, are no numbers here."""
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def column(name: str) -> Column:
@@ -49,7 +57,7 @@ def currency(df: DataFrame, name: str, symbols: str = "$,") -> Column:
         return absent("double")
     # translate drops the characters in one pass; a regular expression would
     # run its matcher on every cell for the same text.
-    return F.translate(column(name), symbols, "").try_cast("double")
+    return finite(F.translate(column(name), symbols, "").try_cast("double"))
 
 
 def flag(df: DataFrame, name: str, true: str = "t", false: str = "f") -> Column:
@@ -65,7 +73,7 @@ def number(df: DataFrame, name: str) -> Column:
         return absent("double")
     # Blank text is common and never a number; it is sorted out before the
     # parser, which would have to raise and catch an error for each.
-    return string(df, name).try_cast("double")
+    return finite(string(df, name).try_cast("double"))
 
 
 def date(df: DataFrame, name: str) -> Column:

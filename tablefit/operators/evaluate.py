@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 
 def _metric_columns(label: str, prediction: str) -> list[Column]:
-    y, error = F.col(label), F.col(label) - F.col(prediction)
-    rows = F.count(F.lit(1))
+    # only rows that have both count, in every figure
+    error = F.col(label) - F.col(prediction)
+    y = F.when(error.isNotNull(), F.col(label))
+    rows = F.count(error)
     # var_pop is merged from centred moments, so large labels cost no digits;
     # a constant label has no variance to explain.
     explained = F.nullif(F.var_pop(y) * rows, F.lit(0.0))
@@ -23,7 +25,8 @@ def _metric_columns(label: str, prediction: str) -> list[Column]:
 
 
 def metrics(df: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
-    """One row with rmse, mae, r2 and the row count, from a single aggregate."""
+    """One row with rmse, mae, r2 and n, from a single aggregate; rows without a
+    label or a prediction count in none of them."""
     return df.agg(*_metric_columns(label, prediction))
 
 

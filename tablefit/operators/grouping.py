@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many levels are fetched by fit, and Spark cuts each task's levels
-# to the limit before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
-FETCHED_LEVELS = 1000
+from tablefit.sources.tables import written
+
 BROADCAST_BYTES = 8 << 20
 
 
@@ -36,18 +35,13 @@ class TopNGrouper:
     null_takes_place: bool = True
 
     def fit(self, df: DataFrame) -> TopNModel:
-        tables = {}
-        fetched = [g for g in self.groups if g.n <= FETCHED_LEVELS]
-        if fetched:
-            tables |= self._fetch(df, fetched)
-        for group in self.groups:
-            if group.n > FETCHED_LEVELS:
-                tables[group.output] = (self._most_frequent(df, group), None)
-        return TopNModel(tuple(self.groups), self.other, tables)
+        """Count the levels of all columns in one scan, and write the chosen ones.
 
-    def _fetch(self, df: DataFrame, groups: Sequence[Group]):
-        """Levels of all columns from one scan and one aggregate."""
-        names = list(dict.fromkeys(g.column for g in groups))
+        Each task hands on its `n` first levels at most, so a column of any
+        width is cut before its levels meet.  The levels are written: what
+        happens to `df` later changes nothing.
+        """
+        names = list(dict.fromkeys(g.column for g in self.groups))
         counts = (
             df.select(*[F.col(n).cast("string").alias(n) for n in names])
             .unpivot([], names, "column", "level")
@@ -56,37 +50,27 @@ class TopNGrouper:
         )
         if not self.null_takes_place:
             counts = counts.filter(F.col("level").isNotNull())
-        place = F.row_number().over(
-            Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_last("level"))
-        )
-        places = counts.select("column", "level", place.alias("place"))
-        rows = places.filter(F.col("place") <= max(g.n for g in groups)).collect()
-        tables = {}
-        for group in groups:
-            found = sorted((r.place, r.level) for r in rows
-                           if r.column == group.column and r.place <= group.n)
-            levels = [level for _, level in found if level is not None]
-            # An Arrow table becomes a local relation, of a size Spark knows.
-            table = df.sparkSession.createDataFrame(
-                pa.table({"level": pa.array(levels, pa.string())})
-            )
-            tables[group.output] = (table, levels)
-        return tables
-
-    def _most_frequent(self, df: DataFrame, group: Group) -> DataFrame:
-        level = F.col(group.column).cast("string").alias("level")
-        counts = df.select(level).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
-        if not self.null_takes_place:
-            counts = counts.filter(F.col("level").isNotNull())
-        top = counts.orderBy(F.desc("n"), F.asc_nulls_last("level")).limit(group.n)
-        return top.filter(F.col("level").isNotNull()).select("level")
+        counts = written(counts, "level-counts")
+        chosen = [self._most_frequent(counts, g) for g in self.groups]
+        levels = written(reduce(DataFrame.unionAll, chosen), "levels")
+        sizes = dict(levels.groupBy("output").agg(F.sum(F.octet_length("level"))).collect())
+        tables = {
+            g.output: (levels.filter(F.col("output") == g.output).select("level"), sizes.get(g.output, 0))
+            for g in self.groups
+        }
+        return TopNModel(tuple(self.groups), self.other, tables)
+
+    def _most_frequent(self, counts: DataFrame, group: Group) -> DataFrame:
+        own = counts.filter(F.col("column") == group.column)
+        top = own.orderBy(F.desc("n"), F.asc_nulls_last("level")).limit(group.n)
+        return top.filter(F.col("level").isNotNull()).select(F.lit(group.output).alias("output"), "level")
 
 
 @dataclass(frozen=True)
 class TopNModel:
     groups: tuple[Group, ...]
     other: str
-    tables: dict[str, tuple[DataFrame, list[str] | None]]
+    tables: dict[str, tuple[DataFrame, int]]
 
     def levels(self, output: str) -> DataFrame:
         return self.tables[output][0]
@@ -100,16 +84,16 @@ class TopNModel:
 
 
 def left_join_levels(
-    df: DataFrame, column: str, table: DataFrame, levels: list[str] | None, output: str
+    df: DataFrame, column: str, table: DataFrame, size: int, output: str
 ) -> DataFrame:
     """Left outer join of a table to a list of distinct levels; `output` is the
     level, or null where the row has none of them.
 
-    The list is broadcast when it was fetched and its bytes are within bounds,
-    so that a level with a third of all rows moves no row.  A longer list is
-    left to Spark, which splits a skewed partition of the join at run time.
+    `size` is the list's bytes.  Within bounds it is broadcast, so that a level
+    with a third of all rows moves no row.  A longer list is left to Spark,
+    which splits a skewed partition of the join at run time.
     """
     right = table.select(F.col("level").alias(output))
-    if levels is not None and sum(len(v.encode()) for v in levels) <= BROADCAST_BYTES:
+    if size <= BROADCAST_BYTES:
         right = F.broadcast(right)
     return df.join(right, F.col(column).cast("string") == F.col(output), "left")

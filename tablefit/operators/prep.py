@@ -1,12 +1,13 @@
 """Feature vectors: index, encode, impute, assemble and scale.
 
 The stages are Spark ML's own wherever their fit holds at scale.  Two fits are
-replaced: levels are counted by an ordinary aggregate with a checked bound
+replaced: levels are counted by an ordinary aggregate, on request with a bound
 (they end up on the driver), and medians survive a column without values.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
@@ -20,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablefit.operators.quantiles import exact_quantiles
+from tablefit.sources.tables import written
 from tablefit.specs import FeatureSpec
 
-MAX_LEVELS = 10_000
 REL_ERROR = 0.001
 
 
@@ -30,11 +31,12 @@ class LevelIndexer(Estimator):
     """Levels to indices by falling frequency, equal ones by name.
 
     Fits to Spark's StringIndexerModel for each column; a null or unseen level
-    gets the index after the last.  All columns are counted in one scan.  A
-    column of more than `max_levels` levels fails: group it first.
+    gets the index after the last.  All columns are counted in one scan.  Levels
+    and vectors of that width are held by the driver, as Spark ML does; with
+    `max_levels` a column of more levels fails instead.
     """
 
-    def __init__(self, cats: Sequence[str], suffix: str = "_index", max_levels: int = MAX_LEVELS):
+    def __init__(self, cats: Sequence[str], suffix: str = "_index", max_levels: int | None = None):
         super().__init__()
         self.cats, self.suffix, self.max_levels = list(cats), suffix, max_levels
 
@@ -46,16 +48,15 @@ class LevelIndexer(Estimator):
             .groupBy("column", "level")
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        bound = self.max_levels * len(self.cats)
+        if self.max_levels is not None:
+            counts = written(counts, "level-counts")
+            sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("levels"))
+            wide = sorted(r.column for r in sizes.filter(F.col("levels") > self.max_levels).collect())
+            if wide:
+                raise ValueError(f"more than {self.max_levels} levels in {wide}; group them first")
         found: dict[str, list] = {c: [] for c in self.cats}
-        rows = counts.limit(bound + 1).collect()
-        for row in rows:
+        for row in counts.collect():
             found[row.column].append((-row.n, row.level))
-        wide = [c for c, levels in found.items() if len(levels) > self.max_levels]
-        if wide or len(rows) > bound:
-            raise ValueError(
-                f"more than {self.max_levels} levels in {wide or self.cats}; group them first"
-            )
         # One model per column: PySpark pads label lists of unequal length that
         # it passes together.
         return PipelineModel(
@@ -82,9 +83,9 @@ class ToDouble(Transformer):
 class MedianImputer(Estimator):
     """Null and NaN become the median (the lower middle value) of the column.
 
-    With `rel_error` above 0 the median is the one Spark's Imputer finds; 0
-    takes more passes and gives the exact one.  A column without any value
-    gets `empty_value`, and the fitted model lists it in `empty`.
+    With `rel_error` above 0 the median is within that share of the rows, all
+    columns in one aggregate; 0 takes more passes and gives the exact one.  A
+    column without any value gets `empty_value`, and the fitted model lists it in `empty`.
     """
 
     def __init__(
@@ -101,8 +102,12 @@ class MedianImputer(Estimator):
     def _fit(self, dataset: DataFrame) -> MedianModel:
         doubles = dataset.select(*[F.col(c).cast("double").alias(c) for c in self.nums])
         if self.rel_error > 0:
-            found = doubles.approxQuantile(self.nums, [0.5], self.rel_error)
-            medians = {c: (v[0] if v else None) for c, v in zip(self.nums, found)}
+            accuracy = math.ceil(1 / self.rel_error)
+            middle = [
+                F.percentile_approx(F.when(~F.isnan(c), F.col(c)), 0.5, accuracy).alias(f"m{i}")
+                for i, c in enumerate(self.nums)
+            ]
+            medians = dict(zip(self.nums, doubles.agg(*middle).first())) if middle else {}
         else:
             exact = exact_quantiles(doubles, {c: [0.5] for c in self.nums})
             medians = {c: v[0] for c, v in exact.items()}
@@ -125,7 +130,7 @@ class MedianModel(Model):
         return dataset.withColumns(filled)
 
 
-def index(cats: Sequence[str], max_levels: int = MAX_LEVELS) -> LevelIndexer:
+def index(cats: Sequence[str], max_levels: int | None = None) -> LevelIndexer:
     return LevelIndexer(cats, max_levels=max_levels)
 
 
@@ -170,17 +175,16 @@ def assembled_inputs(spec: FeatureSpec) -> list[str]:
     return [f"{c}_encoded" for c in spec.cats] + [f"{c}_imputed" for c in spec.nums]
 
 
-def build(spec: FeatureSpec, rel_error: float = REL_ERROR) -> Pipeline:
-    """All preparation stages; fit it on the training rows only."""
-    return Pipeline(
-        stages=[
-            index(spec.cats),
-            one_hot(spec.cats),
-            impute(spec.nums, rel_error=rel_error),
-            assemble(assembled_inputs(spec)),
-            scale(),
-        ]
-    )
+def build(
+    spec: FeatureSpec, rel_error: float = REL_ERROR, max_levels: int | None = None
+) -> Pipeline:
+    """All preparation stages; fit it on the training rows only.
+
+    `max_levels` bounds the levels of a category (see `LevelIndexer`).
+    """
+    categories = [index(spec.cats, max_levels), one_hot(spec.cats)] if spec.cats else []
+    numbers = [impute(spec.nums, rel_error=rel_error)] if spec.nums else []
+    return Pipeline(stages=[*categories, *numbers, assemble(assembled_inputs(spec)), scale()])
 
 
 def _invalid(df: DataFrame, name: str) -> Column:

@@ -5,8 +5,9 @@ Spark's `percentile` keeps every distinct value in one task, and
 coarse sketch (`approxQuantile`, merged in a tree) only proposes a bracket
 around each wanted rank; plain counts over the whole table then say how many
 rows lie below and inside it.  Rows inside shrink more than a hundredfold per
-round, and the last, small remainder is ranked exactly.  The answer is the
-value at the rank, never an interpolation.
+round, and the last, small remainder, of at most `ranked_rows` values, is
+ranked by an ordinary aggregate.  The answer is the value at the rank, never an
+interpolation, and does not depend on `ranked_rows`.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REL_ERROR = 0.001
@@ -124,14 +125,38 @@ def _order_statistics(values, ranks, counts, ranked_rows, guesses=None):
                 raise ArithmeticError("values differ between passes; write the table first")
     small = [t for t in open_targets if t.value is None]
     if small:
-        for target, (value, _) in zip(small, _sketched(values, small, 0.0, 0.0)):
-            target.value = value
+        _rank(values, small)
     return {name: [t.value for t in ts] for name, ts in targets.items()}
 
 
+def _rank(values: DataFrame, targets: list[_Target]) -> None:
+    """Settle targets of few rows: count their values, then run over the counts.
+
+    One narrow row per value and target, so the number of columns does not
+    matter; each target's distinct values, bounded by the caller, are one window.
+    """
+    inside = values.filter(_any([t.inside() for t in targets]))
+    names = [f"t{i}" for i in range(len(targets))]
+    picked = inside.select(*[F.when(t.inside(), F.col(t.column)).alias(n) for n, t in zip(names, targets)])
+    counts = (
+        picked.unpivot([], names, "target", "value")
+        .filter(F.col("value").isNotNull())
+        .groupBy("target", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    upto = F.sum("n").over(Window.partitionBy("target").orderBy("value"))
+    rank = F.create_map(*(F.lit(x) for n, t in zip(names, targets) for x in (n, t.rank)))[F.col("target")]
+    at_rank = counts.withColumn("upto", upto).filter((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank))
+    found = {r.target: r.value for r in at_rank.collect()}
+    for name, target in zip(names, targets):
+        if name not in found:
+            raise ArithmeticError("values differ between passes; write the table first")
+        target.value = found[name]
+
+
 def _sketched(values: DataFrame, targets: list[_Target], error: float, margin: float):
     """A bracket per target, `margin` of the rows to either side, from one
-    sketch pass; without error and margin both ends are the wanted value."""
+    sketch pass."""
     inside = values.filter(_any([t.inside() for t in targets]))
     picked = inside.select(
         *[F.when(t.inside(), F.col(t.column)).alias(f"t{i}") for i, t in enumerate(targets)]

@@ -8,13 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablefit.functions.clean import column
 from tablefit.functions.hashing import unit_hash
 from tablefit.operators.quantiles import order_statistic
 
 Key = str | Sequence[str]
 
-FETCHED_PLACES = 100_000
-
 
 def sample(df: DataFrame, key: Key, fraction: float, seed: int = 42) -> DataFrame:
     """About `fraction` of the keys, with all their rows: a filter, no shuffle."""
@@ -36,7 +35,9 @@ def sample_n(df: DataFrame, key: Key, n: int, seed: int = 42) -> DataFrame:
     rows = df.agg(F.count(F.lit(1)).alias("n")).first().n
     if n >= rows:
         return df
-    whole_row = F.shiftrightunsigned(F.xxhash64(*df.columns), 11) / F.lit(float(2**53))
+    # A hash skips nulls, so each column says first whether it is one.
+    cells = [x for c in df.columns for x in (column(c).isNull(), column(c))]
+    whole_row = F.shiftrightunsigned(F.xxhash64(*cells), 11) / F.lit(float(2**53))
     return _smallest(df, n, rows, [unit_hash(key, seed, "sample"), whole_row])
 
 
@@ -56,17 +57,6 @@ def _cut(places: DataFrame, n: int, rows: int) -> tuple[float, int, int]:
     # Places are uniform, so the n-th lies this close to n / rows.
     spread = 8 * math.sqrt(n) + 8
     low, width = (n - spread) / rows, 2 * spread / rows
-    # -1, 0 or 1 for below, inside and above; the costly place is used once.
-    side = F.greatest(F.least(F.floor((F.col("place") - low) / width), F.lit(1)), F.lit(-1))
-    sides = dict(places.groupBy(side.alias("side")).count().collect())
-    below, inside = sides.get(-1, 0), sides.get(0, 0)
-    if below < n <= below + inside and inside <= FETCHED_PLACES:
-        counts = places.filter(side == 0).groupBy("place").count().orderBy("place")
-        for place, at in counts.limit(n - below).collect():
-            if below + at >= n:
-                return place, below, at
-            below += at
-    # A very large sample, or many rows of one key, which makes places uneven.
     cut = order_statistic(places, "place", n, rows, (low, low + width))
     found = places.agg(
         F.count_if(F.col("place") < cut).alias("below"),

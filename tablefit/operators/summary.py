@@ -35,13 +35,15 @@ def distribution(
     digits: int = 2,
 ) -> DataFrame:
     """One row: count, rounded mean, percentiles, and on request the sample
-    standard deviation, minimum and maximum of the non-null values.
+    standard deviation, minimum and maximum of the values; null and NaN are none.
 
     Percentiles are approximate within 1/`accuracy` of the rows, in the same
     pass as the rest.  `exact` takes extra passes and gives the value at the
     exact rank, in bounded memory.
     """
     rows = keep_not_null(df.select(col), col)
+    if rows.schema[col].dataType.typeName() in ("double", "float"):
+        rows = rows.filter(~F.isnan(col))
     names = [percentile_name(p) for p in probs]
     aggregates = [
         F.count(F.lit(1)).alias("total"),

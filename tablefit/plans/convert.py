@@ -13,6 +13,8 @@ from tablefit.sources.csv import read_text_csv, with_source_file
 from tablefit.sources.tables import read_table, write_table
 from tablefit.specs import CleanSpec
 
+MALFORMED = "_malformed"
+
 
 def convert_csv(
     spark: SparkSession,
@@ -24,16 +26,24 @@ def convert_csv(
     multiline: bool = True,
 ) -> DataFrame:
     """Write the clean table and return rows per kept value, handed to the
-    writer and read back, with their difference.
+    writer and read back, with their difference, and how many of them had more
+    or fewer cells than the header (`malformed`).
 
     The rows handed over are counted by the write itself, so the CSV is parsed
     once.  Unless `partitions` fixes the number of files, rows are rebalanced
     to files of even size, however uneven the CSV files are.
     """
-    raw = with_source_file(read_text_csv(spark, source, multiline))
+    raw = with_source_file(read_text_csv(spark, source, multiline, malformed=MALFORMED))
     key, values = spec.keep_column, list(spec.keep_values)
     per_value = [F.count_if(F.col(key) == v).alias(f"n{i}") for i, v in enumerate(values)]
-    clean = clean_table(raw, spec)
-    counts = write_table(clean, target, partitions, partition_by, True, per_value)
+    odd = [
+        F.count_if((F.col(key) == v) & F.col(MALFORMED)).alias(f"m{i}") for i, v in enumerate(values)
+    ]
+    clean = clean_table(raw, spec, carry=[MALFORMED])
+    counts = write_table(
+        clean, target, partitions, partition_by, True, [*per_value, *odd], [MALFORMED]
+    )
     before = {v: counts[f"n{i}"] for i, v in enumerate(values)}
-    return reconcile_counts(before, read_table(spark, target), key)
+    found = reconcile_counts(before, read_table(spark, target), key)
+    malformed = F.create_map(*(F.lit(x) for i, v in enumerate(values) for x in (v, counts[f"m{i}"])))
+    return found.withColumn("malformed", F.coalesce(malformed[F.col(key)], F.lit(0)).cast("bigint"))

@@ -12,7 +12,7 @@ from tablefit.operators import models, prep
 from tablefit.operators.evaluate import compared_metrics, examples
 from tablefit.operators.sampling import sample_n, split
 from tablefit.plans.feature_table import build_features, filter_ranges, grouper
-from tablefit.sources.tables import written
+from tablefit.sources.tables import stored, written
 from tablefit.specs import FeatureSpec
 
 
@@ -46,16 +46,6 @@ def split_features(
     )
 
 
-def prepared_split(
-    features: DataFrame, spec: FeatureSpec, key: str | Sequence[str], ratio: float, seed: int,
-    group_key: str | None, rel_error: float,
-) -> tuple[PipelineModel, DataFrame, DataFrame]:
-    """Both sides of the split as vectors; everything is fitted on train."""
-    train, test = split(features, key, ratio, seed, group_key)
-    preparation = prep.build(spec, rel_error).fit(train)
-    return preparation, preparation.transform(train), preparation.transform(test)
-
-
 def train_and_compare(
     features: DataFrame,
     spec: FeatureSpec,
@@ -63,28 +53,34 @@ def train_and_compare(
     estimators: Mapping[str, Estimator] | None = None,
     ratio: float = 0.8,
     seed: int = 42,
-    sample_rows: int = 5000,
+    max_train_rows: int = 5000,
     group_key: str | None = None,
     rel_error: float = prep.REL_ERROR,
+    max_levels: int | None = None,
 ) -> Fitted:
-    """Sample, split, prepare, fit, predict and compare.
+    """Split, sample the training side, prepare, fit, predict and compare.
 
-    `features` holds the spec's label and features and the key columns.  A
-    sample and the training vectors are read many times by the fits, so both
-    are written to the shared folder first; a lost executor then costs a read.
-    Without a sample (`sample_rows` of 0) the preparation reads `features`
-    itself a few times, a few columns each: hand over a table that is stored.
+    Everything is fitted on `max_train_rows` rows of the training side (0 takes
+    them all); predictions, errors and examples are those of all test rows.
+    `max_levels` bounds the levels of a category (see `LevelIndexer`).
+
+    Features and training vectors are read many times by the fits, so both are
+    written to the shared folder first, the vectors unscaled; a lost executor
+    then costs a read.  Both go at the end; the predictions stay.
     """
-    rows = features
-    if sample_rows > 0:
-        rows = written(sample_n(features, key, sample_rows, seed), "rows")
-    preparation, train, test = prepared_split(
-        rows, spec, key, ratio, seed, group_key, rel_error
-    )
-    train = written(train.select(spec.label, "features_raw", "features"), "train")
-    fitted = models.fit_all(train, estimators or models.regressors(spec.label, seed))
-    columns = {name: models.prediction_column(name) for name in fitted}
-    predicted = models.predict_all(test, fitted).select(*features.columns, *columns.values())
-    predictions = written(predicted, "predictions")
+    with stored(features, "features") as rows:
+        train, test = split(rows, key, ratio, seed, group_key)
+        fitted_on = sample_n(train, key, max_train_rows, seed)
+        preparation = prep.build(spec, rel_error, max_levels).fit(fitted_on)
+        *earlier, scaler = preparation.stages
+        raw = PipelineModel(earlier).transform(fitted_on).select(spec.label, "features_raw")
+        with stored(raw, "train") as vectors:
+            vectors = vectors.withMetadata("features_raw", raw.schema["features_raw"].metadata)
+            scaled = scaler.transform(vectors)
+            width = prep.width(scaled, "features_raw")
+            fitted = models.fit_all(scaled, estimators or models.regressors(spec.label, seed))
+        columns = {name: models.prediction_column(name) for name in fitted}
+        predicted = models.predict_all(preparation.transform(test), fitted)
+        predictions = written(predicted.select(*features.columns, *columns.values()), "predictions")
     comparison = compared_metrics(predictions, spec.label, columns)
-    return Fitted(preparation, fitted, prep.width(train, "features"), predictions, comparison)
+    return Fitted(preparation, fitted, width, predictions, comparison)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
-from functools import lru_cache
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -39,6 +37,7 @@ def write_table(
     partition_by: Sequence[str] = (),
     rebalance: bool = False,
     observed: Sequence[Column] = (),
+    unwritten: Sequence[str] = (),
 ) -> Mapping[str, object]:
     """Overwrite `path` with snappy Parquet.
 
@@ -51,7 +50,8 @@ def write_table(
 
     Named aggregates in `observed` are computed by the write itself and
     returned.  They sit behind the shuffle, in the tasks that write, so a
-    recomputed shuffle task does not count twice.
+    recomputed shuffle task does not count twice.  Columns in `unwritten` are
+    there for them alone.
     """
     by = list(partition_by)
     if partitions is not None:
@@ -61,6 +61,7 @@ def write_table(
     observation = Observation()
     if observed:
         df = df.observe(observation, *observed)
+    df = df.drop(*unwritten)
     writer = df.write.mode("overwrite").option("compression", "snappy")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return observation.get if observed else {}
@@ -72,31 +73,38 @@ def register(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-@lru_cache(maxsize=1)
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="run-")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors see (spark.checkpoint.dir)."""
+    """A new path in a folder that all executors see: spark.checkpoint.dir, or
+    where it is unset a folder of the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
-        base = _local_dir()
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/kept"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write the table to the shared folder and read it back.
 
-    The result no longer depends on its inputs, nor on any executor.
+    The result no longer depends on its inputs, nor on any executor.  It stays
+    until the folder is emptied; see `stored`.
     """
     path = shared_path(df.sparkSession, name)
     write_table(df, path)
     return read_table(df.sparkSession, path)
 
 
+@contextmanager
+def stored(df: DataFrame, name: str = "table") -> Iterator[DataFrame]:
+    """`written` for the length of a `with` block; the files go at its end."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    write_table(df, path)
+    try:
+        yield read_table(spark, path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def cached(
     df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK

@@ -143,16 +143,17 @@ def test_groups_fitted_elsewhere(spark):
     }
 
 
-def test_all_groups_come_from_one_scan(spark, tmp_path):
+@pytest.mark.parametrize("n", [2, 1500])
+def test_levels_are_frozen_by_fit(spark, tmp_path, n):
+    """What happens to the fitting table afterwards changes nothing, for any n."""
     path = str(tmp_path / "t")
-    spark.range(50).selectExpr("'x' AS a", "string(id % 3) AS b", "id").write.parquet(path)
-    df = spark.read.parquet(path)
-    group = spark.sparkContext
-    group.setJobGroup("one-scan", "fit")
-    TopNGrouper([Group("a", 2, "ga"), Group("b", 2, "gb")]).fit(df)
-    jobs = group.statusTracker().getJobIdsForGroup("one-scan")
-    group.setLocalProperty("spark.jobGroup.id", None)
-    assert 1 <= len(jobs) <= 3
+    spark.range(6000).selectExpr("string(id % 2000) AS a", "string(id % 3) AS b").write.parquet(path)
+    model = TopNGrouper([Group("a", n, "ga"), Group("b", 2, "gb")]).fit(spark.read.parquet(path))
+    spark.range(10).selectExpr("'other' AS a", "'other' AS b").write.mode("overwrite").parquet(path)
+    rows = spark.range(2000).selectExpr("string(id) AS a", "string(id % 3) AS b")
+    found = model.transform(rows).collect()
+    kept = sorted(str(i) for i in range(2000))[:n]
+    assert {r.ga for r in found} == {*kept, "other"} and {r.gb for r in found} == {"0", "1", "other"}
 
 
 def _clean_rows(spark, rows, columns):

@@ -103,3 +103,12 @@ def test_split_and_sample_move_no_row(table):
                sample_n(table, "key", 300)):
         plan = df._jdf.queryExecution().toString()
         assert "Exchange" not in plan and "Sort" not in plan and "Python" not in plan
+
+
+def test_rows_that_differ_only_in_where_their_nulls_are(spark):
+    rows = [("same", None, "a")] * 20 + [("same", "a", None)] * 20
+    df = spark.createDataFrame(rows, "key string, x string, y string")
+    picks = [
+        sorted(map(tuple, sample_n(df.repartition(n), "key", 10).collect()), key=repr) for n in (1, 3, 7)
+    ]
+    assert len(picks[0]) == 10 and picks[0] == picks[1] == picks[2]

@@ -1,5 +1,7 @@
 """CSV and Parquet files, kept tables, and counts around a write."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ def test_normalize_names(names, expected):
 
 
 def _write(path, text):
+    path.parent.mkdir(exist_ok=True)
     path.write_text(text, encoding="utf-8")
     return str(path)
 
@@ -142,8 +145,8 @@ def test_convert(spark, tmp_path):
     target = str(tmp_path / "out")
     check = convert_csv(spark, str(source), target, listing.LISTING_CLEAN, partitions=2)
     assert {tuple(r) for r in check.collect()} == {
-        ("Entire home/apt", 0, 0, 0), ("Private room", 0, 0, 0),
-        ("Shared room", 2, 2, 0), ("Hotel room", 1, 1, 0),
+        ("Entire home/apt", 0, 0, 0, 0), ("Private room", 0, 0, 0, 0),
+        ("Shared room", 2, 2, 0, 0), ("Hotel room", 1, 1, 0, 0),
     }
     rows = {r.listing_id: r for r in read_table(spark, target).collect()}
     assert {k: r.price for k, r in rows.items()} == {"1": 1000.0, "3": None, "4": 7.5}
@@ -164,3 +167,45 @@ def test_profile(spark):
     assert [tuple(r) for r in profile(df).collect()] == [
         (0, "a", "int", 2, 0), (1, "b", "string", 2, 1),
     ]
+
+
+def test_other_header_with_repeated_names_fails(spark, tmp_path):
+    _write(tmp_path / "in" / "a.csv", "id,price,price\n1,2,3\n")
+    _write(tmp_path / "in" / "b.csv", "price,id,price\n20,2,30\n")
+    with pytest.raises(ValueError, match="different headers"):
+        read_text_csv(spark, str(tmp_path / "in"))
+    _write(tmp_path / "longer" / "a.csv", "id,price,price\n1,2,3\n")
+    _write(tmp_path / "longer" / "b.csv", "id,price,price,x\n1,2,3,4\n")
+    with pytest.raises(ValueError, match="different headers"):
+        read_text_csv(spark, str(tmp_path / "longer"), multiline=False)
+    _write(tmp_path / "same" / "a.csv", "id,price,price\n1,2,3\n")
+    _write(tmp_path / "same" / "b.csv", "id,price,price\n4,5,6\n")
+    rows = read_text_csv(spark, str(tmp_path / "same")).collect()
+    assert sorted(map(tuple, rows)) == [("1", "2", "3"), ("4", "5", "6")]
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+def test_malformed_rows_are_told(spark, tmp_path, multiline):
+    _write(tmp_path / "in" / "a.csv", "id,price\n1,2\n3,4,5\n6\n7,\n")
+    rows = read_text_csv(spark, str(tmp_path / "in"), multiline, malformed="odd").collect()
+    assert sorted((r.id, r.odd) for r in rows) == [("1", False), ("3", True), ("6", True), ("7", False)]
+
+
+def test_header_case_and_missing_choice(spark, tmp_path):
+    _write(tmp_path / "in" / "a.csv", 'ID,Room_Type,PRICE,last_scraped\n1,Shared room,"$1,000.00",2020-02-03\n')
+    target = str(tmp_path / "out")
+    check = convert_csv(spark, str(tmp_path / "in"), target, listing.LISTING_CLEAN)
+    assert {(r.room_type, r.rows_after) for r in check.collect() if r.rows_after} == {("Shared room", 1)}
+    assert spark.read.parquet(target).first().price == 1000.0
+    _write(tmp_path / "no" / "a.csv", "id,price\n1,2\n")
+    with pytest.raises(ValueError, match="room_type"):
+        convert_csv(spark, str(tmp_path / "no"), target + "2", listing.LISTING_CLEAN)
+
+
+def test_stored_tables_go(spark, tmp_path):
+    from tablefit.sources.tables import stored
+
+    with stored(spark.range(5)) as table:
+        path = table.inputFiles()[0].removeprefix("file://")
+        assert table.count() == 5 and Path(path).exists()
+    assert not Path(path).exists()
