@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HASH_SPAN = 1 << 63
-
+from tablefit.sources.tables import shared_path
 
-def shared_path(df: DataFrame, name: str) -> str:
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+HASH_SPAN = 1 << 63
 
 
 #: Lets a finished write's shuffle files go at once; nothing reads them again.
@@ -26,7 +19,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
     The session's setting for shuffle files is put back after the write.
     """
-    spark, path = df.sparkSession, shared_path(df, name)
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
