@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tablefit.sources.tables import shared_path
 
-HASH_SPAN = 1 << 63
-
 
 #: Lets a finished write's shuffle files go at once; nothing reads them again.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
