@@ -47,17 +47,17 @@ def top_n_group_without_null(spark, sf_dir):
     return model.transform(rows).select("listing_id", "grouped")
 
 
-@query(with_steps("top_neighbourhoods", """
+@query(with_steps("levels_neighbourhood_grouped", """
 SELECT f.listing_id, f.neighbourhood_cleansed, n.level AS top_level
-FROM filtered f LEFT JOIN top_neighbourhoods n ON f.neighbourhood_cleansed = n.level
+FROM filtered f LEFT JOIN levels_neighbourhood_grouped n ON f.neighbourhood_cleansed = n.level
 """))
 def join_left_top_neighbourhoods(spark, sf_dir):
     return _joined(spark, sf_dir, "neighbourhood_cleansed")
 
 
-@query(with_steps("top_property_types", """
+@query(with_steps("levels_property_type_grouped", """
 SELECT f.listing_id, f.property_type, p.level AS top_level
-FROM filtered f LEFT JOIN top_property_types p ON f.property_type = p.level
+FROM filtered f LEFT JOIN levels_property_type_grouped p ON f.property_type = p.level
 """))
 def join_left_top_property_types(spark, sf_dir):
     return _joined(spark, sf_dir, "property_type")
