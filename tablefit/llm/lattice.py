@@ -15,7 +15,9 @@ import numpy as np
 from tablefit.llm.batches import _BYTES, _INVERSE, U64, mix, powers
 
 START = "▁"
-LONG = 96
+#: Words are done together by these greatest lengths in bytes, longer ones one by one.
+WIDTHS = (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 96)
+LONG = WIDTHS[-1]
 SLOTS = 17
 
 
@@ -129,27 +131,33 @@ class Pieces:
         return alpha
 
     def _grouped(self, words: list[bytes], most: int = 1 << 20):
-        """Places and byte matrix of words of one length, about `most` substrings at a time."""
+        """Places, byte matrix and sizes of words of like length, about `most` substrings at a time.
+
+        Shorter words of a group are filled up; what stands behind a word's end is never read.
+        """
         sizes = np.array([len(w) for w in words])
-        for n in np.unique(sizes):
-            own = np.flatnonzero(sizes == n)
-            if n > LONG:
+        low = 0
+        for high in (*WIDTHS, int(sizes.max(initial=0))):
+            own = np.flatnonzero((sizes > low) & (sizes <= high))
+            if low >= LONG:
                 for i in own:
-                    yield [i], None
+                    yield [i], None, None
                 continue
-            step = max(1, most // int(n * min(n, self.most)))
+            step = max(1, most // int(high * min(high, self.most)))
             for at in range(0, len(own), step):
                 some = own[at:at + step]
-                yield some, np.frombuffer(b"".join(words[i] for i in some), np.uint8).reshape(-1, n)
+                filled = b"".join(words[i].ljust(high, b"\0") for i in some)
+                yield some, np.frombuffer(filled, np.uint8).reshape(-1, high), sizes[some]
+            low = high
 
     def marginal(self, words: list[bytes]) -> np.ndarray:
         """Natural log of each (not empty) word's probability, summed over its segmentations."""
         out = np.empty(len(words))
-        for some, data in self._grouped(words):
+        for some, data, sizes in self._grouped(words):
             if data is None:
                 out[some[0]] = self._long_forward(words[some[0]])[len(words[some[0]])]
             else:
-                out[some] = self._forward(self._arcs(data), data.shape[1], len(some))[-1]
+                out[some] = self._forward(self._arcs(data), data.shape[1], len(some))[sizes, np.arange(len(some))]
         return out
 
     def _stretches(self, word: bytes, backwards: bool = False, size: int = 1 << 14):
@@ -207,19 +215,20 @@ class Pieces:
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """How often each piece is used in `counts` copies of the words, expected over segmentations."""
         out = np.zeros(len(self.spelled))
-        for some, data in self._grouped(words):
+        for some, data, sizes in self._grouped(words):
             if data is None:
                 self._long_expected(words[some[0]], counts[some[0]], out)
                 continue
             n, arcs, c = data.shape[1], self._arcs(data), counts[some]
             alpha = self._forward(arcs, n, len(some))
             beta = np.full((n + 1, len(some)), -np.inf)
-            beta[n] = 0.0
+            beta[sizes, np.arange(len(some))] = 0.0
             for i in range(n - 1, -1, -1):
-                beta[i] = _logsum([self.arc[arcs[i, j]] + beta[j] for j in range(i + 1, min(n, i + self.most) + 1)])
-            total = alpha[n]
+                onward = _logsum([self.arc[arcs[i, j]] + beta[j] for j in range(i + 1, min(n, i + self.most) + 1)])
+                beta[i] = np.where(i < sizes, onward, beta[i])
+            total = alpha[sizes, np.arange(len(some))]
             for (i, j), piece in arcs.items():
-                own = np.flatnonzero(piece >= 0)
+                own = np.flatnonzero((piece >= 0) & (j <= sizes))
                 if len(own):
                     before = 0.0 if i < 0 else alpha[i, own]
                     used = c[own] * np.exp(before + self.arc[piece[own]] + beta[j, own] - total[own])

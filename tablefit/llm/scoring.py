@@ -78,12 +78,36 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flushed(counts)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator[pa.Table]:
+    """Batches put together to about `most` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= most:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 20_000):
-            some = batch.slice(at, 20_000)
-            hashes = Words(some.column("word").to_pylist(), lower=False).hashes
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view("i8")), some.column("n")], ["hash", "n"])
+        hashes = Words(batch.column("word").to_pylist(), lower=False).hashes
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view("i8")), batch.column("n")], ["hash", "n"])
+
+
+def weigh_words(pieces: Pieces):
+    """(hash, n, lattice) of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in gathered(batches):
+            words = table.column("word").to_pylist()
+            if words:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(Words(words, lower=False).hashes.view("i8")), table.column("n").combine_chunks(),
+                    pa.array(pieces.marginal(words)),
+                ], ["hash", "n", "lattice"])
+    return run
 
 
 def piece_use(pieces: Pieces):
@@ -91,9 +115,9 @@ def piece_use(pieces: Pieces):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(pieces.spelled))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                words = batch.column("word").slice(at, 20_000).to_pylist()
+        for table in gathered(batches):
+            words = table.column("word").to_pylist()
+            if words:
                 total += pieces.expected(words, np.ones(len(words)))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype("i4")), pa.array(total[used])], ["piece", "used"])
@@ -118,9 +142,12 @@ def refit(pieces: Pieces, words: DataFrame, rounds: int) -> Pieces:
 class Model:
     """What a task needs to score: pieces, shares, and the counts of the most frequent words."""
 
-    def __init__(self, pieces: Pieces, n_words: int, n_ends: int, distinct: int, once: int, head: np.ndarray, counts: np.ndarray):
+    def __init__(
+        self, pieces: Pieces, n_words: int, n_ends: int, distinct: int, once: int,
+        head: np.ndarray, counts: np.ndarray, lattice: np.ndarray,
+    ):
         order = np.argsort(head)
-        self.pieces, self.head, self.counts = pieces, head[order], counts[order]
+        self.pieces, self.head, self.counts, self.lattice = pieces, head[order], counts[order], lattice[order]
         self.n_words, self.n_ends = n_words, n_ends
         self.tokens, self.distinct = n_words + n_ends, distinct + (n_ends > 0)
         self.share = min(0.999, max(0.0, 1 - once / n_words)) if n_words else 0.0
@@ -128,12 +155,13 @@ class Model:
         # of the base model: tokens and distinct tokens of the training rows, ends included
         self.base_unit = -math.log10(self.tokens + self.distinct + 1)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Counts of words in the head, else -1."""
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts (-1: not there) and lattices of words in the head."""
         if not len(self.head):
-            return np.full(len(hashes), -1, np.int64)
+            return np.full(len(hashes), -1, np.int64), np.zeros(len(hashes))
         at = np.minimum(np.searchsorted(self.head, hashes), len(self.head) - 1)
-        return np.where(self.head[at] == hashes, self.counts[at], -1)
+        own = self.head[at] == hashes
+        return np.where(own, self.counts[at], -1), np.where(own, self.lattice[at], 0.0)
 
     def log10(self, counts: np.ndarray, lattice: np.ndarray) -> np.ndarray:
         """log10 of each word's probability from its count and the natural log of its lattice."""
@@ -151,24 +179,35 @@ ROW_SCHEMA = (
 
 def score_rows(model: Model):
     """Per document a row with the sums over words in the head, and a row for each other word of it."""
+    names = [f.split()[0] for f in ROW_SCHEMA.split(", ")]
+
+    def others(held: list[tuple], spelled: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Rows of the words that were put off, whose lattices are done together."""
+        lattice, at = model.pieces.marginal(spelled), 0
+        for rows, kinds, of, kind, times in held:
+            m = len(of)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(rows[of]), pa.array(kinds[kind].view("i8")), pa.array(times.astype("i8")),
+                pa.array(lattice[at + kind]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()),
+                pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()),
+            ], names)
+            at += len(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
+        held, spelled = [], []
         for batch in batches:
             for part in text_slices(batch, "text"):
                 n = part.num_rows
                 words = Words([t.encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()])
                 kinds, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
-                spelled = [words.joined[words.begin[i]:words.end[i]] for i in first]
-                lattice = model.pieces.marginal(spelled) if spelled else np.empty(0)
-                counts = model.find(kinds)
+                counts, lattice = model.find(kinds)
                 in_head = counts >= 0
                 base = np.where(in_head, np.log10(np.maximum(counts, 0) + 1), 0.0)
                 score = np.where(in_head, model.log10(np.maximum(counts, 0), lattice), 0.0)
                 sums = [np.bincount(words.of, x[back], n) for x in (in_head, base, score)]
                 n_words = np.bincount(words.of, minlength=n)
                 known_end = model.n_ends > 0
-                names = [f.split()[0] for f in ROW_SCHEMA.split(", ")]
                 rows = number + np.arange(n)
                 number += n
                 none = pa.nulls(n, pa.float64())
@@ -181,14 +220,16 @@ def score_rows(model: Model):
                 rest = np.flatnonzero(~in_head[back])
                 if len(rest):
                     # once for each document and word
-                    pairs, times = np.unique(words.of[rest].astype("i8") * len(kinds) + back[rest], return_counts=True)
-                    of, kind = np.divmod(pairs, len(kinds))
-                    m = len(pairs)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(rows[of]), pa.array(kinds[kind].view("i8")), pa.array(times.astype("i8")), pa.array(lattice[kind]),
-                        pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
-                        pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()),
-                    ], names)
+                    other = np.flatnonzero(~in_head)
+                    place = np.cumsum(~in_head) - 1
+                    pairs, times = np.unique(words.of[rest].astype("i8") * len(other) + place[back[rest]], return_counts=True)
+                    held.append((rows, kinds[other], *np.divmod(pairs, len(other)), times))
+                    spelled += [words.joined[words.begin[i]:words.end[i]] for i in first[other]]
+                    if len(spelled) > 50_000:
+                        yield from others(held, spelled)
+                        held, spelled = [], []
+        if held:
+            yield from others(held, spelled)
     return run
 
 
@@ -209,14 +250,15 @@ def learn(own: DataFrame, vocabulary: str, rounds: int = ROUNDS, head: int = HEA
         if words > head:
             break
         least = row.level
-    table = kept(counted.mapInArrow(hash_words, "hash long, n long"), "word-hashes")
+    often = level >= least if least is not None else F.lit(False)
+    pieces = refit(load_pieces(vocabulary), counted, rounds if total else 0)
     # at most `head` words
-    frequent = table.where(level >= least if least is not None else F.lit(False)).toArrow()
+    frequent = counted.where(often).mapInArrow(weigh_words(pieces), "hash long, n long, lattice double").toArrow()
     model = Model(
-        refit(load_pieces(vocabulary), counted, rounds if total else 0), total or 0, n_ends, distinct, once or 0,
-        frequent.column("hash").to_numpy().view("u8"), frequent.column("n").to_numpy(),
+        pieces, total or 0, n_ends, distinct, once or 0, frequent.column("hash").to_numpy().view("u8"),
+        frequent.column("n").to_numpy(), frequent.column("lattice").to_numpy(),
     )
-    return model, table.where(level < least) if least is not None else table
+    return model, kept(counted.where(~often).mapInArrow(hash_words, "hash long, n long"), "word-hashes")
 
 
 def score_documents(
