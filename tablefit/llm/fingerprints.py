@@ -16,10 +16,12 @@ empty table gives an empty result.  Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ from tablefit.llm.columns import texts
 
 FIRST = -(1 << 63)
 ROWS_PER_PART = 20_000
+MOST_PARTS = 10_000
 
 
 def threshold(fraction: float) -> np.uint64:
@@ -156,31 +159,41 @@ def fingerprint_edits(
     """Each document's fingerprint beside that of its edited text, and how alike they and its successor are.
 
     Documents are dealt to parts by ranges of ids, of about `rows_per_part`
-    rows.  The first document of each part is also handed to the part before,
-    where it only serves as the successor of the last; so one shuffle of the
-    texts is enough.  Only the cuts between parts reach the driver.
+    rows, or more where that would be over MOST_PARTS parts; a part is sorted
+    and streamed, never held.  The first document of each part is also handed to
+    the part before, where it only serves as the successor of the last; so one
+    shuffle of the texts is enough.  Only the cuts between parts reach the driver.
     """
     docs = texts(docs, id_col, text_col).withColumn("at", F.coalesce("doc_id", F.lit(FIRST)))
     rows, distinct = docs.agg(F.count("*"), F.approx_count_distinct("at")).first()
-    n_parts = max(1, min(rows // rows_per_part, distinct))
+    n_parts = max(1, min(rows // rows_per_part, distinct, MOST_PARTS))
     cuts = []
     if n_parts > 1:
         shares = [i / n_parts for i in range(1, n_parts)]
-        cuts = sorted(set(docs.agg(F.percentile_approx("at", shares, 100 * n_parts)).first()[0]))
+        found = docs.agg(F.percentile_approx("at", shares, 10 * n_parts)).first()[0]
+        cuts = sorted({float(c) for c in found})
     part = F.lit(0).cast("long")
     if cuts:
-        part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("at"))).cast("long")
+        # doubles round large ids, but never change their order
+        splits = [-math.inf, *cuts, math.inf]
+        docs = Bucketizer(splits=splits, inputCol="as_double", outputCol="bucket").transform(
+            docs.withColumn("as_double", F.col("at").cast("double"))
+        ).drop("as_double")
+        part = F.col("bucket").cast("long")
     docs = docs.withColumn("part", part)
     firsts = docs.groupBy("part").agg(F.min("at").alias("at"))
     before = sorted(r.part for r in firsts.select("part").collect())
     if not before:
         return docs.mapInArrow(compare_with_next(k, fraction), EDIT_SCHEMA).withColumnRenamed("doc_id", id_col)
-    previous = F.create_map(*(F.lit(x) for p, q in zip(before, before[-1:] + before) for x in (p, q)))
+    previous = docs.sparkSession.createDataFrame(
+        list(zip(before, before[-1:] + before)), "part long, previous long"
+    )
     # as many rows as there are parts, and the copies of their ids
     heads = (
         docs.join(F.broadcast(firsts), ["part", "at"], "left_semi")
         .groupBy("part").agg(F.min("text").alias("text"))
-        .select(previous[F.col("part")].alias("part"), F.lit(True).alias("head"),
+        .join(F.broadcast(previous), "part")
+        .select(F.col("previous").alias("part"), F.lit(True).alias("head"),
                 F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("doc_id"), "text")
     )
     both = docs.select("part", F.lit(False).alias("head"), "at", "doc_id", "text").union(heads)
