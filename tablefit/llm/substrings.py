@@ -41,6 +41,7 @@ THRESHOLD = 50
 GRAM = 20
 CROWD = 50_000
 RUN = 64
+HELD = 500_000
 LAST = (1 << 63) - 1
 
 
@@ -64,10 +65,32 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def suffix_runs(threshold: int, gram: int):
-    """Rows (h, s, at, sub, place): first digit, second digit, document, and first window * RUN + windows - 1."""
+    """Rows (h, s, at, sub, place): first digit, second digit, document, and first window * RUN + windows - 1.
+
+    Among the rows that a task holds together, those alike in both digits to one
+    of a smaller document are decided; their place is inverted, and their first
+    digit gives way to a hash that deals them evenly.  So of a passage that many
+    documents share a task sends one row to where the others meet.
+    """
     width = threshold - gram + 1
 
+    def decided(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        h, s, at, sub, place = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((at, s, h))
+        h, s, at, sub, place = (c[order] for c in (h, s, at, sub, place))
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])))
+        done = at > at[new][np.cumsum(new) - 1]
+        h = np.where(done, mix(at.view("u8") * U64(0x9E3779B97F4A7C15) + place.view("u8")), h)
+        place = np.where(done, ~place, place)
+        for low in range(0, len(h), 50_000):
+            some = slice(low, low + 50_000)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c[some]) for c in (h.view("i8"), s.view("i8"), at, sub, place)], ["h", "s", "at", "sub", "place"]
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
         for batch in batches:
             for part in text_slices(batch, "text"):
                 data = [t.encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
@@ -90,11 +113,16 @@ def suffix_runs(threshold: int, gram: int):
                 first, of = window[start], of[start]
                 end = first + n + threshold - 1
                 under = mix((sums[end] - sums[first]) * back[first] + n.astype(U64) * U64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array((least[start] >> U64(6)).view("i8")), pa.array(under.view("i8")),
-                    part.column("at").take(pa.array(of)), part.column("sub").take(pa.array(of)),
-                    pa.array((first - begins[of]) * RUN + n - 1),
-                ], ["h", "s", "at", "sub", "place"])
+                held.append((
+                    least[start] >> U64(6), under, part.column("at").to_numpy()[of], part.column("sub").to_numpy()[of],
+                    (first - begins[of]) * RUN + n - 1,
+                ))
+                rows += len(start)
+                if rows > HELD:
+                    yield from decided(held)
+                    held, rows = [], 0
+        if held:
+            yield from decided(held)
     return run
 
 
@@ -105,6 +133,8 @@ KIND_SCHEMA = "open boolean, h long, at long, sub int, place long"
 def compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in the order (h, s, at): those whose windows all repeat, and those open after two digits.
 
+    Rows that their task had decided pass through.
+
     A row repeats if (h, s) came with a smaller document.  The first document's
     rows of each (h, s) are open if h comes with more than one s.  Only the last
     key, and the open rows of the first s of the last h, are held.
@@ -120,6 +150,11 @@ def compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
+        done = batch.column("place").to_numpy() < 0
+        if done.any():
+            known = rows(batch, False, np.flatnonzero(done))
+            yield known.set_column(4, "place", pa.array(~known.column("place").to_numpy()))
+            batch = batch.filter(pa.array(~done))
         if not batch.num_rows:
             continue
         h, s, at = (batch.column(c).to_numpy() for c in ("h", "s", "at"))

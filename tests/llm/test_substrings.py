@@ -49,10 +49,11 @@ def mosaic(seed, n, alphabet="ab"):
     return docs
 
 
-@pytest.mark.parametrize("crowd", [3, 50_000])
+@pytest.mark.parametrize("crowd,held", [(3, 500_000), (50_000, 20)])
 @pytest.mark.parametrize("seed,threshold,gram,alphabet", [(1, 10, 4, "ab"), (2, 12, None, "é日x"), (3, 10, 10, "abc"), (4, 50, 20, "ab")])
-def test_mosaics(make_docs, spark, monkeypatch, crowd, seed, threshold, gram, alphabet):
+def test_mosaics(make_docs, spark, monkeypatch, crowd, held, seed, threshold, gram, alphabet):
     monkeypatch.setattr(substrings, "CROWD", crowd)
+    monkeypatch.setattr(substrings, "HELD", held)
     docs = mosaic(seed, 120, alphabet)
     # small batches, so that runs go over their edges
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
