@@ -195,14 +195,18 @@ def simhash_groups(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, max_bits: int = 4) -> DataFrame:
-    """The documents, all their columns, of the smallest id of each group.
+def leave_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents, all their columns, of the smallest id of each of the groups (id, component_id).
 
     Rows that repeat an id stay or go together: they stay if one of them does.
     Rows without an id stay.
     """
-    groups = simhash_groups(docs.select(id_col, text_col), id_col, text_col, k, max_bits)
     gone = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(
         F.max(F.col(id_col) == F.col("component_id")).alias("stays")
     ).where("not stays")
     return docs.join(gone.select(id_col), id_col, "left_anti").select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, max_bits: int = 4) -> DataFrame:
+    """The documents, all their columns, of the smallest id of each group; see `leave_one`."""
+    return leave_one(docs, simhash_groups(docs.select(id_col, text_col), id_col, text_col, k, max_bits), id_col)
