@@ -2,25 +2,27 @@
 
 DataFrame, SQL and Spark ML functions only.  A classifier fitted on a labelled
 table gives each document a posterior over domains.  Document rates r >= 0 (or
-a higher floor) are fitted by projected-gradient least squares so that the
-expected tokens per domain, sum of r * tokens * posterior, match the targets.
-The gradient of a document's rate, per token, is the product of its posterior
-with one residual per domain.  So a rate follows from the posterior and the
-list of residuals so far: an iteration is one aggregate of the written
-posteriors to as many numbers as there are domains, and no rates are stored.
+a higher floor) are fitted by least squares so that the expected tokens per
+domain, sum of r * tokens * posterior, match the targets.  Of all rates that do,
+they are those that differ least from 1 (or the floor): a rate is 1 less the
+product of the posterior with one number per domain, kept above the floor.
+Newton's steps on the convex dual find these numbers, with a penalty that falls
+from round to round; a step is one aggregate of the written posteriors, and no
+rates are stored.
 `copies` turns a rate into a whole number of copies by a hash of the id.
 
 Defined cases: a null or empty text has no token, the classifier's posterior
 for no words, and counts nothing.  Labels that are null or not among the
 targets are left out; if fewer than two domains are labelled the only one (or
 the first target) has posterior 1.  A target whose domain no document may
-belong to stays unmet.  Rows that repeat an id have one rate each and the same
+belong to stays unmet, with a warning.  Rows that repeat an id have one rate each and the same
 copies where their texts agree.  An empty table gives an empty result.  Other
 columns are not read.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -96,43 +98,76 @@ def _rate(posterior: Column, steps: list[list[float]], floor: float) -> Column:
 
 
 def fit_rates(
-    table: DataFrame, targets: list[float], floor: float = 0.0, iterations: int = 60, tolerance: float = 1e-4
+    table: DataFrame, targets: list[float], floor: float = 0.0, iterations: int = 1000, tolerance: float = 1e-4
 ) -> list[list[float]]:
-    """The gradient steps, one number per domain each, that bring the token totals of (tokens, posterior) to `targets`.
+    """The step, one number per domain, that brings the token totals of (tokens, posterior) to `targets`.
 
     Stops when no domain is further from its target than `tolerance` of all
-    target tokens, or when totals no longer move.
+    target tokens, or when a tighter penalty no longer moves the totals: then no
+    rates meet the targets, and these are the nearest totals.  Warns of targets
+    that stay unmet.  `iterations` only guards against an endless search.
     """
-    n, weight = len(targets), F.col("tokens").cast("double")
-    gram = table.agg(*(
-        F.sum(weight * F.get("posterior", F.lit(i)) * F.get("posterior", F.lit(j))).alias(f"g{i}_{j}")
-        for i in range(n) for j in range(i, n)
-    )).first()
+    n, weight, start = len(targets), F.col("tokens").cast("double"), max(1.0, floor)
     scale = sum(targets)
-    g = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)]) / scale
-    top = float(np.linalg.eigvalsh(g)[-1])
-    if top <= 0:
+    if not scale > 0:
         return []
-    steps: list[list[float]] = []
-    wanted, before = np.array(targets) / scale, None
-    for _ in range(iterations):
-        rate = _rate(F.col("posterior"), steps, floor)
-        row = table.select("tokens", "posterior", rate.alias("rate")).agg(
-            *(F.sum(F.col("rate") * weight * F.get("posterior", F.lit(i))).alias(f"t{i}") for i in range(n))
+    wanted = np.array(targets) / scale
+    p = [F.get("posterior", F.lit(i)) for i in range(n)]
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+
+    def state(step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Totals, the Gram matrix of rates above the floor, and the sum whose gradient is minus the totals."""
+        free = F.lit(start) - sum((p[i] * F.lit(float(step[i])) for i in range(n)), F.lit(0.0))
+        rows = table.select(weight.alias("w"), "posterior", free.alias("free")).withColumn(
+            "rate", F.greatest(F.lit(float(floor)), "free")
+        )
+        above = F.when(F.col("free") > floor, F.col("w")).otherwise(0.0)
+        row = rows.agg(
+            F.sum(F.col("w") * F.col("rate") * (F.col("free") - F.col("rate") / 2)).alias("h"),
+            *(F.sum(F.col("w") * F.col("rate") * p[i]).alias(f"t{i}") for i in range(n)),
+            *(F.sum(above * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs),
         ).first()
-        totals = np.array([row[f"t{i}"] or 0.0 for i in range(n)]) / scale
-        residual = totals - wanted
-        if np.abs(residual).max() < tolerance or (before is not None and np.abs(totals - before).max() < tolerance / 100):
+        gram = np.zeros((n, n))
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = (row[f"g{i}_{j}"] or 0.0) / scale
+        return np.array([row[f"t{i}"] or 0.0 for i in range(n)]) / scale, gram, (row["h"] or 0.0) / scale
+
+    step, penalty, last, left = np.zeros(n), 1e-2, None, iterations
+    totals, gram, height = state(step)
+    while np.abs(totals - wanted).max() >= tolerance and left > 0:
+        # Newton's steps to the least height + wanted . step + penalty / 2 |step - base|^2, which is convex.
+        base = step
+        while left > 0:
+            slope = wanted - totals + penalty * (step - base)
+            if np.abs(slope).max() < tolerance / 100:
+                break
+            move = -np.linalg.solve(gram + penalty * np.eye(n), slope)
+            value, part = height + wanted @ step + penalty / 2 * ((step - base) @ (step - base)), 1.0
+            while left > 0:
+                left -= 1
+                trial = step + part * move
+                found = state(trial)
+                reached = found[2] + wanted @ trial + penalty / 2 * ((trial - base) @ (trial - base))
+                if reached <= value + 1e-4 * part * (slope @ move) + 1e-12 * max(1.0, abs(value)) or part < 1e-6:
+                    break
+                part /= 2
+            step, (totals, gram, height) = trial, found
+            if part < 1e-6:
+                break
+        if last is not None and penalty < 1e-6 and np.abs(totals - last).max() < tolerance / 100:
             break
-        before = totals
-        steps.append((residual / top).tolist())
-    return steps
+        last, penalty = totals, max(penalty / 10, 1e-9)
+    unmet = {i: round(float(totals[i] - wanted[i]), 6) for i in range(n) if abs(totals[i] - wanted[i]) >= tolerance}
+    if unmet:
+        why = "the search was cut off" if left <= 0 else "no rates meet them"
+        warnings.warn(f"targets stay unmet, {why}; share of all target tokens too many, by place of the domain: {unmet}", stacklevel=2)
+    return [step.tolist()]
 
 
 def mix(
     docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text",
     domain_col: str = "domain", total_tokens: int | None = None, floor: float = 0.0, max_labelled: int = 4000,
-    iterations: int = 60,
+    iterations: int = 1000,
 ) -> DataFrame:
     """One row per document: id, tokens, domain (likeliest), posterior, rate and copies.
 

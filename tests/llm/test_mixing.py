@@ -77,3 +77,30 @@ def test_edge_cases(spark, make_docs, corpus):
     assert mix(make_docs(docs[:5]), known.limit(0), WEIGHTS).count() == 5
     with pytest.raises(ValueError):
         mix(make_docs(docs), known, {"en": 0.0})
+
+
+SKEWED = [(0.85, 0.10, 0.04, 0.01), (0.97, 0.01, 0.01, 0.01), (0.9989, 0.001, 0.00009, 0.00001)]
+
+
+@pytest.mark.parametrize("shares, leak", [(SKEWED[0], 0.0), (SKEWED[1], 0.002), (SKEWED[2], 0.0)])
+def test_scarce_domains_meet_their_targets(spark, shares, leak, recwarn):
+    """Domains of 1 % and less reach their shares, however skewed the tokens are."""
+    p = np.full((4, 4), leak)
+    np.fill_diagonal(p, 1 - 3 * leak)
+    tokens = [round(s * 10**6) for s in shares]
+    table = spark.createDataFrame(list(zip(tokens, p.tolist())), "tokens long, posterior array<double>").coalesce(1)
+    target = np.array([0.5, 0.2, 0.18, 0.12]) * sum(tokens)
+    rate = np.ones(4)
+    for step in fit_rates(table, target.tolist()):
+        rate = np.maximum(0, rate - p @ np.array(step))
+    assert np.abs(p.T @ (rate * tokens) - target).max() < 1e-3 * sum(tokens)
+    assert not [w for w in recwarn if "unmet" in str(w.message)]
+
+
+def test_unmet_targets_are_reported(spark):
+    """No rate can help a missing domain; the others still meet their targets."""
+    rows = [(90, [1.0, 0.0, 0.0]), (10, [0.0, 1.0, 0.0])]
+    table = spark.createDataFrame(rows, "tokens long, posterior array<double>").coalesce(1)
+    with pytest.warns(UserWarning, match="unmet"):
+        step = np.array(fit_rates(table, [50.0, 30.0, 20.0])[0])
+    assert np.allclose(np.maximum(0, 1 - step[:2]) * [90, 10], [50, 30], atol=0.1)
