@@ -1,8 +1,8 @@
 """Feature vectors: index, encode, impute, assemble and scale.
 
 The stages are Spark ML's own wherever their fit holds at scale.  Two fits are
-replaced: levels are counted by an ordinary aggregate, on request with a bound
-(they end up on the driver), and medians survive a column without values.
+replaced: levels are counted by an ordinary aggregate, and those of a wide column
+stay a table; medians survive a column without values.
 """
 
 from __future__ import annotations
@@ -26,13 +26,17 @@ from tablefit.specs import FeatureSpec
 
 REL_ERROR = 0.001
 
+#: Up to so many levels a column's labels are held by the driver and by each task.
+MODEL_LEVELS = 10_000
+
 
 class LevelIndexer(Estimator):
     """Levels to indices by falling frequency, equal ones by name.
 
-    Fits to Spark's StringIndexerModel for each column; a null or unseen level
-    gets the index after the last.  All columns are counted in one scan.  Levels
-    and vectors of that width are held by the driver, as Spark ML does; with
+    A null or unseen level gets the index after the last.  All columns are
+    counted in one scan.  A column of at most MODEL_LEVELS levels fits to Spark's
+    StringIndexerModel, whose labels the driver and each task hold; the levels of
+    a wider one are numbered on Spark and stay a table (see `LevelTable`).  With
     `max_levels` a column of more levels fails instead.
     """
 
@@ -41,27 +45,31 @@ class LevelIndexer(Estimator):
         self.cats, self.suffix, self.max_levels = list(cats), suffix, max_levels
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
-        counts = (
+        counts = written(
             dataset.select(*[F.col(c).cast("string").alias(c) for c in self.cats])
             .unpivot([], self.cats, "column", "level")
             .filter(F.col("level").isNotNull())
             .groupBy("column", "level")
-            .agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.count(F.lit(1)).alias("n")),
+            "level-counts",
         )
+        sizes = {r.column: r.levels for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("levels")).collect()}
         if self.max_levels is not None:
-            counts = written(counts, "level-counts")
-            sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("levels"))
-            wide = sorted(r.column for r in sizes.filter(F.col("levels") > self.max_levels).collect())
+            wide = sorted(c for c, levels in sizes.items() if levels > self.max_levels)
             if wide:
                 raise ValueError(f"more than {self.max_levels} levels in {wide}; group them first")
+        tables = {c: numbered(counts, c) for c, levels in sizes.items() if levels > MODEL_LEVELS}
         found: dict[str, list] = {c: [] for c in self.cats}
-        for row in counts.collect():
+        # bounded by MODEL_LEVELS a column
+        for row in counts.filter(~F.col("column").isin(list(tables))).collect():
             found[row.column].append((-row.n, row.level))
         # One model per column: PySpark pads label lists of unequal length that
         # it passes together.
         return PipelineModel(
             [
-                StringIndexerModel.from_labels(
+                LevelTable(tables[c], sizes[c], c, c + self.suffix)
+                if c in tables
+                else StringIndexerModel.from_labels(
                     [level for _, level in sorted(found[c])], c, c + self.suffix, "keep"
                 )
                 for c in self.cats
@@ -69,6 +77,49 @@ class LevelIndexer(Estimator):
         )
 
 
+def numbered(counts: DataFrame, column: str) -> DataFrame:
+    """(level, place) of one column of (column, level, n): places from 0 by falling n, then by level.
+
+    Ranges of the order are numbered apart; only the number of levels of each
+    range comes to the driver.
+    """
+    spark = counts.sparkSession
+    ordered = (
+        counts.filter(F.col("column") == column)
+        .select("level", (-F.col("n")).alias("rank"))
+        .repartitionByRange("rank", "level")
+        .sortWithinPartitions("rank", "level")
+    )
+    # the id holds the task in its upper bits and the row's place in the task in the lower 33
+    row = F.monotonically_increasing_id()
+    placed = written(ordered.select("level", row.alias("row")), "level-places").select(
+        "level", F.shiftright("row", 33).alias("part"), F.col("row").bitwiseAND(F.lit((1 << 33) - 1)).alias("within")
+    )
+    starts, start = [], 0
+    for r in sorted(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        starts.append((r.part, start))
+        start += r.n
+    offsets = F.broadcast(spark.createDataFrame(starts, "part long, start long"))
+    return placed.join(offsets, "part").select("level", (F.col("start") + F.col("within")).alias("place"))
+
+
+class LevelTable(Model):
+    """Indices of one column from a table (level, place) of `levels` rows, by a join; rows may change their order."""
+
+    def __init__(self, table: DataFrame, levels: int, column: str, output: str):
+        super().__init__()
+        self.table, self.levels, self.column, self.output = table, levels, column, output
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        level, place = f"{self.output}_level", f"{self.output}_place"
+        table = self.table.select(F.col("level").alias(level), F.col("place").alias(place))
+        joined = dataset.join(table, F.col(self.column).cast("string") == F.col(level), "left")
+        index = F.coalesce(place, F.lit(self.levels)).cast("double")
+        # one more for null and unseen levels
+        known = {"ml_attr": {"type": "nominal", "name": self.output, "num_vals": self.levels + 1}}
+        return joined.withColumn(self.output, index.alias(self.output, metadata=known)).drop(level, place)
+
+
 class ToDouble(Transformer):
     """Numeric features of any type as doubles, in place."""
 

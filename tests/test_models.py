@@ -245,3 +245,23 @@ def test_rows_without_a_prediction_count_nowhere(spark):
     df = spark.createDataFrame([(1.0, 1.5), (2.0, 2.0), (4.0, 3.0), (9.0, None), (None, 1.0)], "y double, prediction double")
     row, same = evaluate.metrics(df, "y").first(), evaluate.metrics(df.dropna(), "y").first()
     assert row.n == 3 and tuple(row) == tuple(same)
+
+
+def test_wide_levels_stay_a_table(spark, monkeypatch):
+    """Above the bound no label reaches the driver, and indices, width and encoding are those of Spark's model."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StringIndexerModel
+
+    rows = spark.range(600).selectExpr(
+        "IF(id % 50 = 0, NULL, concat('v', id % 211 % (1 + id % 97))) AS wide", "id % 3 AS few", "id"
+    )
+    stages = Pipeline(stages=[prep.index(["wide", "few"]), prep.one_hot(["wide", "few"])])
+    unseen = rows.union(spark.createDataFrame([("new", 0, 600)], rows.schema))
+    expected = stages.fit(rows).transform(unseen).orderBy("id").collect()
+    monkeypatch.setattr(prep, "MODEL_LEVELS", 5)
+    monkeypatch.setattr(StringIndexerModel, "from_labels", lambda labels, *a, f=StringIndexerModel.from_labels: (
+        f(labels, *a) if len(labels) <= 5 else pytest.fail("labels on the driver")
+    ))
+    found = stages.fit(rows).transform(unseen)
+    assert found.columns == ["wide", "few", "id", "wide_index", "few_index", "wide_encoded", "few_encoded"]
+    assert found.orderBy("id").collect() == expected
