@@ -14,7 +14,7 @@ from tablefit.llm.columns import kept
 from tablefit.llm.mixing import resample
 from tablefit.llm.packing import pack
 from tablefit.llm.queries import LANGUAGE_WEIGHTS
-from tablefit.llm.resemblance import keep_one
+from tablefit.llm.simhash import keep_one
 from tablefit.llm.substrings import strip_repeats
 from tablefit.llm.toxicity import drop_toxic
 
@@ -25,8 +25,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that 5-word Jaccard similarity of 0.8 or more links."""
-    return keep_one(docs)
+    """Keeps one document of each group that SimHash links: 4-word shingles, at most 4 bits apart."""
+    return keep_one(docs, k=4, max_bits=4)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
