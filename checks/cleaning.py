@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.listings import clean, derived_clean, raw, table, with_steps
+from checks.listings import ABSENT, clean, derived_clean, raw, table, with_steps
 from checks.registry import query
 from tablefit import listing
 from tablefit.functions import clean as cleaners
@@ -65,35 +65,33 @@ def clean_currency(spark, sf_dir):
     )
 
 
-@query(with_steps("raw", """
-SELECT TRIM(id) AS id,
-       CASE WHEN lower(trim(host_is_superhost)) = 't' THEN 1.0::DOUBLE
-            WHEN lower(trim(host_is_superhost)) = 'f' THEN 0.0::DOUBLE END AS host_is_superhost,
-       CASE WHEN lower(trim(host_identity_verified)) = 't' THEN 1.0::DOUBLE
-            WHEN lower(trim(host_identity_verified)) = 'f' THEN 0.0::DOUBLE END
-            AS host_identity_verified,
-       CASE WHEN has_availability = 't' THEN 1.0::DOUBLE END AS has_availability
-FROM raw
-"""))
+# The parsers' own rules, for the columns that the raw table has.
+_HAD_FLAGS = [c for c in listing.FLAGS if c not in ABSENT]
+_HAD_NUMBERS = [c for c in [*listing.NUMBERS, "month"] if c not in ABSENT]
+
+
+def _flag_case(name: str) -> str:
+    return (
+        f"CASE WHEN lower(trim({name})) = 't' THEN 1.0::DOUBLE "
+        f"WHEN lower(trim({name})) = 'f' THEN 0.0::DOUBLE END AS {name}"
+    )
+
+
+@query(with_steps("raw", f"SELECT TRIM(id) AS id, {', '.join(map(_flag_case, _HAD_FLAGS))} FROM raw"))
 def clean_flag(spark, sf_dir):
     df = raw(spark, sf_dir)
-    names = ["host_is_superhost", "host_identity_verified", "has_availability"]
     return df.select(
-        cleaners.string(df, "id").alias("id"), *[cleaners.flag(df, n).alias(n) for n in names]
+        cleaners.string(df, "id").alias("id"), *[cleaners.flag(df, n).alias(n) for n in _HAD_FLAGS]
     )
 
 
-@query(with_steps("raw", """
-SELECT TRIM(id) AS id, TRY_CAST(TRIM(bedrooms) AS DOUBLE) AS bedrooms,
-       TRY_CAST(bathrooms AS DOUBLE) AS bathrooms, TRY_CAST(beds AS DOUBLE) AS beds,
-       TRY_CAST(TRIM(month) AS DOUBLE) AS month, TRY_CAST(latitude AS DOUBLE) AS latitude
-FROM raw
+@query(with_steps("raw", f"""
+SELECT TRIM(id) AS id, {', '.join(f'TRY_CAST(TRIM({c}) AS DOUBLE) AS {c}' for c in _HAD_NUMBERS)} FROM raw
 """))
 def clean_number(spark, sf_dir):
     df = raw(spark, sf_dir)
-    names = ["bedrooms", "bathrooms", "beds", "month", "latitude"]
     return df.select(
-        cleaners.string(df, "id").alias("id"), *[cleaners.number(df, n).alias(n) for n in names]
+        cleaners.string(df, "id").alias("id"), *[cleaners.number(df, n).alias(n) for n in _HAD_NUMBERS]
     )
 
 
@@ -199,16 +197,18 @@ def all_ranges(spark, sf_dir):
     return filter_ranges(clean(spark, sf_dir), listing.LISTING_FEATURES)
 
 
-@query(with_steps("clean", """
-SELECT price, room_type, property_type, accommodates, beds, availability_365 FROM clean
-"""))
+# What the spec takes from the clean table; the rest of its columns are derived.
+_SPEC = listing.LISTING_FEATURES
+_CLEAN = listing.LISTING_CLEAN
+_PLAIN = {*_CLEAN.order, *_CLEAN.categories, *_CLEAN.numbers, *_CLEAN.flags}
+_CATS = [c for c in _SPEC.cats if c in _PLAIN]
+_NUMS = [c for c in _SPEC.nums if c in _PLAIN]
+
+
+@query(with_steps("clean", f"SELECT {', '.join([_SPEC.label, *_CATS, *_NUMS])} FROM clean"))
 def feature_projection(spark, sf_dir):
-    return project(
-        clean(spark, sf_dir),
-        "price",
-        ["room_type", "property_type"],
-        ["accommodates", "beds", "availability_365"],
-    )
+    """The label and every category and number of the spec that is no derived column."""
+    return project(clean(spark, sf_dir), _SPEC.label, _CATS, _NUMS)
 
 
 def _guard_sql() -> str:

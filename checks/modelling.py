@@ -72,12 +72,16 @@ def one_hot_width(spark, sf_dir):
 NUMS = list(SPEC.nums)
 
 
+# The medians of all numbers, one row.
+_MEDIANS = f"""medians AS MATERIALIZED (
+    SELECT {', '.join(f"CAST(quantile_disc({c}, 0.5) AS DOUBLE) AS median_{c}" for c in NUMS)}
+    FROM features WHERE {TRAIN}
+)"""
+
+
 def _median_sql(name: str) -> str:
     # The column without any value is filled with 0.
-    return (
-        f"coalesce(CAST({name} AS DOUBLE), (SELECT CAST(quantile_disc({name}, 0.5) AS DOUBLE) FROM features "
-        f"WHERE {TRAIN}), 0.0::DOUBLE)"
-    )
+    return f"coalesce(CAST({name} AS DOUBLE), median_{name}, 0.0::DOUBLE)"
 
 
 def _rounded_imputed():
@@ -85,8 +89,9 @@ def _rounded_imputed():
 
 
 @query(with_steps("features", f"""
+WITH {_MEDIANS}
 SELECT listing_id, {', '.join(f"round({_median_sql(c)}, 9) AS {c}_imputed" for c in NUMS)}
-FROM features WHERE NOT ({TRAIN})
+FROM features, medians WHERE NOT ({TRAIN})
 """))
 def impute_median(spark, sf_dir):
     """Test rows filled with the exact medians of the training rows, every number."""
@@ -155,26 +160,28 @@ def filter_assembled(spark, sf_dir):
     return prep.skipped_rows(feature_rows(spark, sf_dir), ASSEMBLED)
 
 
-SCALED = ["accommodates", "minimum_nights", "availability_365", "require_guest_profile_picture"]
+_FILLED = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0::DOUBLE) AS {c}" for c in NUMS)
+_DEVIATIONS = ", ".join(f"stddev_samp({c}) AS deviation_{c}" for c in NUMS)
 
 
 def _scaled_sql(name: str) -> str:
-    deviation = f"(SELECT stddev_samp({name}) FROM filtered WHERE {TRAIN})"
-    return f"coalesce(round({name} / nullif({deviation}, 0), 6), 0.0::DOUBLE) AS {name}"
+    return f"coalesce(round({name} / nullif(deviation_{name}, 0), 6), 0.0::DOUBLE) AS {name}"
 
 
-@query(with_steps("filtered", f"""
-SELECT listing_id, {', '.join(_scaled_sql(c) for c in SCALED)} FROM filtered
+@query(with_steps("features", f"""
+WITH filled AS MATERIALIZED (SELECT listing_id, {_FILLED} FROM features),
+deviations AS MATERIALIZED (SELECT {_DEVIATIONS} FROM filled WHERE {TRAIN})
+SELECT listing_id, {', '.join(_scaled_sql(c) for c in NUMS)} FROM filled, deviations
 """))
 def standardize(spark, sf_dir):
-    """All rows scaled by the training rows; a constant column becomes 0."""
-    rows = filtered(spark, sf_dir).select("listing_id", *SCALED)
-    stages = Pipeline(stages=[prep.assemble(SCALED), prep.scale()])
+    """All rows scaled by the training rows, every number of the spec (null: 0); a constant column becomes 0."""
+    rows = feature_rows(spark, sf_dir)
+    rows = rows.select("listing_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in NUMS])
+    stages = Pipeline(stages=[prep.assemble(NUMS), prep.scale()])
     scaled = stages.fit(split(rows, "listing_id")[0]).transform(rows)
-    values = vector_to_array("features")
-    return scaled.select(
-        "listing_id", *[F.round(values[i], 6).alias(c) for i, c in enumerate(SCALED)]
-    )
+    # one array per row: taken from the vector once, not once a column
+    values = scaled.select("listing_id", vector_to_array("features").alias("values"))
+    return values.select("listing_id", *[F.round(F.col("values")[i], 6).alias(c) for i, c in enumerate(NUMS)])
 
 
 def _levels_sql() -> str:
@@ -214,10 +221,14 @@ def _vector_sql() -> str:
             f"1.0::DOUBLE AS value FROM sides f LEFT JOIN {c}_levels l ON f.{c} = l.level"
         )
         offset += f" + (SELECT COUNT(*) FROM {c}_levels) + 1"
-    for i, c in enumerate(NUMS):
-        entries.append(f"SELECT listing_id, train, {offset} + {i} AS place, {_median_sql(c)} AS value FROM sides")
+    numbers = ", ".join(f"{_median_sql(c)} AS n{i}" for i, c in enumerate(NUMS))
+    entries.append(
+        f"SELECT listing_id, train, {offset} + CAST(name[2:] AS BIGINT) AS place, value FROM "
+        f"(UNPIVOT (SELECT listing_id, train, {numbers} FROM sides, medians) ON "
+        f"{', '.join(f'n{i}' for i in range(len(NUMS)))} INTO NAME name VALUE value)"
+    )
     return with_steps("features", f"""
-    WITH sides AS (SELECT *, {TRAIN} AS train FROM features), {levels},
+    WITH sides AS MATERIALIZED (SELECT *, {TRAIN} AS train FROM features), {_MEDIANS}, {levels},
     entries AS MATERIALIZED ({' UNION ALL '.join(entries)}),
     moments AS (
         SELECT place, sum(value) / n AS mean, n, sum(value) AS total, sum(value * value) AS squares

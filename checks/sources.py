@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.listings import clean, derived_clean, raw, table, with_steps
+from checks.listings import RAW_COLUMNS, clean, derived_clean, raw, table, with_steps
 from checks.registry import query
 from tablefit import listing
 from tablefit.operators.summary import group_count
@@ -28,18 +28,13 @@ CASE WHEN length(TRIM(id)) % 3 = 0
 """
 
 
-@query(with_steps("raw", f"""
-SELECT id, NULLIF(last_scraped, '') AS last_scraped, room_type,
-       NULLIF(neighbourhood_cleansed, '') AS neighbourhood_cleansed, NULLIF(price, '') AS price,
-       {_NOTE} AS note
-FROM raw
-"""))
+_AS_READ = ", ".join(f"NULLIF({c}, '') AS {c}" for c in RAW_COLUMNS)
+
+
+@query(with_steps("raw", f"SELECT {_AS_READ}, {_NOTE} AS note FROM raw"))
 def scan_csv_text(spark, sf_dir):
-    """Text out to CSV and back, with quotes and line breaks inside fields."""
-    rows = raw(spark, sf_dir).select(
-        "id", "last_scraped", "room_type", "neighbourhood_cleansed", "price",
-        F.expr(_NOTE).alias("note"),
-    )
+    """Every text column out to CSV and back, with quotes and line breaks inside fields."""
+    rows = raw(spark, sf_dir).select(*RAW_COLUMNS, F.expr(_NOTE).alias("note"))
     return read_text_csv(spark, _write_csv(rows, "scan_csv_text"))
 
 

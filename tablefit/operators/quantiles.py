@@ -1,13 +1,16 @@
-"""Exact quantiles of large numeric columns, in bounded memory.
-
-Spark's `percentile` keeps every distinct value in one task, and
-`percentile_approx` at a very high accuracy keeps almost as much.  Here a
-coarse sketch (`approxQuantile`, merged in a tree) only proposes a bracket
-around each wanted rank; plain counts over the whole table then say how many
-rows lie below and inside it.  Rows inside shrink more than a hundredfold per
-round, and the last, small remainder, of at most `ranked_rows` values, is
-ranked by an ordinary aggregate.  The answer is the value at the rank, never an
-interpolation, and does not depend on `ranked_rows`.
+"""Exact quantiles of many numeric columns at once, by radix selection.
+
+Columns are unpivoted to (column, value).  A digit that rises with the value
+deals the values of each wanted rank to buckets; one aggregate counts all
+buckets of all columns, and each rank moves into its bucket.  The first digit is
+the sign and the binary exponent, the following ones cut the bucket's interval
+into equal steps.  An interval shrinks to one value within a few passes whatever
+the distribution, as all values of a bucket have one exponent from the second
+pass on.  The answer is the value at the rank, never an interpolation.
+
+Plans are of a fixed size: intervals are rows of a small table, joined on the
+column, and not predicates, so the number of columns does not matter.  A task
+holds at most one row per bucket, and a hot value is one bucket.
 """
 
 from __future__ import annotations
@@ -19,175 +22,111 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-REL_ERROR = 0.001
-RANKED_ROWS = 500_000  # at most this many values, of all targets, are ranked exactly
+#: Steps that a bucket's interval is cut into by one pass.
+STEPS = 4096
+#: Beyond every exponent of a double, for the infinities.
+_FAR = 5000
 
 
 @dataclass
 class _Target:
-    """The `rank`-th smallest of the values in the open interval (low, high)."""
+    """The `rank`-th smallest of the column's values from `low` to `high`, both included.
+
+    A `wide` interval is only believed to hold the rank; all values are counted.
+    """
 
     column: str
     rank: int
-    rows: int
-    low: float | None = None
-    high: float | None = None
+    low: float = -math.inf
+    high: float = math.inf
+    fresh: bool = True
+    wide: bool = False
     value: float | None = None
 
-    def inside(self) -> Column:
-        c = F.col(self.column)
-        condition = c.isNotNull()
-        if self.low is not None:
-            condition &= c > F.lit(self.low)
-        if self.high is not None:
-            condition &= c < F.lit(self.high)
-        return condition
-
-    def settle(self, low: float, high: float, counts: Sequence[int]) -> bool:
-        """Use the counts below, at and between `low` and `high`; False if the
-        rank lies outside that bracket."""
-        below, at_low, between, at_high = counts
-        rank = self.rank - below
-        if rank <= 0 or rank > at_low + between + at_high:
-            return False
-        if rank <= at_low:
-            self.value = low
-        elif rank > at_low + between:
-            self.value = high
-        else:
-            self.rank, self.rows, self.low, self.high = rank - at_low, between, low, high
-        return True
-
 
 def exact_quantiles(
-    df: DataFrame,
-    probabilities: Mapping[str, Sequence[float]],
-    ranked_rows: int = RANKED_ROWS,
+    df: DataFrame, probabilities: Mapping[str, Sequence[float]], steps: int = STEPS
 ) -> dict[str, list[float | None]]:
     """Per column the smallest value whose cumulative share reaches each
     probability; nulls and NaN are left out, and a column without values gives
     nulls."""
     names = list(probabilities)
-    values = _numbers(df, names)
-    counts = _row_counts(values, names)
-    ranks = {
-        name: [max(1, math.ceil(p * counts[name])) for p in probabilities[name]] for name in names
+    if not names:
+        return {}
+    values = _values(df, names)
+    counted = values.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = {names[r["column"]]: r.n for r in counted}
+    targets = {
+        c: [_Target(c, max(1, math.ceil(p * rows[c]))) if c in rows else None for p in probabilities[c]]
+        for c in names
     }
-    return _order_statistics(values, ranks, counts, ranked_rows)
+    _select(values, names, [t for ts in targets.values() for t in ts if t], steps)
+    return {c: [t.value if t else None for t in ts] for c, ts in targets.items()}
 
 
 def order_statistic(
-    df: DataFrame,
-    name: str,
-    rank: int,
-    rows: int,
-    guess: tuple[float, float] | None = None,
-    ranked_rows: int = RANKED_ROWS,
+    df: DataFrame, name: str, rank: int, guess: tuple[float, float] | None = None, steps: int = STEPS
 ) -> float:
-    """The `rank`-th smallest of a column's `rows` values.
+    """The `rank`-th smallest value of a column.
 
-    `guess` is a bracket believed to hold it; a wrong one costs a pass, not the
-    result.
+    `guess` is an interval believed to hold it; a wrong one costs a pass, not
+    the result.
     """
-    values = _numbers(df, [name])
-    guesses = {name: guess} if guess else {}
-    return _order_statistics(values, {name: [rank]}, {name: rows}, ranked_rows, guesses)[name][0]
-
-
-def _numbers(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    doubles = {n: F.col(n).cast("double") for n in names}
-    return df.select(*[F.when(~F.isnan(c), c).alias(n) for n, c in doubles.items()])
+    target = _Target(name, rank, *guess, fresh=False, wide=True) if guess else _Target(name, rank)
+    _select(_values(df, [name]), [name], [target], steps)
+    return target.value
 
 
-def _row_counts(values: DataFrame, names: Sequence[str]) -> dict[str, int]:
-    return values.agg(*[F.count(n).alias(n) for n in names]).first().asDict()
+def _values(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(column, value): a row per number, columns by their place in `names`."""
+    places = [f"v{i}" for i in range(len(names))]
+    doubles = df.select(*[F.col(n).cast("double").alias(p) for n, p in zip(names, places)])
+    stacked = doubles.select(F.posexplode(F.array(*places)).alias("column", "value"))
+    return stacked.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def _order_statistics(values, ranks, counts, ranked_rows, guesses=None):
-    targets = {
-        name: [_Target(name, rank, counts[name]) for rank in ranks[name]] for name in ranks
-    }
-    open_targets = [t for ts in targets.values() for t in ts if t.rows > 0]
-    few = max(1, ranked_rows // max(1, len(open_targets)))
-    guesses = dict(guesses or {})
-    margin = 2 * REL_ERROR
-    while True:
-        large = [t for t in open_targets if t.value is None and t.rows > few]
-        if not large:
-            break
-        if guesses:
-            guessed = [t for t in large if t.column in guesses]
-            _narrow(values, guessed, [guesses[t.column] for t in guessed])
-            guesses = {}
-        elif not all(_narrow(values, large, _sketched(values, large, REL_ERROR, margin))):
-            margin *= 4
-            if margin > 1:
-                raise ArithmeticError("values differ between passes; write the table first")
-    small = [t for t in open_targets if t.value is None]
-    if small:
-        _rank(values, small)
-    return {name: [t.value for t in ts] for name, ts in targets.items()}
+def _first_digit(value: Column) -> Column:
+    """Sign and binary exponent in the order of the values.
 
-
-def _rank(values: DataFrame, targets: list[_Target]) -> None:
-    """Settle targets of few rows: count their values, then run over the counts.
-
-    One narrow row per value and target, so the number of columns does not
-    matter; each target's distinct values, bounded by the caller, are one window.
+    Logarithms never fall where their argument rises, and no more is needed.
     """
-    inside = values.filter(_any([t.inside() for t in targets]))
-    names = [f"t{i}" for i in range(len(targets))]
-    picked = inside.select(*[F.when(t.inside(), F.col(t.column)).alias(n) for n, t in zip(names, targets)])
-    counts = (
-        picked.unpivot([], names, "target", "value")
-        .filter(F.col("value").isNotNull())
-        .groupBy("target", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = F.sum("n").over(Window.partitionBy("target").orderBy("value"))
-    rank = F.create_map(*(F.lit(x) for n, t in zip(names, targets) for x in (n, t.rank)))[F.col("target")]
-    at_rank = counts.withColumn("upto", upto).filter((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank))
-    found = {r.target: r.value for r in at_rank.collect()}
-    for name, target in zip(names, targets):
-        if name not in found:
-            raise ArithmeticError("values differ between passes; write the table first")
-        target.value = found[name]
-
-
-def _sketched(values: DataFrame, targets: list[_Target], error: float, margin: float):
-    """A bracket per target, `margin` of the rows to either side, from one
-    sketch pass."""
-    inside = values.filter(_any([t.inside() for t in targets]))
-    picked = inside.select(
-        *[F.when(t.inside(), F.col(t.column)).alias(f"t{i}") for i, t in enumerate(targets)]
-    )
-    # Half a rank below keeps rounding from moving the rank up by one.
-    shares = [(t.rank - 0.5) / t.rows for t in targets]
-    ends = [(max(0.0, s - margin), min(1.0, s + margin)) for s in shares]
-    asked = sorted({p for pair in ends for p in pair})
-    answers = picked.approxQuantile(picked.columns, asked, error)
-    found = [dict(zip(asked, row)) for row in answers]
-    return [(row[low], row[high]) for row, (low, high) in zip(found, ends)]
-
-
-def _narrow(values: DataFrame, targets: list[_Target], brackets) -> list[bool]:
-    """Count the rows around every bracket in one pass and move each target in."""
-    counts = []
-    for target, (low, high) in zip(targets, brackets):
-        c, inside = F.col(target.column), target.inside()
-        places = [c < F.lit(low), c == F.lit(low), (c > F.lit(low)) & (c < F.lit(high))]
-        places.append((c == F.lit(high)) & F.lit(high > low))
-        counts += [F.count_if(inside & place) for place in places]
-    rows = values.filter(_any([t.inside() for t in targets]))
-    found = rows.agg(*[c.alias(f"n{i}") for i, c in enumerate(counts)]).first()
-    return [
-        target.settle(low, high, found[4 * i : 4 * i + 4])
-        for i, (target, (low, high)) in enumerate(zip(targets, brackets))
-    ]
-
-
-def _any(conditions: list[Column]) -> Column:
-    result = conditions[0]
-    for condition in conditions[1:]:
-        result = result | condition
-    return result
+    size = F.abs(value)
+    power = F.when(size == math.inf, float(_FAR)).otherwise(F.floor(F.log2(size)).cast("double") + 2000.0)
+    return F.when(value == 0, 0.0).when(value > 0, power).otherwise(-power).cast("int")
+
+
+def _next_digit(value: Column, low: Column, high: Column, steps: int) -> Column:
+    """Place of the value among equal steps from `low` to `high`; the ends have steps of their own."""
+    share = (value - low) / F.when(high > low, high - low).otherwise(1.0)
+    step = F.floor(share * (steps - 2)).cast("int") + 1
+    outside = F.when(value < low, -1).when(value > high, steps + 1)
+    return outside.when(value == low, 0).when(value == high, steps).otherwise(step)
+
+
+def _select(values: DataFrame, names: Sequence[str], targets: list[_Target], steps: int) -> None:
+    place = {n: i for i, n in enumerate(names)}
+    schema = "target int, column int, rank long, low double, high double, fresh boolean, wide boolean"
+    while pending := [t for t in targets if t.value is None]:
+        rows = [(i, place[t.column], t.rank, t.low, t.high, t.fresh, t.wide) for i, t in enumerate(pending)]
+        # a row per wanted rank
+        asked = F.broadcast(values.sparkSession.createDataFrame(rows, schema))
+        inside = values.join(asked, "column").where(F.col("wide") | F.col("value").between(F.col("low"), F.col("high")))
+        value, low, high = F.col("value"), F.col("low"), F.col("high")
+        digit = F.when(F.col("fresh"), _first_digit(value)).otherwise(_next_digit(value, low, high, steps))
+        buckets = inside.groupBy("target", "rank", digit.alias("digit")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+        )
+        # at most a row per bucket in each of these windows
+        upto = F.sum("n").over(Window.partitionBy("target").orderBy("digit"))
+        ranked = buckets.withColumn("upto", upto)
+        holding = ranked.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+        found = {r.target: r for r in holding.collect()}
+        for i, t in enumerate(pending):
+            if i not in found:
+                raise ArithmeticError("values differ between passes; write the table first")
+            bucket = found[i]
+            if bucket.low == bucket.high:
+                t.value = bucket.low
+            else:
+                t.rank -= bucket.upto - bucket.n
+                t.low, t.high, t.fresh, t.wide = bucket.low, bucket.high, False, False

@@ -56,8 +56,7 @@ def _cut(places: DataFrame, n: int, rows: int) -> tuple[float, int, int]:
     """The n-th smallest place, and how many rows lie below and at it."""
     # Places are uniform, so the n-th lies this close to n / rows.
     spread = 8 * math.sqrt(n) + 8
-    low, width = (n - spread) / rows, 2 * spread / rows
-    cut = order_statistic(places, "place", n, rows, (low, low + width))
+    cut = order_statistic(places, "place", n, ((n - spread) / rows, (n + spread) / rows))
     found = places.agg(
         F.count_if(F.col("place") < cut).alias("below"),
         F.count_if(F.col("place") == cut).alias("at"),
