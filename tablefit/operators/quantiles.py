@@ -32,11 +32,13 @@ _FAR = 5000
 class _Target:
     """The `rank`-th smallest of the column's values from `low` to `high`, both included.
 
-    A `wide` interval is only believed to hold the rank; all values are counted.
+    Without a rank it is the value at `share` of the rows.  A `wide` interval is
+    only believed to hold the rank; all values are counted.
     """
 
     column: str
-    rank: int
+    rank: int | None = None
+    share: float | None = None
     low: float = -math.inf
     high: float = math.inf
     fresh: bool = True
@@ -53,15 +55,9 @@ def exact_quantiles(
     names = list(probabilities)
     if not names:
         return {}
-    values = _values(df, names)
-    counted = values.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
-    rows = {names[r["column"]]: r.n for r in counted}
-    targets = {
-        c: [_Target(c, max(1, math.ceil(p * rows[c]))) if c in rows else None for p in probabilities[c]]
-        for c in names
-    }
-    _select(values, names, [t for ts in targets.values() for t in ts if t], steps)
-    return {c: [t.value if t else None for t in ts] for c, ts in targets.items()}
+    targets = {c: [_Target(c, share=p) for p in probabilities[c]] for c in names}
+    _select(_values(df, names), names, [t for ts in targets.values() for t in ts], steps)
+    return {c: [t.value for t in ts] for c, ts in targets.items()}
 
 
 def order_statistic(
@@ -72,7 +68,9 @@ def order_statistic(
     `guess` is an interval believed to hold it; a wrong one costs a pass, not
     the result.
     """
-    target = _Target(name, rank, *guess, fresh=False, wide=True) if guess else _Target(name, rank)
+    target = _Target(name, rank)
+    if guess:
+        (target.low, target.high), target.fresh, target.wide = guess, False, True
     _select(_values(df, [name]), [name], [target], steps)
     return target.value
 
@@ -104,29 +102,45 @@ def _next_digit(value: Column, low: Column, high: Column, steps: int) -> Column:
 
 
 def _select(values: DataFrame, names: Sequence[str], targets: list[_Target], steps: int) -> None:
-    place = {n: i for i, n in enumerate(names)}
-    schema = "target int, column int, rank long, low double, high double, fresh boolean, wide boolean"
-    while pending := [t for t in targets if t.value is None]:
-        rows = [(i, place[t.column], t.rank, t.low, t.high, t.fresh, t.wide) for i, t in enumerate(pending)]
-        # a row per wanted rank
-        asked = F.broadcast(values.sparkSession.createDataFrame(rows, schema))
-        inside = values.join(asked, "column").where(F.col("wide") | F.col("value").between(F.col("low"), F.col("high")))
-        value, low, high = F.col("value"), F.col("low"), F.col("high")
+    """Settle the targets; one of a column without values keeps None."""
+    spark, place = values.sparkSession, {n: i for i, n in enumerate(names)}
+    value, low, high = F.col("value"), F.col("low"), F.col("high")
+    pending = list(targets)
+    while pending:
+        # targets of one interval share its buckets; a row per interval and per wanted rank
+        intervals = list(dict.fromkeys((place[t.column], t.low, t.high, t.fresh, t.wide) for t in pending))
+        of = [intervals.index((place[t.column], t.low, t.high, t.fresh, t.wide)) for t in pending]
+        asked = spark.createDataFrame(
+            [(i, *interval) for i, interval in enumerate(intervals)],
+            "interval int, column int, low double, high double, fresh boolean, wide boolean",
+        )
+        ranks = spark.createDataFrame(
+            [(i, j, t.rank, t.share) for j, (i, t) in enumerate(zip(of, pending))],
+            "interval int, target int, rank long, share double",
+        )
+        inside = values.join(F.broadcast(asked), "column").where(F.col("wide") | value.between(low, high))
         digit = F.when(F.col("fresh"), _first_digit(value)).otherwise(_next_digit(value, low, high, steps))
-        buckets = inside.groupBy("target", "rank", digit.alias("digit")).agg(
+        buckets = inside.groupBy("interval", digit.alias("digit")).agg(
             F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
         )
-        # at most a row per bucket in each of these windows
-        upto = F.sum("n").over(Window.partitionBy("target").orderBy("digit"))
-        ranked = buckets.withColumn("upto", upto)
+        # each of these windows has at most a row per bucket
+        every = Window.partitionBy("interval")
+        counted = buckets.withColumns({"upto": F.sum("n").over(every.orderBy("digit")), "rows": F.sum("n").over(every)})
+        by_share = F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("rows")))
+        ranked = counted.join(F.broadcast(ranks), "interval").withColumn("rank", F.coalesce("rank", by_share))
         holding = ranked.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
         found = {r.target: r for r in holding.collect()}
-        for i, t in enumerate(pending):
-            if i not in found:
+        still = []
+        for j, t in enumerate(pending):
+            if j not in found:
+                if t.fresh:
+                    continue
                 raise ArithmeticError("values differ between passes; write the table first")
-            bucket = found[i]
+            bucket = found[j]
             if bucket.low == bucket.high:
                 t.value = bucket.low
-            else:
-                t.rank -= bucket.upto - bucket.n
-                t.low, t.high, t.fresh, t.wide = bucket.low, bucket.high, False, False
+                continue
+            t.rank = bucket["rank"] - (bucket.upto - bucket.n)
+            t.low, t.high, t.fresh, t.wide = bucket.low, bucket.high, False, False
+            still.append(t)
+        pending = still
