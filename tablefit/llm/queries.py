@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tablefit.llm.chat import format_chats
 from tablefit.llm.embeddings import embedding_groups
 from tablefit.llm.fingerprints import fingerprint_edits
+from tablefit.llm.lines import drop_common_lines
 from tablefit.llm.mixing import mix
 from tablefit.llm.packing import pack
 from tablefit.llm.scoring import score_documents
@@ -81,6 +82,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_common_lines(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -92,7 +99,30 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_url_filter": op9_url_filter,
     "op10_chat_formatting": op10_chat_formatting,
+    "op13_line_dedup": op13_line_dedup,
 }
 
-#: None of the ten can be given whole in SQL; tests/llm holds each against brute force.
-ORACLES: dict[str, str] = {}
+LINES_SQL = """
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM split),
+keyed AS (
+    SELECT *, translate(
+        trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'
+    ) AS key FROM lines
+),
+common AS (
+    SELECT key, max(doc_id) AS holder FROM keyed WHERE length(key) >= 20
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+),
+marked AS (
+    SELECT doc_id, place, line, holder IS NOT NULL AND holder != doc_id AS goes
+    FROM keyed LEFT JOIN common ON keyed.key = common.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE goes) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT goes), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+#: Of the others none can be given whole in SQL; tests/llm holds each against brute force.
+ORACLES = {"op13_line_dedup": LINES_SQL}
