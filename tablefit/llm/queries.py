@@ -17,6 +17,7 @@ from tablefit.llm.simhash import simhash_groups
 from tablefit.llm.substrings import cut_repeats
 from tablefit.llm.toxicity import score_toxicity
 from tablefit.llm.url_filter import ALLOW, BLOCK, Rule, judge_urls
+from tablefit.llm.whitening import whiten
 
 #: Fixed by the contract of op9.
 URL_RULES = (
@@ -82,6 +83,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_common_lines(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
@@ -99,6 +104,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_url_filter": op9_url_filter,
     "op10_chat_formatting": op10_chat_formatting,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_line_dedup": op13_line_dedup,
 }
 
