@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tablefit.llm.chat import format_chats
 from tablefit.llm.embeddings import embedding_groups
 from tablefit.llm.fingerprints import fingerprint_edits
+from tablefit.llm.lexical import search
 from tablefit.llm.lines import drop_common_lines
 from tablefit.llm.mixing import mix
 from tablefit.llm.packing import pack
@@ -83,6 +84,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(_table(spark, sf_dir, "conversations"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -104,6 +109,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_url_filter": op9_url_filter,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_lexical_search": op11_lexical_search,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_line_dedup": op13_line_dedup,
 }
@@ -130,5 +136,32 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE goes) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_TERMS = r"""unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'
+)) AS term"""
+
+SEARCH_SQL = f"""
+WITH terms AS (SELECT doc_id, {_TERMS} FROM documents),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY doc_id),
+totals AS (SELECT count(*) AS documents, sum(n)::BIGINT AS words FROM lengths),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+    FROM counts, totals GROUP BY term, documents
+),
+wanted AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {_TERMS} FROM benchmark)),
+scores AS (
+    SELECT item_id, c.doc_id,
+           sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * documents) // words))))::BIGINT AS score
+    FROM wanted JOIN counts c ON wanted.term = c.term JOIN weights ON wanted.term = weights.term
+    JOIN lengths l ON c.doc_id = l.doc_id, totals
+    GROUP BY item_id, c.doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY rank <= 50
+"""
+
 #: Of the others none can be given whole in SQL; tests/llm holds each against brute force.
-ORACLES = {"op13_line_dedup": LINES_SQL}
+ORACLES = {"op11_lexical_search": SEARCH_SQL, "op13_line_dedup": LINES_SQL}
