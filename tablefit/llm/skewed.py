@@ -24,3 +24,13 @@ def meet(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str, tota
     heavy, light = right.where(large).drop(weight), right.where(~large).drop(weight)
     others = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
     return left.join(F.broadcast(heavy), keys).unionByName(others.join(light, keys))
+
+
+def marked(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str, total: int, name: str) -> DataFrame:
+    """`left` with the boolean `name`, whether its key is in `right`; as in `meet`."""
+    keys = list(on)
+    large = F.col(weight) * F.lit(HEAVY) > F.lit(total)
+    there = right.select(*keys, F.lit(True).alias(name), weight)
+    first = left.join(F.broadcast(there.where(large).drop(weight)), keys, "left")
+    others = first.where(F.col(name).isNull()).drop(name).join(there.where(~large).drop(weight), keys, "left")
+    return first.where(F.col(name)).unionByName(others.withColumn(name, F.coalesce(name, F.lit(False))))

@@ -10,7 +10,8 @@ least hash.  Equal windows have equal minimizers, and neighbouring windows
 mostly share theirs, so one row stands for all windows of a minimizer: a run of
 about (threshold - gram) / 2 suffixes.  The second digit is the hash of all
 bytes under the run: rows alike in both digits repeat all their windows at
-once.  Only runs that share the first digit and differ in the second go on to
+once.  Digits are hashes: rows meet in them as they would in the leading bytes,
+but in no order that means anything, as only equality counts.  Only runs that share the first digit and differ in the second go on to
 the last digit, the windows one by one.  Each digit is one shuffle by its hash
 and one sort.  Rows of a digit are streamed, and windows of a digit that very
 many rows share are counted by window over all tasks; no group is held whole.
@@ -35,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablefit.llm.batches import _BYTES, _INVERSE, U64, mix, powers, text_slices, whole_runs
-from tablefit.llm.columns import kept, texts
+from tablefit.llm.columns import kept
+from tablefit.llm.skewed import marked
 
 THRESHOLD = 50
 GRAM = 20
@@ -126,8 +128,8 @@ def suffix_runs(threshold: int, gram: int):
     return run
 
 
-RUN_SCHEMA = "h long, s long, at long, sub int, place long"
-KIND_SCHEMA = "open boolean, h long, at long, sub int, place long"
+RUN_SCHEMA = "h long, s long, at long, sub long, place long"
+KIND_SCHEMA = "open boolean, h long, at long, sub long, place long"
 
 
 def compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,14 +187,14 @@ def compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def open_texts(threshold: int):
-    """Rows (h, at, sub, start, data) of open runs with the bytes under them."""
+    """Rows (h, at, sub, start, data, crowded) of open runs with the bytes under them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 data = batch.column("text")[i].as_py().encode("utf-8", "surrogatepass")
                 spots = batch.column("spots")[i].values
-                h, place = spots.field("h"), spots.field("place").to_numpy()
+                h, crowded, place = spots.field("h"), spots.field("crowded"), spots.field("place").to_numpy()
                 start, n = np.divmod(place, RUN)
                 for low in range(0, len(place), 20_000):
                     some = slice(low, low + 20_000)
@@ -200,9 +202,9 @@ def open_texts(threshold: int):
                     m = len(found)
                     yield pa.RecordBatch.from_arrays([
                         h.slice(low, m), pa.array([batch.column("at")[i].as_py()] * m, pa.int64()),
-                        pa.array([batch.column("sub")[i].as_py()] * m, pa.int32()), pa.array(start[some]),
-                        pa.array(found, pa.binary()),
-                    ], ["h", "at", "sub", "start", "data"])
+                        pa.array([batch.column("sub")[i].as_py()] * m, pa.int64()), pa.array(start[some]),
+                        pa.array(found, pa.binary()), crowded.slice(low, m),
+                    ], ["h", "at", "sub", "start", "data", "crowded"])
     return run
 
 
@@ -220,7 +222,7 @@ def _windows(table: pa.Table, threshold: int) -> tuple[np.ndarray, np.ndarray, n
 def _places(at: np.ndarray, sub: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """Windows, ordered within their documents' rows, as (at, sub, place) with neighbours together."""
     if not len(at):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int64())], ["at", "sub", "place"])
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64())], ["at", "sub", "place"])
     apart = (at[1:] != at[:-1]) | (sub[1:] != sub[:-1]) | (place[1:] != place[:-1] + 1)
     new = np.concatenate(([True], apart))
     # no more than RUN windows together
@@ -300,20 +302,21 @@ def repeated_places(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
     compared = kept(
         runs.repartition("h").sortWithinPartitions("h", "s", "at").mapInArrow(compare_runs, KIND_SCHEMA), "suffix-runs"
     )
-    open_ = compared.where("open")
-    spots = open_.groupBy("at", "sub").agg(F.collect_list(F.struct("h", "place")).alias("spots"))
-    crowded = open_.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("h", F.lit(True).alias("crowded"))
+    open_ = compared.where("open").select("h", "at", "sub", "place")
+    crowds = kept(open_.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD), "suffix-crowds")
+    parted = marked(open_, crowds, ["h"], "n", open_.count(), "crowded")
+    # equal rows have equal places; a document's own are bounded by its length
+    spots = parted.groupBy("at", "sub").agg(F.collect_set(F.struct("h", "place", "crowded")).alias("spots"))
     under = kept(
         docs.join(spots, ["at", "sub"]).select("at", "sub", "text", "spots")
-        .mapInArrow(open_texts(threshold), "h long, at long, sub int, start long, data binary")
-        .join(crowded, "h", "left"),
+        .mapInArrow(open_texts(threshold), "h long, at long, sub long, start long, data binary, crowded boolean"),
         "suffix-texts",
     )
-    few = under.where("crowded is null").drop("crowded").repartition("h").sortWithinPartitions("h").mapInArrow(
-        compare_windows(threshold), "at long, sub int, place long"
+    few = under.where("not crowded").drop("crowded").repartition("h").sortWithinPartitions("h").mapInArrow(
+        compare_windows(threshold), "at long, sub long, place long"
     )
     windows = under.where("crowded").mapInArrow(
-        each_window(threshold), "h long, at long, sub int, place long, digit long"
+        each_window(threshold), "h long, at long, sub long, place long, digit long"
     )
     least = windows.groupBy("h", "digit").agg(F.min("at").alias("least"))
     many = windows.join(least, ["h", "digit"]).where("at > least").select("at", "sub", "place")
@@ -331,16 +334,30 @@ def _with_places(docs: DataFrame, id_col: str, text_col: str, threshold: int, gr
     """(row, text, places): the other columns as a struct, the text, and the places of its repeated windows."""
     others = [F.col(c) for c in docs.columns if c != text_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # sub tells apart rows that repeat an id
-    own = docs.select(
-        F.struct(*others).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("at"),
-        F.hash(text).alias("sub"), text.alias("text"),
-    )
+    own = _told_apart(docs.select(
+        F.struct(*others).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("at"), text.alias("text")
+    ))
     places = repeated_places(own.select("at", "sub", "text"), threshold, _grams(threshold, gram))
-    places = places.groupBy("at", "sub").agg(F.collect_list("place").alias("places"))
+    places = places.groupBy("at", "sub").agg(F.collect_set("place").alias("places"))
     return own.join(places, ["at", "sub"], "left").select("row", "text", "places")
 
 
+def _told_apart(own: DataFrame) -> DataFrame:
+    """Rows (row, at, text) with `sub`, a number that different texts of one id do not share.
+
+    Where no id repeats there is nothing to tell apart.  Else distinct pairs of
+    id and text, known by 128 bits of hash, are numbered in a written table.
+    """
+    if own.groupBy("at").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return own.withColumn("sub", F.lit(0).cast("long"))
+    keys = [F.xxhash64(F.lit(i), "text").alias(f"text{i}") for i in (1, 2)]
+    own = own.select("*", *keys)
+    numbers = kept(
+        own.select("at", "text1", "text2").distinct().withColumn("sub", F.monotonically_increasing_id()), "text-numbers"
+    )
+    return own.join(numbers, ["at", "text1", "text2"]).drop("text1", "text2")
+
+
 def cut_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int | None = None
 ) -> DataFrame:

@@ -77,3 +77,20 @@ def test_edge_cases(make_docs):
     assert cut_repeats(make_docs([])).count() == 0
     with pytest.raises(ValueError):
         cut_repeats(make_docs(docs), threshold=200, gram=20)
+
+
+def test_rows_of_one_id_whose_texts_hash_alike(make_docs):
+    """Two texts of equal 32-bit hash, under null ids: each loses its own bytes only."""
+    words = " some text of its own that is a bit longer than fifty bytes "
+    a, b = f"t39794{words}315128686", f"t184635{words}1462124565"
+    docs = [(1, a), (None, a), (None, b)]
+    assert found(cut_repeats(make_docs(docs))) == plain(docs, 50)
+
+
+@pytest.mark.parametrize("crowd", [5, 50_000])
+def test_many_rows_without_an_id(make_docs, monkeypatch, crowd):
+    """A third of the rows are one, and many texts share the null id."""
+    monkeypatch.setattr(substrings, "CROWD", crowd)
+    passage = "this passage of more than fifty bytes is in very many of the rows here"
+    docs = [(1, f"x{passage}y")] + [(None, f"{i % 9}{passage}{i % 7}") for i in range(60)] + [(None, passage)] * 30 + [(7, passage)] * 30
+    assert found(cut_repeats(make_docs(docs).repartition(5))) == plain(docs, 50)
