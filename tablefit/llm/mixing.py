@@ -3,19 +3,19 @@
 DataFrame, SQL and Spark ML functions only.  A classifier fitted on a labelled
 table gives each document a posterior over domains.  Document rates r >= 0 (or
 a higher floor) are fitted by least squares so that the expected tokens per
-domain, sum of r * tokens * posterior, match the targets.  Of all rates that do,
-they are those that differ least from 1 (or the floor): a rate is 1 less the
-product of the posterior with one number per domain, kept above the floor.
-Newton's steps on the convex dual find these numbers, with a penalty that falls
-from round to round; a step is one aggregate of the written posteriors, and no
-rates are stored.
+domain, sum of r * tokens * posterior, match the targets: projected gradient
+from r = 1 (or the floor), scaled by Gram matrices so that scarce domains move
+as fast as large ones (see `fit_rates`).  A step moves each rate by the product
+of its posterior with one number per domain and keeps it above the floor; the
+totals after it are one aggregate.
 `copies` turns a rate into a whole number of copies by a hash of the id.
 
 Defined cases: a null or empty text has no token, the classifier's posterior
 for no words, and counts nothing.  Labels that are null or not among the
 targets are left out; if fewer than two domains are labelled the only one (or
 the first target) has posterior 1.  A target whose domain no document may
-belong to stays unmet, with a warning.  Rows that repeat an id have one rate each and the same
+belong to stays unmet: the fit returns what is unmet, and `mix` warns of it or,
+with `strict`, raises.  Rows that repeat an id have one rate each and the same
 copies where their texts agree.  An empty table gives an empty result.  Other
 columns are not read.
 """
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -83,91 +84,105 @@ def posteriors(
     )
 
 
-def _rate(posterior: Column, steps: list[list[float]], floor: float) -> Column:
-    """The rate after the gradient steps: from 1 on, each moved by posterior . step and kept above the floor."""
-    width = len(steps[0]) if steps else 0
+#: Gradient steps that are repeated from the last written rates before rates are written anew.
+REPLAYED = 32
 
-    def moved(rate: Column, step: Column) -> Column:
-        dot = sum((posterior[i] * step[i] for i in range(width)), F.lit(0.0))
-        return F.greatest(F.lit(floor), rate - dot)
 
+def _moved(steps: list[list[float]], floor: float) -> Column:
+    """The column `rate` after gradient steps: each moves it by posterior . step and keeps it above the floor."""
     if not steps:
-        return F.lit(max(1.0, floor))
-    history = F.array(*(F.array(*map(F.lit, step)) for step in steps))
-    return F.aggregate(history, F.lit(max(1.0, floor)), moved)
+        return F.col("rate")
+    posterior = F.col("posterior")
+
+    def moved(rate: Column, step: Column) -> Column:
+        dot = sum((posterior[i] * step[i] for i in range(len(steps[0]))), F.lit(0.0))
+        return F.greatest(F.lit(float(floor)), rate - dot)
+
+    return F.aggregate(F.array(*(F.array(*map(F.lit, step)) for step in steps)), F.col("rate"), moved)
+
+
+@dataclass
+class Rates:
+    """The table with its `rate`, and by how much of all target tokens each unmet target (by place) is off."""
+
+    table: DataFrame
+    unmet: dict[int, float]
 
 
 def fit_rates(
-    table: DataFrame, targets: list[float], floor: float = 0.0, iterations: int = 1000, tolerance: float = 1e-4
-) -> list[list[float]]:
-    """The step, one number per domain, that brings the token totals of (tokens, posterior) to `targets`.
+    table: DataFrame, targets: list[float], floor: float = 0.0, iterations: int | None = None, tolerance: float = 1e-4
+) -> Rates:
+    """Rates that bring the token totals of (tokens, posterior) to `targets`, by projected gradient.
+
+    Least squares weighs the domains' residuals by the inverse of the Gram
+    matrix of all rows, and rates by their tokens: a gradient step of 1 then
+    always leads down.  Each step is first tried as scaled by the Gram matrix
+    of the rates that are free to move, shortened while it leads down too
+    little; else it is the plain one.
 
     Stops when no domain is further from its target than `tolerance` of all
-    target tokens, or when a tighter penalty no longer moves the totals: then no
-    rates meet the targets, and these are the nearest totals.  Warns of targets
-    that stay unmet.  `iterations` only guards against an endless search.
+    target tokens, or when a step takes less than a thousandth off the weighted
+    squares: then no rates meet the targets, and the totals are about the
+    nearest.  `iterations` may bound the steps.
     """
-    n, weight, start = len(targets), F.col("tokens").cast("double"), max(1.0, floor)
-    scale = sum(targets)
+    n, weight, scale = len(targets), F.col("tokens").cast("double"), sum(targets)
+    rated = table.withColumn("rate", F.lit(max(1.0, float(floor))))
     if not scale > 0:
-        return []
+        return Rates(rated, {})
     wanted = np.array(targets) / scale
     p = [F.get("posterior", F.lit(i)) for i in range(n)]
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    steps: list[list[float]] = []
 
-    def state(step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Totals, the Gram matrix of rates above the floor, and the sum whose gradient is minus the totals."""
-        free = F.lit(start) - sum((p[i] * F.lit(float(step[i])) for i in range(n)), F.lit(0.0))
-        rows = table.select(weight.alias("w"), "posterior", free.alias("free")).withColumn(
-            "rate", F.greatest(F.lit(float(floor)), "free")
-        )
-        above = F.when(F.col("free") > floor, F.col("w")).otherwise(0.0)
-        row = rows.agg(
-            F.sum(F.col("w") * F.col("rate") * (F.col("free") - F.col("rate") / 2)).alias("h"),
-            *(F.sum(F.col("w") * F.col("rate") * p[i]).alias(f"t{i}") for i in range(n)),
-            *(F.sum(above * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs),
-        ).first()
-        gram = np.zeros((n, n))
-        for i, j in pairs:
-            gram[i, j] = gram[j, i] = (row[f"g{i}_{j}"] or 0.0) / scale
-        return np.array([row[f"t{i}"] or 0.0 for i in range(n)]) / scale, gram, (row["h"] or 0.0) / scale
-
-    step, penalty, last, left = np.zeros(n), 1e-2, None, iterations
-    totals, gram, height = state(step)
-    while np.abs(totals - wanted).max() >= tolerance and left > 0:
-        # Newton's steps to the least height + wanted . step + penalty / 2 |step - base|^2, which is convex.
-        base = step
-        while left > 0:
-            slope = wanted - totals + penalty * (step - base)
-            if np.abs(slope).max() < tolerance / 100:
-                break
-            move = -np.linalg.solve(gram + penalty * np.eye(n), slope)
-            value, part = height + wanted @ step + penalty / 2 * ((step - base) @ (step - base)), 1.0
-            while left > 0:
-                left -= 1
-                trial = step + part * move
-                found = state(trial)
-                reached = found[2] + wanted @ trial + penalty / 2 * ((trial - base) @ (trial - base))
-                if reached <= value + 1e-4 * part * (slope @ move) + 1e-12 * max(1.0, abs(value)) or part < 1e-6:
-                    break
-                part /= 2
-            step, (totals, gram, height) = trial, found
-            if part < 1e-6:
+    def rows(taken: list[list[float]]) -> DataFrame:
+        return rated.select(weight.alias("w"), "posterior", _moved(taken, floor).alias("rate"))
+
+    def totals(taken: list[list[float]]) -> np.ndarray:
+        row = rows(taken).agg(*(F.sum(F.col("w") * F.col("rate") * c) for c in p)).first()
+        return np.array([v or 0.0 for v in row]) / scale
+
+    def gram(downward: np.ndarray | None) -> np.ndarray:
+        """Of all rows, or of those that the plain step can move."""
+        counts = F.lit(1.0)
+        if downward is not None:
+            along = sum((c * F.lit(float(v)) for c, v in zip(p, downward)), F.lit(0.0))
+            counts = F.when((F.col("rate") > floor) | (along < 0), 1.0).otherwise(0.0)
+        row = rows(steps).agg(*(F.sum(counts * F.col("w") * p[i] * p[j]) for i, j in pairs)).first()
+        out = np.zeros((n, n))
+        for (i, j), v in zip(pairs, row):
+            out[i, j] = out[j, i] = (v or 0.0) / scale
+        return out
+
+    tiny = 1e-9 * np.eye(n)
+    every = gram(None)
+    metric = np.linalg.inv(every + tiny)
+    found, done = totals(steps), 0
+    while np.abs(found - wanted).max() >= tolerance and (iterations is None or done < iterations):
+        if len(steps) == REPLAYED:
+            rated, steps = kept(rated.withColumn("rate", _moved(steps, floor)), "mix-rates"), []
+        apart = found - wanted
+        plain, height = metric @ apart, apart @ metric @ apart
+        scaled, part = np.linalg.solve(gram(plain) + 1e-3 * every + tiny, apart), 1.0
+        while part > 0.05:
+            step = (part * scaled).tolist()
+            reached = totals([*steps, step])
+            if (reached - wanted) @ metric @ (reached - wanted) <= (1 - 0.01 * part) * height:
                 break
-        if last is not None and penalty < 1e-6 and np.abs(totals - last).max() < tolerance / 100:
+            part /= 2
+        else:
+            step = plain.tolist()
+            reached = totals([*steps, step])
+        steps, found, done = [*steps, step], reached, done + 1
+        if (found - wanted) @ metric @ (found - wanted) > 0.999 * height:
             break
-        last, penalty = totals, max(penalty / 10, 1e-9)
-    unmet = {i: round(float(totals[i] - wanted[i]), 6) for i in range(n) if abs(totals[i] - wanted[i]) >= tolerance}
-    if unmet:
-        why = "the search was cut off" if left <= 0 else "no rates meet them"
-        warnings.warn(f"targets stay unmet, {why}; share of all target tokens too many, by place of the domain: {unmet}", stacklevel=2)
-    return [step.tolist()]
+    unmet = {i: round(float(found[i] - wanted[i]), 6) for i in range(n) if abs(found[i] - wanted[i]) >= tolerance}
+    return Rates(rated.withColumn("rate", _moved(steps, floor)), unmet)
 
 
 def mix(
     docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text",
     domain_col: str = "domain", total_tokens: int | None = None, floor: float = 0.0, max_labelled: int = 4000,
-    iterations: int = 1000,
+    iterations: int | None = None, strict: bool = False,
 ) -> DataFrame:
     """One row per document: id, tokens, domain (likeliest), posterior, rate and copies.
 
@@ -186,16 +201,22 @@ def mix(
         F.sum("tokens").alias("all"),
         *(F.sum(F.col("tokens") * F.get("posterior", F.lit(i))).alias(f"d{i}") for i in range(len(domains))),
     ).first()
-    steps: list[list[float]] = []
+    fit = Rates(table.withColumn("rate", F.lit(max(1.0, float(floor)))), {})
     if current["all"]:
         total = total_tokens
         if total is None:
             total = max(floor * current[f"d{i}"] / share[i] for i in range(len(domains))) if floor else current["all"]
-        steps = fit_rates(table, (share * total).tolist(), floor, iterations)
+        fit = fit_rates(table, (share * total).tolist(), floor, iterations)
+        if fit.unmet:
+            off = {domains[i]: v for i, v in fit.unmet.items()}
+            said = f"targets stay unmet; share of all target tokens too many, by domain: {off}"
+            if strict:
+                raise ValueError(said)
+            warnings.warn(said, stacklevel=2)
     names = F.array(*map(F.lit, domains))
     likeliest = F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int"))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
-    return table.withColumn("rate", _rate(F.col("posterior"), steps, floor)).select(
+    return fit.table.select(
         F.col("doc_id").alias(id_col), "tokens", likeliest.alias("domain"), "posterior", "rate",
         (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"),
     )
