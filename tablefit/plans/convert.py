@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablefit.operators.summary import reconcile_counts
 from tablefit.plans.clean_table import clean_table
 from tablefit.sources.csv import read_text_csv, with_source_file
+from tablefit.sources.records import read_split_csv
 from tablefit.sources.tables import read_table, write_table
 from tablefit.specs import CleanSpec
 
@@ -24,6 +25,7 @@ def convert_csv(
     partitions: int | None = None,
     partition_by: Sequence[str] = (),
     multiline: bool = True,
+    split: bool = False,
 ) -> DataFrame:
     """Write the clean table and return rows per kept value, handed to the
     writer and read back, with their difference, and how many of them had more
@@ -31,9 +33,13 @@ def convert_csv(
 
     The rows handed over are counted by the write itself, so the CSV is parsed
     once.  Unless `partitions` fixes the number of files, rows are rebalanced
-    to files of even size, however uneven the CSV files are.
+    to files of even size, however uneven the CSV files are.  With `split` each
+    multi-line file is read by many tasks, and files may differ in their headers.
     """
-    raw = with_source_file(read_text_csv(spark, source, multiline, malformed=MALFORMED))
+    if split:
+        raw = read_split_csv(spark, source, malformed=MALFORMED, source_file="source_file")
+    else:
+        raw = with_source_file(read_text_csv(spark, source, multiline, malformed=MALFORMED))
     key, values = spec.keep_column, list(spec.keep_values)
     per_value = [F.count_if(F.col(key) == v).alias(f"n{i}") for i, v in enumerate(values)]
     odd = [
