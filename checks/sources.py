@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from checks.listings import RAW_COLUMNS, clean, derived_clean, raw, table, with_steps
 from checks.registry import query
 from tablefit import listing
-from tablefit.operators.summary import group_count
+from tablefit.operators.summary import group_count, reconcile_values
 from tablefit.plans.convert import convert_csv
 from tablefit.sources.csv import read_text_csv, with_source_file
 from tablefit.sources.records import read_split_csv
-from tablefit.sources.tables import cached, read_table, shared_path, write_table, written
+from tablefit.sources.tables import (
+    cached,
+    publish_table,
+    read_published,
+    read_table,
+    shared_path,
+    write_table,
+    written,
+)
 
 
 def _write_csv(df: DataFrame, name: str) -> str:
@@ -184,6 +192,39 @@ def csv_round_trip(spark, sf_dir):
     return read_table(spark, target).drop("source_file")
 
 
+@query(with_steps("clean", """
+SELECT room_type, COUNT(*) AS rows_before, COUNT(*) AS rows_after, 0::BIGINT AS difference,
+       0::BIGINT AS malformed, TRUE AS same_values
+FROM clean GROUP BY room_type
+"""))
+def verify_values(spark, sf_dir):
+    """The conversion with its values verified, not only its rows."""
+    source, target = _write_csv(raw(spark, sf_dir), "verify_values_source"), shared_path(spark, "verify_values")
+    return convert_csv(spark, source, target, listing.LISTING_CLEAN, digest=True)
+
+
+@query(with_steps("clean", """
+SELECT room_type, COUNT(*) AS rows_before, COUNT(*) AS rows_after, 0::BIGINT AS difference,
+       bool_and(COALESCE(CAST(listing_id AS BIGINT) % 5 != 0 OR price IS NULL, TRUE)) AS same_values
+FROM clean GROUP BY room_type
+"""))
+def altered_values(spark, sf_dir):
+    """Equal counts, but a price in five differs: every room type with such a row is reported."""
+    before = clean(spark, sf_dir)
+    fifth = F.col("listing_id").cast("bigint") % 5 == 0
+    after = before.withColumn("price", F.when(fifth, F.col("price") + 1).otherwise(F.col("price")))
+    return reconcile_values(before, after, "room_type")
+
+
+@query(with_steps("clean", "SELECT * FROM clean"))
+def published(spark, sf_dir):
+    """A table published twice: readers see the second version, whole."""
+    path, rows = shared_path(spark, "published"), clean(spark, sf_dir)
+    publish_table(rows.where("price > 100"), path)
+    publish_table(rows, path, rebalance=True)
+    return read_published(spark, path)
+
+
 @query(with_steps("clean", """
 SELECT cancellation_policy, COUNT(*) AS total FROM clean GROUP BY cancellation_policy
 """))

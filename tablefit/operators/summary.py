@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablefit.operators.filters import keep_not_null
@@ -142,6 +142,43 @@ def reconcile_counts(before: Mapping[str, int], after: DataFrame, key: str) -> D
     return _differences(sides.unionByName(found.withColumn("b", zero)), [key])
 
 
+def row_digest(names: Sequence[str]) -> Column:
+    """A 64-bit hash of the row's values as a decimal, nulls told from other values.
+
+    Sums of it do not depend on the order or the partitioning of rows, and
+    change where a value does: a digest of a multiset of rows.
+    """
+    # a hash skips nulls, so each column says first whether it is one
+    cells = [x for n in sorted(names) for x in (F.col(f"`{n}`").isNull(), F.col(f"`{n}`"))]
+    return F.xxhash64(*cells).cast("decimal(20,0)")
+
+
+def value_digest(df: DataFrame, key: str, names: Sequence[str] | None = None) -> DataFrame:
+    """Rows and digest of all values (or those of `names`) per key."""
+    digest = F.sum(row_digest(names or df.columns)).alias("digest")
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), digest)
+
+
+def reconcile_values(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """`reconcile` with a check of values: rows per key on both sides, their difference, and whether
+    the rows are the same, in whatever order."""
+    zero = F.lit(0)
+    sides = [value_digest(df, key, before.columns) for df in (before, after)]
+    signs = [(1, 0), (0, 1)]
+    both = [
+        side.select(
+            key, *[(F.col("rows") * s).alias(n) for n, s in zip(("b", "a"), sign)],
+            (F.col("digest") * (sign[0] - sign[1])).alias("apart"),
+        )
+        for side, sign in zip(sides, signs)
+    ]
+    return both[0].unionByName(both[1]).groupBy(key).agg(
+        F.sum("b").alias("rows_before"), F.sum("a").alias("rows_after"),
+        F.sum(F.col("a") - F.col("b")).alias("difference"),
+        ((F.sum("apart") == zero) & (F.sum(F.col("a") - F.col("b")) == zero)).alias("same_values"),
+    )
+
+
 def _differences(sides: DataFrame, names: Sequence[str]) -> DataFrame:
     return sides.groupBy(*names).agg(
         F.sum("b").alias("rows_before"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablefit.operators.summary import reconcile_counts
+from tablefit.operators.summary import reconcile_counts, row_digest, value_digest
 from tablefit.plans.clean_table import clean_table
 from tablefit.sources.csv import read_text_csv, with_source_file
 from tablefit.sources.records import read_split_csv
@@ -26,6 +26,7 @@ def convert_csv(
     partition_by: Sequence[str] = (),
     multiline: bool = True,
     split: bool = False,
+    digest: bool = False,
 ) -> DataFrame:
     """Write the clean table and return rows per kept value, handed to the
     writer and read back, with their difference, and how many of them had more
@@ -35,6 +36,10 @@ def convert_csv(
     once.  Unless `partitions` fixes the number of files, rows are rebalanced
     to files of even size, however uneven the CSV files are.  With `split` each
     multi-line file is read by many tasks, and files may differ in their headers.
+
+    With `digest` values are verified too: `same_values` says whether the rows
+    read back have the values that were handed over.  Columns of `partition_by`
+    are left out of it, as their type is inferred when read.
     """
     if split:
         raw = read_split_csv(spark, source, malformed=MALFORMED, source_file="source_file")
@@ -46,10 +51,20 @@ def convert_csv(
         F.count_if((F.col(key) == v) & F.col(MALFORMED)).alias(f"m{i}") for i, v in enumerate(values)
     ]
     clean = clean_table(raw, spec, carry=[MALFORMED])
+    names = [c for c in clean.columns if c != MALFORMED and c not in partition_by]
+    sums = [F.sum(F.when(F.col(key) == v, row_digest(names))).alias(f"d{i}") for i, v in enumerate(values)] if digest else []
     counts = write_table(
-        clean, target, partitions, partition_by, True, [*per_value, *odd], [MALFORMED]
+        clean, target, partitions, partition_by, True, [*per_value, *odd, *sums], [MALFORMED]
     )
     before = {v: counts[f"n{i}"] for i, v in enumerate(values)}
     found = reconcile_counts(before, read_table(spark, target), key)
     malformed = F.create_map(*(F.lit(x) for i, v in enumerate(values) for x in (v, counts[f"m{i}"])))
-    return found.withColumn("malformed", F.coalesce(malformed[F.col(key)], F.lit(0)).cast("bigint"))
+    found = found.withColumn("malformed", F.coalesce(malformed[F.col(key)], F.lit(0)).cast("bigint"))
+    if not digest:
+        return found
+    # a row per kept value on both sides
+    handed = spark.createDataFrame([(v, counts[f"d{i}"]) for i, v in enumerate(values)], f"{key} string, handed decimal(30,0)")
+    read = value_digest(read_table(spark, target), key, names).select(key, "digest")
+    return found.join(F.broadcast(handed), key, "left").join(read, key, "left").select(
+        *found.columns, F.col("handed").eqNullSafe(F.col("digest")).alias("same_values")
+    )

@@ -67,6 +67,58 @@ def write_table(
     return observation.get if observed else {}
 
 
+#: Names the folder of the published version of a table.
+POINTER = "_current"
+
+
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's path and the file system it is on."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def publish_table(df: DataFrame, path: str, keep: int = 1, **write) -> Mapping[str, object]:
+    """Write a new version of the table beside the old one, then make it the one that `read_published` reads.
+
+    A version is a folder of its own under `path`.  Only when it is whole does
+    the pointer file change, by one rename; a job that fails before leaves the
+    old rows in place.  `keep` older versions stay for readers that have begun;
+    those before them go.  Of two publishers at once the last one wins.  The
+    other arguments and the result are those of `write_table`.
+    """
+    spark, jvm = df.sparkSession, df.sparkSession._jvm
+    folder, files = _folder(spark, path)
+    version = f"version-{uuid.uuid4().hex}"
+    found = write_table(df, f"{path.rstrip('/')}/{version}", **write)
+    fresh = jvm.org.apache.hadoop.fs.Path(folder, f"{POINTER}-{uuid.uuid4().hex}")
+    stream = files.create(fresh, False)
+    stream.write(bytearray(version.encode()))
+    stream.close()
+    kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    overwrite = spark.sparkContext._gateway.new_array(kinds, 1)
+    overwrite[0] = kinds.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    pointer = jvm.org.apache.hadoop.fs.Path(folder, POINTER)
+    context.rename(files.makeQualified(fresh), files.makeQualified(pointer), overwrite)
+    versions = [s for s in files.listStatus(folder) if s.isDirectory() and s.getPath().getName() != version]
+    for old in sorted(versions, key=lambda s: -s.getModificationTime())[keep:]:
+        files.delete(old.getPath(), True)
+    return found
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The version of the table that was published last."""
+    folder, files = _folder(spark, path)
+    reader = spark._jvm.java.io.BufferedReader(
+        spark._jvm.java.io.InputStreamReader(files.open(spark._jvm.org.apache.hadoop.fs.Path(folder, POINTER)))
+    )
+    try:
+        version = reader.readLine()
+    finally:
+        reader.close()
+    return read_table(spark, f"{path.rstrip('/')}/{version}")
+
+
 def register(df: DataFrame, name: str) -> DataFrame:
     """Name the table for SQL."""
     df.createOrReplaceTempView(name)
@@ -101,8 +153,8 @@ def stored(df: DataFrame, name: str = "table") -> Iterator[DataFrame]:
     try:
         yield read_table(spark, path)
     finally:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        folder, files = _folder(spark, path)
+        files.delete(folder, True)
 
 
 @contextmanager
