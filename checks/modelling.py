@@ -15,7 +15,7 @@ from checks.features import SPEC, filtered
 from checks.listings import ABSENT, feature_rows, with_steps
 from checks.registry import query
 from checks.summaries import sql_place
-from tablefit.operators import evaluate, models, prep
+from tablefit.operators import evaluate, models, prep, trees
 from tablefit.operators.sampling import split
 from tablefit.plans.price_model import train_and_compare
 from tablefit.sources.tables import written
@@ -394,6 +394,121 @@ def tree_of_two_levels(spark, sf_dir):
     return _predicted(spark, sf_dir, models.tree("price", depth=2, min_rows=10))
 
 
+# Inputs of few values, so that all midpoints between values are cuts to choose from.
+CUT_INPUTS = ["accommodates", "guests_included", "minimum_nights", "availability_30"]
+DEPTH = 8
+
+
+def _grown_sql() -> str:
+    """A tree of DEPTH levels, grown a level at a time; nodes are numbered from 1, children of i are 2i and 2i + 1."""
+    levels = []
+    for level in range(DEPTH):
+        levels.append(f"""
+        sums_{level} AS (
+            SELECT node, feature, x, COUNT(*) AS n, SUM(y) AS s
+            FROM (UNPIVOT (SELECT node, y, {', '.join(CUT_INPUTS)} FROM rows_{level} WHERE train)
+                  ON {', '.join(CUT_INPUTS)} INTO NAME feature VALUE x)
+            WHERE node >= {2 ** level} GROUP BY node, feature, x
+        ),
+        sides_{level} AS (
+            SELECT s.node, s.feature, c.cut, SUM(n) FILTER (WHERE x <= cut) AS n_left, SUM(s) FILTER (WHERE x <= cut) AS s_left,
+                   SUM(n) AS n_all, SUM(s) AS s_all
+            FROM sums_{level} s JOIN cuts c ON s.feature = c.feature GROUP BY s.node, s.feature, c.cut
+        ),
+        best_{level} AS (
+            SELECT node, feature, cut FROM sides_{level} WHERE n_left >= 10 AND n_all - n_left >= 10
+            QUALIFY row_number() OVER (
+                PARTITION BY node
+                ORDER BY s_left * s_left / n_left + (s_all - s_left) * (s_all - s_left) / (n_all - n_left) DESC,
+                         list_position({CUT_INPUTS}, feature), cut
+            ) = 1
+        ),
+        rows_{level + 1} AS MATERIALIZED (
+            SELECT r.* REPLACE (CASE WHEN b.node IS NULL THEN r.node ELSE 2 * r.node + CAST(CASE b.feature
+                {' '.join(f"WHEN '{c}' THEN r.{c}" for c in CUT_INPUTS)} END > b.cut AS BIGINT) END AS node)
+            FROM rows_{level} r LEFT JOIN best_{level} b ON r.node = b.node
+        )""")
+    return f"""
+    WITH rows_0 AS MATERIALIZED (
+        SELECT listing_id, price AS y, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in CUT_INPUTS)},
+               CAST(1 AS BIGINT) AS node, {TRAIN} AS train
+        FROM filtered
+    ),
+    cuts AS MATERIALIZED (
+        SELECT feature, (x + next_x) / 2 AS cut FROM (
+            SELECT feature, x, lead(x) OVER (PARTITION BY feature ORDER BY x) AS next_x FROM (
+                SELECT DISTINCT feature, x
+                FROM (UNPIVOT (SELECT {', '.join(CUT_INPUTS)} FROM rows_0 WHERE train)
+                      ON {', '.join(CUT_INPUTS)} INTO NAME feature VALUE x)
+            )
+        ) WHERE next_x IS NOT NULL
+    ),
+    {','.join(levels)},
+    means AS (SELECT node, avg(y) AS mean FROM rows_{DEPTH} WHERE train GROUP BY node)
+    SELECT listing_id, y AS price, round(mean, 4) AS prediction
+    FROM rows_{DEPTH} r JOIN means ON r.node = means.node WHERE NOT train
+    """
+
+
+@query(with_steps("filtered", _grown_sql()))
+def tree_of_eight_levels(spark, sf_dir):
+    """The tree of its real depth and smallest leaf, on four inputs whose every cut is tried."""
+    rows = filtered(spark, sf_dir).select("listing_id", "price", *CUT_INPUTS)
+    train, test = split(prep.assemble(CUT_INPUTS).transform(written(rows, "inputs")), "listing_id")
+    predictions = models.tree("price").fit(train).transform(test)
+    return predictions.select("listing_id", "price", F.round("prediction", 4).alias("prediction"))
+
+
+def _routed(spark, sf_dir, estimator):
+    """Node table of a model fitted on the whole vector of all training rows, and both sides with their routes."""
+    rows = written(feature_rows(spark, sf_dir).select("listing_id", "price", *SPEC.cats, *SPEC.nums), "features")
+    train, test = split(rows, "listing_id")
+    preparation = prep.build(SPEC).fit(train)
+    vectors = preparation.transform(train).select("price", "features_raw")
+    fitted_on = written(vectors, "vectors").withMetadata("features_raw", vectors.schema["features_raw"].metadata)
+    model = estimator.fit(fitted_on)
+    nodes = trees.tree_nodes(spark, model)
+    routes = trees.route(nodes, F.col("x")).alias("routes")
+    said = model.transform(preparation.transform(test)).select(
+        "listing_id", "prediction", vector_to_array("features_raw").alias("x")
+    )
+    reached = fitted_on.select("price", vector_to_array("features_raw").alias("x")).select("price", routes)
+    return nodes, reached, said.select("listing_id", "prediction", routes)
+
+
+@query(with_steps("features", f"""
+SELECT COUNT(*) AS rows, TRUE AS counts, TRUE AS means, TRUE AS impurities, TRUE AS gains, TRUE AS deep
+FROM features WHERE {TRAIN}
+"""))
+def tree_nodes(spark, sf_dir):
+    """The tree of the whole vector: what its nodes say is what the rows routed to them give."""
+    nodes, reached, _ = _routed(spark, sf_dir, models.tree("price"))
+    both = trees.with_facts(nodes, trees.node_facts(reached, "routes", "price"))
+
+    def equal(a: str, b: str) -> Column:
+        return F.bool_and(F.abs(F.col(a) - F.col(b)) <= 1e-6 * F.greatest(F.lit(1.0), F.abs(b)))
+
+    deepest = reached.select(F.max(F.size(F.col("routes")[0]["path"]))).first()[0]
+    return both.agg(
+        F.max("found_rows").alias("rows"),
+        F.bool_and(F.col("rows") == F.col("found_rows")).alias("counts"),
+        equal("prediction", "found_mean").alias("means"),
+        equal("impurity", "found_impurity").alias("impurities"),
+        equal("gain", "found_gain").alias("gains"),
+        F.lit(deepest == DEPTH + 1).alias("deep"),
+    )
+
+
+@query(with_steps("features", f"SELECT listing_id, CAST(40 AS INTEGER) AS trees, TRUE AS same FROM features WHERE NOT ({TRAIN})"))
+def forest_routes(spark, sf_dir):
+    """The forest of 40 bagged trees says of each test row the mean of the leaves that the row is routed to."""
+    _, _, said = _routed(spark, sf_dir, models.forest("price"))
+    return said.select(
+        "listing_id", F.size("routes").alias("trees"),
+        (F.abs(trees.average("routes") - F.col("prediction")) <= 1e-9 * F.abs("prediction")).alias("same"),
+    )
+
+
 def _priced(spark, sf_dir):
     """A made prediction, so that the errors have a closed form."""
     rows = filtered(spark, sf_dir)
