@@ -2,7 +2,7 @@
 
 Each pass hashes a vector by the signs of random projections, concatenated to
 one number, orders all vectors of a label by it, and compares each with its
-neighbours in that order; what is verified by cosine is united across passes.
+neighbours in that order, also across the ranges that tasks hold; what is verified by cosine is united across passes.
 Passes only have to connect what belongs together: at the end the members of
 each component are compared with each other, block against block, so the link
 counts of a component are exact however many its members are.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,35 +83,105 @@ def _by_width(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[t
             yield part, np.concatenate(([0], np.flatnonzero(np.diff(width)) + 1, [len(width)])).astype(np.int64)
 
 
-def neighbour_links(least: float, window: int):
-    """Links of each row to the `window` rows before it in its (pass, label, width)."""
+LINKS = "a long, b long, part int, at long, pass int, label long, width int, vec array<double>"
+EDGE = ("part", "at", "pass", "label", "width", "vec")
+
+
+def neighbour_links(least: float, window: int, keys: tuple[str, ...] = ("pass", "label", "width")):
+    """Links (a, b) of each row to at least the `window` rows before it of its keys.
+
+    A task does not see the rows before its first.  So it also gives its first
+    and last `window` rows (a: rep, b: null) with their places `at` in the task
+    `part`, and a row without a vector whose place is the number of its rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links, key = Links(), None
         held = reps = None
+        part, at, last = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy().astype("i8") for c in ("pass", "label", "width")])
-            edges = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [batch.num_rows]))
+            if not batch.num_rows:
+                continue
+            if at < window:
+                yield _edge_rows(batch.slice(0, window - at), part, at)
+            if at + batch.num_rows > window:
+                later = pa.Table.from_batches([batch.slice(max(0, window - at))])
+                last = later if last is None else pa.concat_tables([last, later])
+                last = last.slice(max(0, last.num_rows - window)).combine_chunks()
+            at += batch.num_rows
+            values = np.stack([batch.column(c).to_numpy().astype("i8") for c in keys])
+            edges = np.concatenate(([0], np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1, [batch.num_rows]))
             for s, e in zip(edges[:-1], edges[1:]):
-                if s == e:
-                    continue
-                if key != tuple(keys[:, s]):
-                    key, held = tuple(keys[:, s]), None
+                if key != tuple(values[:, s]):
+                    key, held = tuple(values[:, s]), None
                 units, ids = _matrix(batch.column("vec").slice(s, e - s)), batch.column("rep").to_numpy()[s:e]
                 before = 0 if held is None else len(held)
                 if before:
                     units, ids = np.concatenate((held, units)), np.concatenate((reps, ids))
-                for at in range(before, len(ids), 256):
-                    low = max(0, at - window)
-                    i, j = np.nonzero(units[at:at + 256] @ units[low:at + 256].T >= least)
-                    i, j = i + at, j + low
+                for row in range(before, len(ids), 256):
+                    low = max(0, row - window)
+                    i, j = np.nonzero(units[row:row + 256] @ units[low:row + 256].T >= least)
+                    i, j = i + row, j + low
                     before_it = j < i
                     links.add(ids[i[before_it]], ids[j[before_it]])
                 held, reps = units[-window:], ids[-window:]
-        yield from links.batches()
+        for found in links.batches():
+            empty = [pa.nulls(found.num_rows, t) for t in _EDGE_TYPES]
+            yield pa.RecordBatch.from_arrays([found.column("a"), found.column("b"), *empty], ["a", "b", *EDGE])
+        if last is not None:
+            for rows in last.to_batches():
+                yield _edge_rows(rows, part, at - last.num_rows)
+        if at:
+            size = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([at], pa.int64())]
+            yield pa.RecordBatch.from_arrays(size + [pa.nulls(1, t) for t in _EDGE_TYPES[2:]], ["a", "b", *EDGE])
     return run
 
 
+_EDGE_TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.float64()))
+
+
+def _edge_rows(rows: pa.RecordBatch, part: int, at: int) -> pa.RecordBatch:
+    n = rows.num_rows
+    places = [pa.array(np.full(n, part, "i4")), pa.array(np.arange(at, at + n))]
+    own = [rows.column(c) for c in ("pass", "label", "width", "vec")]
+    return pa.RecordBatch.from_arrays([rows.column("rep"), pa.nulls(n, pa.int64()), *places, *own], ["a", "b", *EDGE])
+
+
+def window_links(ordered: DataFrame, least: float, window: int) -> DataFrame:
+    """Links (a, b) of each row of sorted ranges to at least the `window` rows before it, whichever task they are in.
+
+    Only the number of rows of each task comes to the driver.  The first rows of
+    each task meet the last ones of the tasks before it, so at most
+    2 * `window` rows a task move once more.
+    """
+    found = kept(ordered.mapInArrow(neighbour_links(least, window), LINKS), "neighbour-links")
+    inside = found.where("part is null").select("a", "b")
+    sizes = sorted((r.part, r.at) for r in found.where("part is not null and vec is null").select("part", "at").collect())
+    if len(sizes) < 2:
+        return inside
+    starts = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    targets = []
+    for i, (part, _) in enumerate(sizes):
+        after = i + 1
+        # tasks of few rows let a window reach beyond the next task
+        while after < len(sizes) and starts[after] - starts[i + 1] < window:
+            after += 1
+        targets += [(part, starts[i], j, starts[j]) for j in range(i, after)]
+    met = found.sparkSession.createDataFrame(targets, "part int, start long, target int, first long")
+    place = F.col("start") + F.col("at")
+    rows = found.where("vec is not null").join(F.broadcast(met), "part").withColumn("place", place).where(
+        F.col("place").between(F.col("first") - window, F.col("first") + window - 1)
+    )
+    # of a later task's own rows, only itself gives the first ones
+    rows = rows.where((F.col("place") < F.col("first")) | (F.col("start") == F.col("first"))).select(
+        "target", "place", "pass", "label", "width", F.col("a").alias("rep"), "vec"
+    )
+    across = rows.repartition("target").sortWithinPartitions("target", "place").mapInArrow(
+        neighbour_links(least, window, ("target", "pass", "label", "width")), LINKS
+    )
+    return inside.union(across.where("part is null").select("a", "b"))
+
+
 def counted_links(least: float):
     """Per row of a block pair (root, low, high): the weight it links to in the other block (its own, if one)."""
 
@@ -164,9 +235,7 @@ def embedding_groups(
     schema = "pass int, label long, width int, code long, rep long, vec array<double>"
     order = ("pass", "label", "width", "code", "rep")
     found = classes.select("label", "width", "rep", "vec").mapInArrow(hashed(passes, seed), schema)
-    links = found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
-        neighbour_links(least, window), "a long, b long"
-    )
+    links = window_links(found.repartitionByRange(*order).sortWithinPartitions(*order), least, window)
     reached = kept(components(links), "vector-components").withColumnRenamed("node", "rep")
     sizes = reached.groupBy("root").agg(F.count("*").alias("size"))
     members = classes.join(reached, "rep").join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK))

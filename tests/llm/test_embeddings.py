@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tablefit.llm import embeddings
-from tablefit.llm.embeddings import embedding_groups
+from tablefit.llm.embeddings import embedding_groups, window_links
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SCHEMA = "vec_id long, embedding array<double>, label int, rep string, n string, root string"
@@ -66,6 +66,38 @@ def test_crowded_clusters(spark, monkeypatch, block):
     assert np.mean([g == e for g, e in zip(got, expected)]) > 0.95
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40, 150])
+def test_windows_cross_tasks(spark, parts):
+    """However few rows a task holds, each row meets at least the 20 before it, and what does not link stays apart."""
+    rng = np.random.default_rng(8)
+    n, window = 300, 20
+    centres = rng.standard_normal((30, 8))
+    rows = [(0, int(i >= 200), 8, i, i, (centres[rng.integers(30)] + 0.02 * rng.standard_normal(8)).tolist()) for i in range(n)]
+    units = np.array([r[-1] for r in rows])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    near = [(i, j) for i in range(n) for j in range(i) if rows[i][1] == rows[j][1] and units[i] @ units[j] >= 0.98]
+
+    def grouped(links):
+        roots = list(range(n))
+
+        def root(i):
+            while roots[i] != i:
+                i = roots[i]
+            return i
+
+        for i, j in links:
+            roots[max(root(i), root(j))] = min(root(i), root(j))
+        return [root(i) for i in range(n)]
+
+    table = spark.createDataFrame(rows, "pass int, label long, width int, code long, rep long, vec array<double>")
+    ordered = table.repartitionByRange(parts, "rep").sortWithinPartitions("rep")
+    found = grouped((r.a, r.b) for r in window_links(ordered, 0.98, window).collect())
+    everything = grouped(near)
+    assert all(found[i] == found[j] for i, j in near if i - j <= window)
+    assert all(everything[i] == everything[found[i]] for i in range(n))
+    assert window_links(ordered.limit(0), 0.98, window).count() == 0
+
+
 def test_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None, 0), (2, [], 0), (3, [0.0, 0.0], 0), (4, [1.0, None], 0), (5, [1.0, nan], 0), (6, [inf, 1.0], 0),
