@@ -3,9 +3,15 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so
 its size follows the document, sketches merge by union, and the share of one
 sketch found in another estimates containment however unequal the documents
-are.  Where no hash is below the threshold the least hash alone is kept, so
-that only a text without words has an empty sketch; merging still holds (the
-least of both, unless either has hashes below the threshold).
+are.  A text of at most SHORT distinct shingles keeps all of them, and the mark
+WHOLE after them; two such texts are compared exactly, and with a longer one by
+what is below the threshold.  Where no hash of a longer text is below the
+threshold (one text in 5000 of 65 shingles, rarer with every further one) the
+least hash alone is kept, so that only a text without words has an empty sketch.
+
+Between a short and a longer text there may be no hash to compare; then the
+containment of the short one is unknown (null), and the resemblance, at most the
+ratio of their numbers of shingles, is given as 0.
 
 Defined cases: null text counts as empty.  Two empty sketches are alike (1), an
 empty and another are not (0).  Rows that repeat an id follow each other in the
@@ -31,6 +37,9 @@ from tablefit.llm.columns import texts
 FIRST = -(1 << 63)
 ROWS_PER_PART = 20_000
 MOST_PARTS = 10_000
+#: Up to so many distinct shingles a text keeps them all.
+SHORT = 64
+WHOLE = U64((1 << 64) - 1)
 
 
 def threshold(fraction: float) -> np.uint64:
@@ -38,20 +47,43 @@ def threshold(fraction: float) -> np.uint64:
 
 
 def sketches(texts: Sequence[str], k: int, below: np.uint64) -> list[np.ndarray]:
-    """Per text its sorted distinct shingle hashes below the threshold, or the least one."""
+    """Per text its sketch: sorted distinct hashes, the last one WHOLE if none was left out."""
     words = Words([t.encode("utf-8", "surrogatepass") for t in texts])
     hashes, of = words.shingles(k)
+    hashes = np.minimum(hashes, WHOLE - U64(1))
     edges = np.searchsorted(of, np.arange(len(texts) + 1))
     out = []
     for s, e in zip(edges[:-1], edges[1:]):
         own = hashes[s:e]
         low = np.unique(own[own < below])
-        out.append(low if len(low) or s == e else own.min(keepdims=True))
+        if len(low) <= SHORT:
+            # few enough to be worth counting all
+            own = np.unique(own)
+            low = _fitting(own, below)
+        out.append(low)
     return out
 
 
+def _fitting(hashes: np.ndarray, below: np.uint64) -> np.ndarray:
+    """The sketch of these sorted distinct hashes."""
+    if not len(hashes):
+        return hashes
+    if len(hashes) <= SHORT:
+        return np.append(hashes, WHOLE)
+    low = hashes[hashes < below]
+    return low if len(low) else hashes[:1]
+
+
+def is_whole(sketch: np.ndarray) -> bool:
+    return bool(len(sketch)) and sketch[-1] == WHOLE
+
+
 def merge(a: np.ndarray, b: np.ndarray, below: np.uint64) -> np.ndarray:
     """The sketch of both texts' shingles together."""
+    if not len(a) or not len(b):
+        return a if len(a) else b
+    if is_whole(a) and is_whole(b):
+        return _fitting(np.union1d(a[:-1], b[:-1]), below)
     both = np.union1d(a, b)
     low = both[both < below]
     return low if len(low) else both[:1]
@@ -66,16 +98,34 @@ def decode(fingerprint: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(fingerprint), ">u8").astype(U64)
 
 
-def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+def comparable(a: np.ndarray, b: np.ndarray, below: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of both that the other would have kept as well."""
+    if is_whole(a) and is_whole(b):
+        return a[:-1], b[:-1]
+    # nothing is left out of an empty sketch
+    if is_whole(a):
+        a = a[a < below] if len(b) else a[:-1]
+    elif is_whole(b):
+        b = b[b < below] if len(a) else b[:-1]
+    return a, b
+
+
+def resemblance(a: np.ndarray, b: np.ndarray, below: np.uint64 = threshold(1 / 8)) -> float:
     """Estimated share of all shingles that both have."""
+    if not len(a) and not len(b):
+        return 1.0
+    a, b = comparable(a, b, below)
     shared = len(np.intersect1d(a, b, assume_unique=True))
     union = len(a) + len(b) - shared
-    return shared / union if union else 1.0
+    return shared / union if union else 0.0
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+def containment(a: np.ndarray, b: np.ndarray, below: np.uint64 = threshold(1 / 8)) -> float | None:
+    """Estimated share of a's shingles that b has; None where no hash tells."""
+    if not len(a):
+        return 1.0
+    a, b = comparable(a, b, below)
+    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else None
 
 
 def sketched(k: int = 5, fraction: float = 1 / 8):
@@ -142,10 +192,10 @@ def compare_with_next(k: int, fraction: float):
                     pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]),
                     pa.array([encode(s) for s in mine]),
                     pa.array([encode(s) for s in theirs]),
-                    pa.array([resemblance(a, b) for a, b in zip(mine, theirs)], pa.float64()),
-                    pa.array([resemblance(a, b) for a, b in zip(mine, after)], pa.float64()),
-                    pa.array([containment(a, b) for a, b in zip(mine, theirs)], pa.float64()),
-                    pa.array([containment(a, b) for a, b in zip(mine, after)], pa.float64()),
+                    pa.array([resemblance(a, b, below) for a, b in zip(mine, theirs)], pa.float64()),
+                    pa.array([resemblance(a, b, below) for a, b in zip(mine, after)], pa.float64()),
+                    pa.array([containment(a, b, below) for a, b in zip(mine, theirs)], pa.float64()),
+                    pa.array([containment(a, b, below) for a, b in zip(mine, after)], pa.float64()),
                 ],
                 [f.split()[0] for f in EDIT_SCHEMA.split(", ")],
             )

@@ -71,3 +71,59 @@ def test_sketches_merge():
     # hashes do not depend on what stands beside a text
     for texts in (["x", a], [a, b], ["", "", a, "z z"]):
         assert np.array_equal(fp.sketches(texts, 5, below)[texts.index(a)], sketch_a)
+
+
+def plain_resemblance(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_short_texts(make_docs):
+    """Texts of 1 to 30 words are compared exactly, with each other and with what holds them."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rng.choice(words[: 4 + i % 30], 1 + i % 30))) for i in range(120)]
+    docs += [(200 + i, docs[i][1] + " and " + docs[i + 1][1]) for i in range(0, 60)]
+    rows = {r.doc_id: r for r in fp.fingerprint_edits(make_docs(docs), rows_per_part=50).collect()}
+    order = sorted(docs)
+    for (i, text), (_, following) in zip(order, order[1:] + order[:1]):
+        half = len(text) // 2
+        changed = text[: len(text) - half] + following[:half]
+        r = rows[i]
+        assert np.isclose(r.near_edited, plain_resemblance(text, changed))
+        assert np.isclose(r.near_next, plain_resemblance(text, following))
+        a, b = shingle_set(text), shingle_set(following)
+        assert np.isclose(r.next_holds, len(a & b) / len(a))
+
+
+def test_short_in_long():
+    rng = np.random.default_rng(5)
+    below = fp.threshold(1 / 8)
+    told = []
+    for size in range(5, 31):
+        for _ in range(12):
+            words = [f"w{i}" for i in rng.integers(0, 10**6, 1000)]
+            at = int(rng.integers(0, 900))
+            short, long, other = fp.sketches([" ".join(words[at:at + size]), " ".join(words), " ".join(words[::-1])], 5, below)
+            assert fp.is_whole(short) and not fp.is_whole(long)
+            # wholly held wherever a hash tells it, never taken as apart
+            assert fp.containment(short, long, below) in (1.0, None) and fp.containment(short, other, below) in (0.0, None)
+            told.append(fp.containment(short, long, below) is not None)
+            assert 0 <= fp.resemblance(long, short, below) <= 0.2
+    assert np.mean(told) > 0.6
+
+
+def test_merging_gives_the_sketch_of_both():
+    rng = np.random.default_rng(6)
+    below = fp.threshold(1 / 8)
+    for sizes in ((3, 10), (40, 50), (30, 400), (0, 20), (600, 500), (1, 1)):
+        texts = [" ".join(f"w{i}" for i in rng.integers(0, 10**6, n)) for n in sizes]
+        a, b = fp.sketches(texts, 5, below)
+        sets = [shingle_set(t) for t in texts]
+        both = np.unique(np.concatenate([fp.sketches([s], 5, below)[0][:1] if s else np.empty(0, np.uint64)
+                                         for s in sets[0] | sets[1]]))
+        whole = len(sets[0] | sets[1]) <= fp.SHORT
+        expected = np.append(both, fp.WHOLE) if whole else both[both < below]
+        assert np.array_equal(fp.merge(a, b, below), expected) and np.array_equal(fp.merge(b, a, below), expected)
+    repeated = fp.sketches(["x y " * 9000], 5, below)[0]
+    assert fp.is_whole(repeated) and len(repeated) == 3
