@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablefit.operators.quantiles import exact_quantiles
-from tablefit.sources.tables import written
+from tablefit.sources.tables import scratch, written
 from tablefit.specs import FeatureSpec
 
 REL_ERROR = 0.001
@@ -45,6 +45,11 @@ class LevelIndexer(Estimator):
         self.cats, self.suffix, self.max_levels = list(cats), suffix, max_levels
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
+        # the counts go at the end; tables of wide columns belong to the model
+        with scratch(dataset.sparkSession, "levels"):
+            return self._counted(dataset)
+
+    def _counted(self, dataset: DataFrame) -> PipelineModel:
         counts = written(
             dataset.select(*[F.col(c).cast("string").alias(c) for c in self.cats])
             .unpivot([], self.cats, "column", "level")
@@ -80,7 +85,7 @@ class LevelIndexer(Estimator):
 def numbered(counts: DataFrame, column: str) -> DataFrame:
     """(level, place) of one column of (column, level, n): places from 0 by falling n, then by level.
 
-    Ranges of the order are numbered apart; only the number of levels of each
+    The table is a result of the scope it is numbered in.  Ranges of the order are numbered apart; only the number of levels of each
     range comes to the driver.
     """
     spark = counts.sparkSession
@@ -92,7 +97,7 @@ def numbered(counts: DataFrame, column: str) -> DataFrame:
     )
     # the id holds the task in its upper bits and the row's place in the task in the lower 33
     row = F.monotonically_increasing_id()
-    placed = written(ordered.select("level", row.alias("row")), "level-places").select(
+    placed = written(ordered.select("level", row.alias("row")), "level-places", result=True).select(
         "level", F.shiftright("row", 33).alias("part"), F.col("row").bitwiseAND(F.lit((1 << 33) - 1)).alias("within")
     )
     starts, start = [], 0

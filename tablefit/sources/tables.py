@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -125,21 +126,47 @@ def register(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in a folder that all executors see: spark.checkpoint.dir, or
-    where it is unset a folder of the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+#: Folders of the scopes around the running code, the innermost last.
+_SCOPES: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
+
+
+def shared_path(spark: SparkSession, name: str, result: bool = False) -> str:
+    """A new path in a folder that all executors see: that of the scope (see
+    `scratch`; for a `result` of the scope the folder around it), or without one
+    spark.checkpoint.dir, or where it is unset a folder of the warehouse."""
+    scopes = _SCOPES.get()
+    scopes = scopes[:-1] if result else scopes
+    base = scopes[-1] if scopes else spark.conf.get("spark.checkpoint.dir", None)
     base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/kept"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession, name: str = "scratch") -> Iterator[str]:
+    """A scope that owns all tables kept while its `with` block runs, and deletes them at its end.
+
+    Scopes nest.  What must outlive the block is written with `result=True`, or
+    read before the end; a DataFrame that still reads a deleted table fails.  A
+    scope is that of its thread: tables of threads started inside are not its own.
+    """
+    path = shared_path(spark, name)
+    token = _SCOPES.set((*_SCOPES.get(), path))
+    try:
+        yield path
+    finally:
+        _SCOPES.reset(token)
+        folder, files = _folder(spark, path)
+        files.delete(folder, True)
+
+
+def written(df: DataFrame, name: str = "table", result: bool = False) -> DataFrame:
     """Write the table to the shared folder and read it back.
 
     The result no longer depends on its inputs, nor on any executor.  It stays
-    until the folder is emptied; see `stored`.
+    until its scope ends (see `scratch`; a `result` stays beyond it), or without
+    one until the folder is emptied; see `stored`.
     """
-    path = shared_path(df.sparkSession, name)
+    path = shared_path(df.sparkSession, name, result)
     write_table(df, path)
     return read_table(df.sparkSession, path)
 
