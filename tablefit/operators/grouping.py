@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablefit.sources.tables import written
+from tablefit.sources.tables import scratch, written
 
 BROADCAST_BYTES = 8 << 20
 
@@ -41,6 +41,11 @@ class TopNGrouper:
         width is cut before its levels meet.  The levels are written: what
         happens to `df` later changes nothing.
         """
+        # the counts go at the end; the chosen levels belong to the model
+        with scratch(df.sparkSession, "levels"):
+            return self._counted(df)
+
+    def _counted(self, df: DataFrame) -> TopNModel:
         names = list(dict.fromkeys(g.column for g in self.groups))
         counts = (
             df.select(*[F.col(n).cast("string").alias(n) for n in names])
@@ -52,7 +57,7 @@ class TopNGrouper:
             counts = counts.filter(F.col("level").isNotNull())
         counts = written(counts, "level-counts")
         chosen = [self._most_frequent(counts, g) for g in self.groups]
-        levels = written(reduce(DataFrame.unionAll, chosen), "levels")
+        levels = written(reduce(DataFrame.unionAll, chosen), "levels", result=True)
         sizes = dict(levels.groupBy("output").agg(F.sum(F.octet_length("level"))).collect())
         tables = {
             g.output: (levels.filter(F.col("output") == g.output).select("level"), sizes.get(g.output, 0))
