@@ -152,12 +152,19 @@ class Pieces:
 
     def marginal(self, words: list[bytes]) -> np.ndarray:
         """Natural log of each (not empty) word's probability, summed over its segmentations."""
-        out = np.empty(len(words))
+        return self.marginals(words)[0]
+
+    def marginals(self, words: list[bytes], *others: Pieces) -> np.ndarray:
+        """`marginal` by these probabilities and by others of the same pieces (see `weighted`), a row for each."""
+        ways = (self, *others)
+        out = np.empty((len(ways), len(words)))
         for some, data, sizes in self._grouped(words):
-            if data is None:
-                out[some[0]] = self._long_forward(words[some[0]])[len(words[some[0]])]
-            else:
-                out[some] = self._forward(self._arcs(data), data.shape[1], len(some))[sizes, np.arange(len(some))]
+            arcs = None if data is None else self._arcs(data)
+            for way, row in zip(ways, out):
+                if data is None:
+                    row[some[0]] = way._long_forward(words[some[0]])[len(words[some[0]])]
+                else:
+                    row[some] = way._forward(arcs, data.shape[1], len(some))[sizes, np.arange(len(some))]
         return out
 
     def _stretches(self, word: bytes, backwards: bool = False, size: int = 1 << 14):

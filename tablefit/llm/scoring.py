@@ -9,6 +9,10 @@ leave to seen words.  With L the lattice of pieces, C training words and e the
 chance of an end, P(word) = (1 - e) * (share * c / C + (1 - share) * L(word)),
 which sums to 1 - e over all words.  A text is its words and one end.
 
+Two more scores are by segmentations alone, without arcs of words:
+`lattice_score` with L, and `vocabulary_score` with the vocabulary's own
+scores, of which nothing but e is learnt.
+
 Every distinct training word is counted.  The most frequent ones, at most
 HEAD, go to all tasks; the counts of all others are joined to the documents
 that hold them, so nothing that grows with the corpus is broadcast.
@@ -96,17 +100,18 @@ def hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hashes.view("i8")), batch.column("n")], ["hash", "n"])
 
 
-def weigh_words(pieces: Pieces):
-    """(hash, n, lattice) of words."""
+def weigh_words(pieces: Pieces, own: Pieces):
+    """(hash, n, lattice, vocabulary) of words, whose lattices are weighed in both ways."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches):
             words = table.column("word").to_pylist()
             if words:
+                lattice, vocabulary = pieces.marginals(words, own)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(Words(words, lower=False).hashes.view("i8")), table.column("n").combine_chunks(),
-                    pa.array(pieces.marginal(words)),
-                ], ["hash", "n", "lattice"])
+                    pa.array(lattice), pa.array(vocabulary),
+                ], ["hash", "n", "lattice", "vocabulary"])
     return run
 
 
@@ -143,11 +148,12 @@ class Model:
     """What a task needs to score: pieces, shares, and the counts of the most frequent words."""
 
     def __init__(
-        self, pieces: Pieces, n_words: int, n_ends: int, distinct: int, once: int,
-        head: np.ndarray, counts: np.ndarray, lattice: np.ndarray,
+        self, pieces: Pieces, own: Pieces, n_words: int, n_ends: int, distinct: int, once: int,
+        head: np.ndarray, counts: np.ndarray, lattice: np.ndarray, vocabulary: np.ndarray,
     ):
         order = np.argsort(head)
-        self.pieces, self.head, self.counts, self.lattice = pieces, head[order], counts[order], lattice[order]
+        self.pieces, self.own, self.head, self.counts = pieces, own, head[order], counts[order]
+        self.lattice, self.vocabulary = lattice[order], vocabulary[order]
         self.n_words, self.n_ends = n_words, n_ends
         self.tokens, self.distinct = n_words + n_ends, distinct + (n_ends > 0)
         self.share = min(0.999, max(0.0, 1 - once / n_words)) if n_words else 0.0
@@ -155,13 +161,13 @@ class Model:
         # of the base model: tokens and distinct tokens of the training rows, ends included
         self.base_unit = -math.log10(self.tokens + self.distinct + 1)
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts (-1: not there) and lattices of words in the head."""
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts (-1: not there) and lattices, weighed in both ways, of words in the head."""
         if not len(self.head):
-            return np.full(len(hashes), -1, np.int64), np.zeros(len(hashes))
+            return np.full(len(hashes), -1, np.int64), np.zeros(len(hashes)), np.zeros(len(hashes))
         at = np.minimum(np.searchsorted(self.head, hashes), len(self.head) - 1)
         own = self.head[at] == hashes
-        return np.where(own, self.counts[at], -1), np.where(own, self.lattice[at], 0.0)
+        return np.where(own, self.counts[at], -1), *(np.where(own, x[at], 0.0) for x in (self.lattice, self.vocabulary))
 
     def log10(self, counts: np.ndarray, lattice: np.ndarray) -> np.ndarray:
         """log10 of each word's probability from its count and the natural log of its lattice."""
@@ -172,23 +178,26 @@ class Model:
 
 
 ROW_SCHEMA = (
-    "row long, hash long, times long, lattice double, doc_id long, held_out boolean, n_tokens long, "
+    "row long, hash long, times long, lattice double, vocabulary double, doc_id long, held_out boolean, n_tokens long, "
     "n_known long, base double, score double"
 )
 
 
 def score_rows(model: Model):
-    """Per document a row with the sums over words in the head, and a row for each other word of it."""
+    """Per document a row with the sums over words in the head, and a row for each other word of it.
+
+    The lattices of a document's own row are sums; those of the other rows are to be taken `times`.
+    """
     names = [f.split()[0] for f in ROW_SCHEMA.split(", ")]
 
     def others(held: list[tuple], spelled: list[bytes]) -> Iterator[pa.RecordBatch]:
         """Rows of the words that were put off, whose lattices are done together."""
-        lattice, at = model.pieces.marginal(spelled), 0
+        (lattice, vocabulary), at = model.pieces.marginals(spelled, model.own), 0
         for rows, kinds, of, kind, times in held:
             m = len(of)
             yield pa.RecordBatch.from_arrays([
                 pa.array(rows[of]), pa.array(kinds[kind].view("i8")), pa.array(times.astype("i8")),
-                pa.array(lattice[at + kind]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()),
+                pa.array(lattice[at + kind]), pa.array(vocabulary[at + kind]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()),
                 pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()),
             ], names)
             at += len(kinds)
@@ -201,18 +210,18 @@ def score_rows(model: Model):
                 n = part.num_rows
                 words = Words([t.encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()])
                 kinds, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
-                counts, lattice = model.find(kinds)
+                counts, lattice, vocabulary = model.find(kinds)
                 in_head = counts >= 0
                 base = np.where(in_head, np.log10(np.maximum(counts, 0) + 1), 0.0)
                 score = np.where(in_head, model.log10(np.maximum(counts, 0), lattice), 0.0)
-                sums = [np.bincount(words.of, x[back], n) for x in (in_head, base, score)]
+                sums = [np.bincount(words.of, x[back], n) for x in (in_head, base, score, lattice, vocabulary)]
                 n_words = np.bincount(words.of, minlength=n)
                 known_end = model.n_ends > 0
                 rows = number + np.arange(n)
                 number += n
-                none = pa.nulls(n, pa.float64())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(rows), pa.array(rows), pa.nulls(n, pa.int64()), none, part.column("doc_id"), part.column("held_out"),
+                    pa.array(rows), pa.array(rows), pa.nulls(n, pa.int64()), *(pa.array(x.astype(float)) for x in sums[3:]),
+                    part.column("doc_id"), part.column("held_out"),
                     pa.array(n_words + 1), pa.array(sums[0].astype("i8") + known_end),
                     pa.array(sums[1] + math.log10(model.n_ends + 1) + (n_words + 1) * model.base_unit),
                     pa.array(sums[2] + math.log10(model.end)),
@@ -251,12 +260,15 @@ def learn(own: DataFrame, vocabulary: str, rounds: int = ROUNDS, head: int = HEA
             break
         least = row.level
     often = level >= least if least is not None else F.lit(False)
-    pieces = refit(load_pieces(vocabulary), counted, rounds if total else 0)
+    existing = load_pieces(vocabulary)
+    pieces = refit(existing, counted, rounds if total else 0)
     # at most `head` words
-    frequent = counted.where(often).mapInArrow(weigh_words(pieces), "hash long, n long, lattice double").toArrow()
+    frequent = counted.where(often).mapInArrow(
+        weigh_words(pieces, existing), "hash long, n long, lattice double, vocabulary double"
+    ).toArrow()
     model = Model(
-        pieces, total or 0, n_ends, distinct, once or 0, frequent.column("hash").to_numpy().view("u8"),
-        frequent.column("n").to_numpy(), frequent.column("lattice").to_numpy(),
+        pieces, existing, total or 0, n_ends, distinct, once or 0, frequent.column("hash").to_numpy().view("u8"),
+        *(frequent.column(name).to_numpy() for name in ("n", "lattice", "vocabulary")),
     )
     return model, kept(counted.where(~often).mapInArrow(hash_words, "hash long, n long"), "word-hashes")
 
@@ -264,7 +276,8 @@ def learn(own: DataFrame, vocabulary: str, rounds: int = ROUNDS, head: int = HEA
 def score_documents(
     docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, head: int = HEAD
 ) -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    and the scores by segmentations alone, lattice_score and vocabulary_score.
 
     `vocabulary` is the path of a sentencepiece model that the driver has.
     Learnt from are ids whose crc32 modulo 7 is not 2.
@@ -279,6 +292,12 @@ def score_documents(
     piece = F.lit(1 - model.share) * F.exp("lattice")
     # the exponent of a long word's lattice vanishes where its log does not
     log_p = F.when(n > 0, F.log(seen + piece)).otherwise(math.log1p(-model.share) + F.col("lattice")) + math.log1p(-model.end)
+
+    def alone(lattice: str):
+        """log10 probability by segmentations alone."""
+        words = F.sum(F.coalesce("times", F.lit(1)) * F.col(lattice))
+        return (words + (F.max("n_tokens") - 1) * math.log1p(-model.end) + math.log(model.end)) / math.log(10)
+
     return joined.groupBy("row").agg(
         F.max("doc_id").alias(id_col),
         F.max("held_out").alias("held_out"),
@@ -287,4 +306,6 @@ def score_documents(
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.max("base") + F.coalesce(F.sum(F.col("times") * F.log10(n + 1)), F.lit(0.0))).alias("base_score"),
         (F.max("score") + F.coalesce(F.sum(F.col("times") * log_p / math.log(10)), F.lit(0.0))).alias("score"),
+        alone("lattice").alias("lattice_score"),
+        alone("vocabulary").alias("vocabulary_score"),
     ).drop("row")

@@ -101,3 +101,59 @@ def test_refit_beats_the_vocabulary_alone(documents):
     )
     assert sum(two.values()) > sum(zero.values())
     assert len(load_pieces(PATH).spelled) > 30000
+
+
+def ways(word, spelled):
+    """All segmentations of a word, as lists of piece numbers."""
+    by_start = {True: {}, False: {}}
+    for number, (begins, b) in enumerate(spelled):
+        by_start[begins].setdefault(b, []).append(number)
+
+    def rest(at, start):
+        if at == len(word) and not start:
+            yield []
+        for end in range(at if start else at + 1, len(word) + 1):
+            for number in by_start[start].get(word[at:end], []):
+                for onward in rest(end, False):
+                    yield [number, *onward]
+
+    return list(rest(0, True))
+
+
+@pytest.mark.parametrize("head", [1, 1 << 20])
+def test_whole_scores_against_all_segmentations(make_docs, head):
+    """Expectation maximisation and all three scores, from lists of every segmentation."""
+    docs = [(0, "the cat sat"), (1, "The dog the"), (2, "a cat é"), (3, "sat on a on"), (5, ""), (8, "zebra the a"), (None, "dog dogs")]
+    docs += [(i, "the unseen cats a") for i in range(9, 30) if fold(i)]
+    split = [(i, t.encode().lower().split()) for i, t in docs]
+    train = [words for i, words in split if not fold(i)]
+    counts, n_ends = Counter(w for words in train for w in words), len(train)
+    total = sum(counts.values())
+    existing = load_pieces(PATH)
+    listed = {w: ways(w, existing.spelled) for _, words in split for w in words}
+    own = p = np.exp(existing.logp)
+
+    def lattice(word, p):
+        return sum(math.prod(p[x] for x in way) for way in listed[word])
+
+    for _ in range(2):
+        use = 1000.0 * own
+        for word in counts:
+            for way in listed[word]:
+                part = math.prod(p[x] for x in way) / lattice(word, p)
+                for x in way:
+                    use[x] += part
+        p = use / use.sum()
+    share = 1 - sum(c == 1 for c in counts.values()) / total
+    end = (n_ends + 1) / (total + n_ends + 2)
+
+    def text(words, chance):
+        return sum(math.log10((1 - end) * chance(w)) for w in words) + math.log10(end)
+
+    expected = sorted((i if i is not None else -1, *(text(words, chance) for chance in (
+        lambda w: share * counts[w] / total + (1 - share) * lattice(w, p), lambda w: lattice(w, p), lambda w: lattice(w, own),
+    ))) for i, words in split)
+    rows = score_documents(make_docs(docs), PATH, head=head).collect()
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.score, r.lattice_score, r.vocabulary_score) for r in rows)
+    assert [g[0] for g in got] == [e[0] for e in expected] and any(fold(i) for i, _ in docs)
+    assert np.allclose([g[1:] for g in got], [e[1:] for e in expected], atol=1e-6)
