@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks.listings import RAW_COLUMNS, clean, derived_clean, raw, table, with_steps
 from checks.registry import query
 from tablefit import listing
+from tablefit.operators.filters import keep_range
 from tablefit.operators.summary import group_count, reconcile_values
 from tablefit.plans.convert import convert_csv
 from tablefit.sources.csv import read_text_csv, with_source_file
@@ -120,6 +121,17 @@ def scan_partitioned(spark, sf_dir):
     )
 
 
+@query(with_steps("clean", """
+SELECT * FROM clean WHERE price BETWEEN 50 AND 200 AND accommodates BETWEEN 2 AND 4 AND snapshot_year >= 1995
+"""))
+def scan_clustered(spark, sf_dir):
+    """A table laid out by price, guests and year, and read back by ranges of all three."""
+    path = shared_path(spark, "scan_clustered")
+    write_table(derived_clean(spark, sf_dir), path, cluster_by=["price", "accommodates", "snapshot_year"])
+    rows = keep_range(read_table(spark, path), "price", 50, 200)
+    return keep_range(rows, "accommodates", 2, 4).filter(F.col("snapshot_year") >= 1995)
+
+
 @query("""
 SELECT o_orderstatus, COUNT(*) AS total, MIN(o_orderdate) AS first_order FROM orders
 WHERE o_totalprice BETWEEN 50000 AND 400000 GROUP BY o_orderstatus

@@ -10,6 +10,7 @@ from contextvars import ContextVar
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+from tablefit.sources.layout import clustered
 
 # A method of more bytes than this is never compiled to machine code by the JVM.
 COMPILED_METHOD_BYTES = 8000
@@ -39,6 +40,7 @@ def write_table(
     rebalance: bool = False,
     observed: Sequence[Column] = (),
     unwritten: Sequence[str] = (),
+    cluster_by: Sequence[str] = (),
 ) -> Mapping[str, object]:
     """Overwrite `path` with snappy Parquet.
 
@@ -47,7 +49,9 @@ def write_table(
     Otherwise rows stay in the tasks they are in, except that a partitioned
     table is always rebalanced on its partition columns: each value lands in
     few files, and Spark splits a value that holds a large part of all rows
-    over several tasks.
+    over several tasks.  With `cluster_by` rows close in all those columns are
+    written close together, so that filters on any of them skip row groups (see
+    `layout.clustered`); it goes with `partitions`, not with `partition_by`.
 
     Named aggregates in `observed` are computed by the write itself and
     returned.  They sit behind the shuffle, in the tasks that write, so a
@@ -55,7 +59,11 @@ def write_table(
     there for them alone.
     """
     by = list(partition_by)
-    if partitions is not None:
+    if cluster_by:
+        if by:
+            raise ValueError("a table is either partitioned or clustered")
+        df = clustered(df, cluster_by, partitions)
+    elif partitions is not None:
         df = df.repartition(partitions)
     elif by or rebalance:
         df = df.hint("rebalance", *by)
