@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablefit.llm.batches import Links
 from tablefit.llm.columns import kept
+from tablefit.llm.skewed import meet
 
 
 def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -20,22 +21,25 @@ def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from links.batches()
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _least(rows: DataFrame) -> DataFrame:
+    """(u, m, d): the least v of each u in (u, v), and its number of rows; tasks hand on one row a node."""
+    return kept(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")), "least")
+
+
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
         links.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(
-        F.col("u").alias("w"), F.least("u", "m").alias("m")
-    )
-    return both.where("v > u").join(least, F.col("u") == F.col("w")).select(
+    least = _least(both).withColumn("m", F.least("u", "m"))
+    return meet(both.where("v > u"), least, ["u"], "d", 2 * total).select(
         F.col("v").alias("a"), F.col("m").alias("b")
     ).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    to_least = down.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where("v > m")
+    least = _least(down)
+    to_least = meet(down, least, ["u"], "d", total).where("v > m")
     return to_least.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
         least.select(F.col("u").alias("a"), F.col("m").alias("b"))
     ).distinct()
@@ -45,12 +49,14 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): every node of the links (a, b: long), with the smallest node that it reaches.
 
     Each round reads a written table.  The number of rounds follows the
-    logarithm of the longest chain; a hub's links combine before the shuffle.
+    logarithm of the longest chain.  A hub's links combine before the shuffle,
+    and meet their least neighbour without one.
     """
     links = kept(links.mapInArrow(spanning, "a long, b long"), "links")
     before = None
     while True:
-        links = kept(_small_star(_large_star(links)), "links")
+        links = kept(_large_star(links, links.count()), "links")
+        links = kept(_small_star(links, links.count()), "links")
         state = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before or not state[0]:
             break

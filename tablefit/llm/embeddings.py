@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from tablefit.llm.batches import Links, whole_runs
 from tablefit.llm.columns import kept
 from tablefit.llm.components import components
+from tablefit.llm.skewed import meet
 
 PASSES = 12
 BITS = 48
@@ -237,8 +238,9 @@ def embedding_groups(
     found = classes.select("label", "width", "rep", "vec").mapInArrow(hashed(passes, seed), schema)
     links = window_links(found.repartitionByRange(*order).sortWithinPartitions(*order), least, window)
     reached = kept(components(links), "vector-components").withColumnRenamed("node", "rep")
-    sizes = reached.groupBy("root").agg(F.count("*").alias("size"))
-    members = classes.join(reached, "rep").join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    sizes = reached.groupBy("root").agg(F.count("*").alias("size")).withColumn("d", F.col("size"))
+    sized = meet(reached, sizes, ["root"], "d", reached.count())
+    members = classes.join(sized, "rep").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
     members = members.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")))
     paired = (
         members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

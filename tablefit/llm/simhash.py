@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from tablefit.llm.batches import Links, text_slices, whole_runs
 from tablefit.llm.columns import kept, texts
 from tablefit.llm.components import components
+from tablefit.llm.skewed import meet
 
 SEED = 42
 BLOCK = 2048
@@ -187,8 +188,9 @@ def simhash_groups(
         distinct.join(reached, "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root")),
         "simhash-roots",
     )
-    least = rooted.groupBy("root").agg(F.min("lead").alias("component_id"))
-    return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(
+    least = rooted.groupBy("root").agg(F.min("lead").alias("component_id"), F.count("*").alias("d"))
+    grouped = meet(rooted, least, ["root"], "d", rooted.count())
+    return marked.join(grouped.select("fp", "component_id"), "fp").select(
         F.col("doc_id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
