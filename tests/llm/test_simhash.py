@@ -4,11 +4,9 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from tablefit.llm import simhash
 from tablefit.llm.components import components
-from tablefit.llm.skewed import HEAVY, meet
 from tablefit.llm.simhash import simhash_groups
 
 
@@ -88,24 +86,3 @@ def test_chain_and_star(spark):
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}}
     assert components(links.limit(0)).count() == 0
-
-
-def test_hub_of_a_million_links(spark):
-    """No task gets a large part of the rows that are dealt by node."""
-    n = 1_000_000
-    hub = spark.range(1, n + 1).selectExpr("id as a", "0L as b")
-    others = spark.range(50_000).selectExpr(f"{2 * n} + id as a", f"{2 * n} + id div 10 as b")
-    links = hub.union(others)
-    for rows, least_of in (("a > b", "b"), ("a > b", "a")):
-        by_node = links.where(rows).selectExpr(f"{least_of} as u", f"{'a' if least_of == 'b' else 'b'} as v")
-        least = by_node.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
-        plan = meet(by_node, least, ["u"], "d", by_node.count())
-        assert plan.count() == by_node.count()
-        large = least.where(F.col("d") * HEAVY > by_node.count())
-        assert large.count() < HEAVY
-        assert by_node.join(large, "u", "left_anti").groupBy("u").count().agg(F.max("count")).first()[0] <= n // 1000
-    roots = components(links)
-    assert roots.where("node <= 1000000 and root != 0").count() == 0
-    assert roots.where("node <= 1000000").count() == n + 1
-    # ids whose quotient by ten is taken again and again end at the least
-    assert roots.where("node >= 2000000").select("root").distinct().collect() == [(2 * n,)]
