@@ -125,3 +125,23 @@ def test_month_column_goes_before_the_date(spark):
     rows = clean_table(df, listing.LISTING_CLEAN, "f").collect()
     found = {r.listing_id: (r.snapshot_year, r.snapshot_month) for r in rows}
     assert found == {"1": (2020.0, 7.0), "2": (2020.0, 3.0), "3": (None, None), "4": (None, 5.0)}
+
+
+def test_text_of_a_number_is_parsed_once(spark):
+    df = spark.createDataFrame([("1", "Shared room", "2.5", "$3")], "id string, room_type string, beds string, price string")
+    cleaned = clean_table(df, listing.LISTING_CLEAN, "f")
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("as double)") == 2
+    row = cleaned.first()
+    assert (row.beds, row.price) == (2.5, 3.0)
+
+
+def test_text_that_cannot_be_a_number_is_not_parsed(spark):
+    """The first character says what the parser would: same values as by the parser alone, of any text."""
+    starts = ["", " ", "\t", "\x00", "\x0b", "\u00a0", "+", "-", ".", ",", "/", "0", "9", ":", "(", "$", "x", "i", "N", "\u0663"]
+    cells = [a + b for a in starts for b in ["", "5", " 5 ", "1e3", ".5", "5d", "0x1p3", "inf", "NaN", "two"]]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    plain = clean.finite(F.nullif(F.trim("c"), F.lit("")).try_cast("double"))
+    rows = df.select("c", clean.number(df, "c").alias("a"), plain.alias("b"), clean.parsed(F.col("c")).alias("p")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and any(r.a is not None for r in rows)
+    assert all(r.p is None for r in rows if r.c[:1] in ("(", "$", "x", "i", "N"))

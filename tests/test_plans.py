@@ -12,6 +12,7 @@ from tablefit.operators import evaluate, summary
 from tablefit.operators.grouping import Group, TopNGrouper
 from tablefit.plans.clean_table import clean_table
 from tablefit.plans.feature_table import build_features
+from tablefit.sources.tables import COMPILED_METHOD_BYTES
 
 SF_DIR = "/root/testdata/sf0.001"
 LAZY = """
@@ -101,3 +102,14 @@ def test_levels_are_cut_before_they_meet(spark):
     counts = spark.range(5).selectExpr("'c' AS column", "string(id) AS level", "id AS n")
     grouper = TopNGrouper([Group("c", 2, "a")])
     assert "TakeOrderedAndProject(limit=2" in _plan(grouper._most_frequent(counts, grouper.groups[0]))
+
+
+@pytest.mark.parametrize("name", ["hash_split", "verify_write"])
+def test_queries_compile_their_wide_projections(spark, name):
+    limit, before = "spark.sql.codegen.hugeMethodLimit", spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    try:
+        spark.conf.set(limit, 65535)
+        entry_module.queries()[name](spark, SF_DIR)
+        assert int(spark.conf.get(limit)) == COMPILED_METHOD_BYTES
+    finally:
+        spark.conf.set(limit, before)
