@@ -89,3 +89,17 @@ def test_edge_cases(spark, table, tmp_path):
         write_table(odd, str(tmp_path / "both"), partition_by=["key"], cluster_by=["x"])
     publish_table(table, str(tmp_path / "published"), cluster_by=["x", "d"])
     assert read_published(spark, str(tmp_path / "published")).count() == 40_000
+
+
+def test_rows_are_made_once(spark, tmp_path):
+    """Quantiles, ranges and the write itself read a kept table, not the input's own steps again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        made.add(1)
+        return x
+
+    rows = spark.range(1000).select("id", F.udf(count, "long")("id").alias("x"))
+    write_table(rows, str(tmp_path / "out"), partitions=4, cluster_by=["x"])
+    assert made.value == 1000
+    assert _rows(read_table(spark, str(tmp_path / "out"))) == _rows(spark.range(1000).selectExpr("id", "id AS x"))
