@@ -27,7 +27,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(
         F.col("u").alias("w"), F.least("u", "m").alias("m")
     )
-    return both.where("v > u").join(least, F.col("u") == F.col("w")).select(
+    return both.where("v > u").join(least.hint("merge"), F.col("u") == F.col("w")).select(
         F.col("v").alias("a"), F.col("m").alias("b")
     ).distinct()
 
@@ -35,7 +35,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    to_least = down.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where("v > m")
+    to_least = down.join(least.withColumnRenamed("u", "w").hint("merge"), F.col("u") == F.col("w")).where("v > m")
     return to_least.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
         least.select(F.col("u").alias("a"), F.col("m").alias("b"))
     ).distinct()
@@ -46,6 +46,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round reads a written table.  The number of rounds follows the
     logarithm of the longest chain; a hub's links combine before the shuffle.
+    Joins are by shuffles at every size: a table of nodes that is broadcast is
+    gathered by the driver, several at once, and grows with the input.
     """
     links = kept(links.mapInArrow(spanning, "a long, b long"), "links")
     before = None

@@ -10,6 +10,9 @@ Equal fingerprints are one node from the start, so copies cost one row each.
 Keys that many fingerprints share are compared block against block over several
 tasks, and tasks return spanning links, not pairs.
 
+Tables of fingerprints and ids meet by shuffles at every size; none is broadcast,
+so that the driver holds no part of them.
+
 Defined cases: a null or blank text has no word and fingerprint 0, which links
 like any other.  Fewer words than a shingle: the whole sequence is one.  Rows
 that repeat an id are fingerprinted apart; null ids take part and are never
@@ -156,7 +159,7 @@ def near_links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     index = distinct.select("fp").mapInArrow(index_rows(max_bits), "segment int, key long, fp long")
     shared = index.groupBy("segment", "key").agg(F.count("*").alias("n")).where("n > 1")
     # A key of n fingerprints is dealt to n / BLOCK blocks by a hash of the fingerprint.
-    rows = index.join(shared, ["segment", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn(
+    rows = index.join(shared.hint("merge"), ["segment", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn(
         "block", F.pmod(F.xxhash64("fp"), F.col("blocks"))
     )
     within = rows.repartition("segment", "key", "block").sortWithinPartitions("segment", "key", "block")
@@ -184,11 +187,12 @@ def simhash_groups(
     distinct = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("lead")), "simhash-distinct")
     reached = components(near_links(distinct, max_bits)).withColumnRenamed("node", "fp")
     rooted = kept(
-        distinct.join(reached, "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root")),
+        distinct.join(reached.hint("merge"), "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root")),
         "simhash-roots",
     )
     least = rooted.groupBy("root").agg(F.min("lead").alias("component_id"))
-    return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(
+    named = rooted.join(least.hint("merge"), "root").select("fp", "component_id")
+    return marked.join(named.hint("merge"), "fp").select(
         F.col("doc_id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -204,7 +208,7 @@ def leave_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> Dat
     gone = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(
         F.max(F.col(id_col) == F.col("component_id")).alias("stays")
     ).where("not stays")
-    return docs.join(gone.select(id_col), id_col, "left_anti").select(*docs.columns)
+    return docs.join(gone.select(id_col).hint("merge"), id_col, "left_anti").select(*docs.columns)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, max_bits: int = 4) -> DataFrame:

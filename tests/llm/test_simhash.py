@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from tablefit.llm import simhash
-from tablefit.llm.components import components
+from tablefit.llm.components import _large_star, _small_star, components
 from tablefit.llm.simhash import simhash_groups
 
 
@@ -86,3 +86,21 @@ def test_chain_and_star(spark):
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}}
     assert components(links.limit(0)).count() == 0
+
+
+def test_no_table_is_broadcast(spark, make_docs):
+    """Tables that grow with the input do not pass through the driver, even where Spark takes them for small."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    docs = make_docs([(i, f"text number {i // 2} of a few") for i in range(20)])
+    try:
+        spark.conf.set(limit, str(1 << 40))
+        links = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+        prints = spark.createDataFrame([(1,), (3,)], "fp long")
+        groups = simhash_groups(docs)
+        joined = [simhash.near_links(prints), _large_star(links), _small_star(links), groups, simhash.leave_one(docs, groups)]
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in joined]
+        assert all("SortMergeJoin" in plan and "Broadcast" not in plan for plan in plans)
+    finally:
+        spark.conf.set(limit, before)
+    assert simhash.leave_one(docs, groups).count() == groups.where("doc_id = component_id").count() == 10
