@@ -1,8 +1,8 @@
 """Fitted trees as a table of nodes, and rows routed through it.
 
 `tree_nodes` reads what a fitted tree or forest saves, a row per node.  `route`
-sends rows through such a table by one expression: the nodes are one constant of
-the plan, so no row moves.  `node_facts` gathers what reaches each node, so that
+sends rows through such a table by one expression that holds the nodes: batches
+of rows go down each tree as arrays, and no row moves to another task.  `node_facts` gathers what reaches each node, so that
 counts, means, impurities and gains are known for any rows, the ones fitted on
 or others.
 
@@ -14,13 +14,15 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablefit.sources.tables import read_table, shared_path
 
-_NODES = "array<array<struct<feature:int,cut:double,choices:array<double>,left:int,right:int,prediction:double>>>"
+_ROUTES = "array<struct<path:array<int>,prediction:double>>"
 
 
 def tree_nodes(spark: SparkSession, model: Model) -> DataFrame:
@@ -56,49 +58,92 @@ def tree_nodes(spark: SparkSession, model: Model) -> DataFrame:
     )
 
 
-def _steps(nodes: list[dict]) -> int:
-    """The most steps from the root of a tree to a leaf."""
-    steps, level = 0, [nodes[0]]
-    while level := [nodes[n[side]] for n in level if n["left"] >= 0 for side in ("left", "right")]:
-        steps += 1
-    return steps
+class _Tree:
+    """The nodes of one tree as arrays by node; a leaf is its own child, so rows stay there."""
+
+    def __init__(self, nodes: list[dict]):
+        at = np.arange(len(nodes))
+
+        def column(name: str, missing: float, kind: type) -> np.ndarray:
+            found = (n.get(name) for n in nodes)
+            return np.array([missing if v is None else float(v) for v in found]).astype(kind)
+
+        inner = column("left", -1, np.int32) >= 0
+        self.left = np.where(inner, column("left", -1, np.int32), at).astype(np.int32)
+        self.right = np.where(inner, column("right", -1, np.int32), at).astype(np.int32)
+        self.feature = column("feature", 0, np.int64)
+        self.cut = column("cut", np.nan, np.float64)
+        self.prediction = column("prediction", np.nan, np.float64)
+        choices = [[float(v) for v in n.get("choices") or ()] for n in nodes]
+        # the values that any node chooses by, and which of them each node sends left
+        self.known = np.unique(np.array([v for own in choices for v in own], np.float64))
+        self.chosen = np.array([np.isin(self.known, own) for own in choices]).reshape(len(nodes), len(self.known))
+        self.steps, level = 0, [0]
+        while level := [int(c) for i in level if inner[i] for c in (self.left[i], self.right[i])]:
+            self.steps += 1
+
+    def paths(self, x: np.ndarray) -> np.ndarray:
+        """The nodes of each row of `x`, a column per step; NaN is below no cut and in no choice, and the last
+        column of `x` is NaN for features that the rows lack."""
+        rows, at = np.arange(len(x)), np.zeros(len(x), np.int32)
+        path = [at]
+        for _ in range(self.steps):
+            value = x[rows, np.minimum(self.feature[at], x.shape[1] - 1)]
+            goes_left = value <= self.cut[at]
+            if len(self.known):
+                place = np.minimum(np.searchsorted(self.known, value), len(self.known) - 1)
+                goes_left |= (self.known[place] == value) & self.chosen[at, place]
+            at = np.where(goes_left, self.left[at], self.right[at])
+            path.append(at)
+        return np.stack(path, axis=1)
+
+
+def _matrix(values: pa.Array) -> np.ndarray:
+    """Arrays of doubles as rows of a matrix, NaN where a value or an array is null or short, and one more column of NaN."""
+    lengths = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    x = np.full((len(values), lengths.max(initial=0) + 1), np.nan)
+    # flatten leaves null arrays out
+    x[np.arange(x.shape[1]) < lengths[:, None]] = values.flatten().to_numpy(zero_copy_only=False)
+    return x
+
+
+def _routes(trees: list[_Tree], values: pa.Array) -> pa.Array:
+    x = _matrix(values)
+    steps = max(t.steps for t in trees)
+    paths = np.empty((len(x), len(trees), steps + 1), np.int32)
+    said = np.empty((len(x), len(trees)))
+    for i, tree in enumerate(trees):
+        path = tree.paths(x)
+        paths[:, i, : path.shape[1]] = path
+        paths[:, i, path.shape[1] :] = path[:, -1:]
+        said[:, i] = tree.prediction[path[:, -1]]
+    # a path ends where it stays
+    new = np.ones(paths.shape, bool)
+    new[:, :, 1:] = paths[:, :, 1:] != paths[:, :, :-1]
+    ends = np.concatenate([[0], np.cumsum(new.sum(axis=2).ravel())]).astype(np.int32)
+    listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(paths[new]))
+    each = pa.StructArray.from_arrays([listed, pa.array(said.ravel())], ["path", "prediction"])
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(trees)), each)
 
 
 def route(nodes: DataFrame, values: str | Column) -> Column:
     """Per tree a struct (path, prediction): the nodes that a row passes, root first, and what its leaf says.
 
     `values` is an array of doubles, by place of the feature.  A null value is
-    in no choice and below no cut, so it goes right.
+    in no choice and below no cut, so it goes right.  A batch of rows goes down
+    a tree together, a step at a time.
     """
     names = ("feature", "cut", "choices", "left", "right", "prediction")
     node = F.struct("node", *names)
     found = nodes.groupBy("tree").agg(F.to_json(F.sort_array(F.collect_list(node))).alias("nodes")).orderBy("tree")
-    trees = [json.loads(r.nodes) for r in found.collect()]
-    steps = max(map(_steps, trees))
-    model = F.from_json(F.lit(json.dumps(trees)), _NODES)
-    values = F.col(values) if isinstance(values, str) else values
-
-    def passed(tree: Column) -> Column:
-        if not steps:
-            return F.array(F.lit(0)).cast("array<int>")
-
-        def onward(path: Column, _: Column) -> Column:
-            here = F.get(tree, F.element_at(path, -1))
-            value = F.get(values, here["feature"])
-            goes_left = F.coalesce(value <= here["cut"], F.array_contains(here["choices"], value), F.lit(False))
-            child = F.when(goes_left, here["left"]).otherwise(here["right"])
-            return F.when(here["left"] < 0, path).otherwise(F.concat(path, F.array(child))).cast("array<int>")
+    trees = [_Tree(json.loads(r.nodes)) for r in found.collect()]
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array(F.lit(0)).cast("array<int>"), onward)
+    @F.arrow_udf(_ROUTES)
+    def routed(batch: pa.Array) -> pa.Array:
+        return _routes(trees, batch)
 
-    def routed(tree: Column) -> Column:
-        # the path is found once, then used twice
-        ends = F.transform(F.array(passed(tree)), lambda path: F.struct(
-            path.alias("path"), F.get(tree, F.element_at(path, -1))["prediction"].alias("prediction")
-        ))
-        return F.get(ends, F.lit(0))
-
-    return F.transform(model, routed)
+    values = F.col(values) if isinstance(values, str) else values
+    return routed(values.cast("array<double>"))
 
 
 def average(routes: str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model, PipelineModel
@@ -65,18 +66,18 @@ def train_and_compare(
     `max_levels` bounds the levels of a category (see `LevelIndexer`).
 
     Features and training vectors are read many times by the fits, so both are
-    written to the shared folder first, the vectors unscaled; a lost executor
-    then costs a read.  Both go at the end; the predictions stay.
+    written to the shared folder first, the vectors unscaled; the scaler is fitted
+    on them as written, and a lost executor costs a read.  Both go at the end; the predictions stay.
     """
     with stored(features, "features") as rows:
         train, test = split(rows, key, ratio, seed, group_key)
         fitted_on = sample_n(train, key, max_train_rows, seed)
-        preparation = prep.build(spec, rel_error, max_levels).fit(fitted_on)
-        *earlier, scaler = preparation.stages
-        raw = PipelineModel(earlier).transform(fitted_on).select(spec.label, "features_raw")
-        with stored(raw, "train") as vectors:
-            vectors = vectors.withMetadata("features_raw", raw.schema["features_raw"].metadata)
-            scaled = scaler.transform(vectors)
+        with ExitStack() as kept:
+            preparation, vectors = prep.fit_on_kept(
+                prep.build(spec, rel_error, max_levels), fitted_on, [spec.label],
+                lambda raw: kept.enter_context(stored(raw, "train")),
+            )
+            scaled = preparation.stages[-1].transform(vectors)
             width = prep.width(scaled, "features_raw")
             fitted = models.fit_all(scaled, estimators or models.regressors(spec.label, seed))
         columns = {name: models.prediction_column(name) for name in fitted}

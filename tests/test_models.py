@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tablefit.operators import evaluate, models, prep
 from tablefit.operators.sampling import split
 from tablefit.plans.price_model import train_and_compare
+from tablefit.sources.tables import written
 from tablefit.specs import FeatureSpec
 
 
@@ -265,3 +266,15 @@ def test_wide_levels_stay_a_table(spark, monkeypatch):
     found = stages.fit(rows).transform(unseen)
     assert found.columns == ["wide", "few", "id", "wide_index", "few_index", "wide_encoded", "few_encoded"]
     assert found.orderBy("id").collect() == expected
+
+
+def test_scaler_is_fitted_on_the_kept_vectors(spark, rows):
+    """The same preparation as by the pipeline's own fit, with one pass that makes vectors."""
+    kept = []
+    model, vectors = prep.fit_on_kept(prep.build(SPEC), rows, ["price"], lambda raw: kept.append(raw) or written(raw, "vectors"))
+    plain = prep.build(SPEC).fit(rows)
+    assert len(kept) == 1 and vectors.columns == ["price", "features_raw"]
+    assert vectors.schema["features_raw"].metadata == kept[0].schema["features_raw"].metadata
+    assert np.allclose(model.stages[-1].std.toArray(), plain.stages[-1].std.toArray(), rtol=1e-12)
+    ours, theirs = ([r.features for r in m.transform(rows).orderBy("key").collect()] for m in (model, plain))
+    assert all(np.allclose(a.toArray(), b.toArray(), rtol=1e-12) for a, b in zip(ours, theirs))

@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tablefit.operators import quantiles
 from tablefit.operators.quantiles import exact_quantiles, order_statistic
 from tablefit.operators.summary import distribution
 
@@ -94,3 +95,30 @@ def test_approximate_percentiles_are_within_their_bound(spark):
     exact = distribution(df, "x", exact=True).first()
     assert (exact.p25, exact.median, exact.p75) == (12499.0, 24999.0, 37499.0)
     assert row.total == exact.total == 50_000
+
+
+@pytest.mark.parametrize("shape", ["even", "skewed", "few"])
+def test_approximate_quantiles_keep_their_rank_error(spark, monkeypatch, shape):
+    """Many blocks a task and many tasks; nulls, NaN and a column without values count in nothing."""
+    monkeypatch.setattr(quantiles, "BLOCK_ROWS", 10_000)
+    i = F.col("id")
+    x = {"even": (i * 7919 % 120_011).cast("double"), "skewed": F.exp((i * 7919 % 1009) / 20.0) * F.when(i % 3 == 0, -1).otherwise(1),
+         "few": F.when(i % 10 < 6, 1.0).otherwise((i % 7).cast("double"))}[shape]
+    df = spark.range(120_000).select(
+        F.when(i % 11 == 0, None).when(i % 13 == 0, float("nan")).otherwise(x).alias("x"), F.lit(None).cast("double").alias("gone"),
+    ).repartition(3)
+    shares, error = [0.0, 0.01, 0.5, 0.93, 1.0], 0.01
+    found = quantiles.approximate_quantiles(df, ["x", "gone"], shares, error)
+    assert found["gone"] == [None] * len(shares)
+    values = np.sort(np.array([r.x for r in df.where("x is not null and not isnan(x)").collect()]))
+    for share, value in zip(shares, found["x"]):
+        below, upto = np.searchsorted(values, value, "left"), np.searchsorted(values, value, "right")
+        assert upto > below and below <= (share + error) * len(values) and upto >= (share - error) * len(values)
+
+
+def test_approximate_quantiles_of_few_rows_are_exact(spark):
+    values = [5.0, -math.inf, 2.0, math.inf, 0.0, -0.5, 2.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(4)
+    found = quantiles.approximate_quantiles(df, ["x"], PROBS, 0.001)["x"]
+    assert found == exact_quantiles(df, {"x": PROBS})["x"]
+    assert quantiles.approximate_quantiles(df.limit(0), ["x"], [0.5], 0.001) == {"x": [None]}

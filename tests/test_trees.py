@@ -76,3 +76,39 @@ def test_single_leaf_and_missing_values(spark, vectors):
         at = by_node[at].right
     lost = spark.createDataFrame([([None] * 5,), (None,)], "x array<double>").select(route(nodes, "x").alias("routes"))
     assert {r.routes[0].path[-1] for r in lost.collect()} == {at}
+
+
+def test_routes_are_those_of_a_walk_row_by_row(spark):
+    """Trees of different depths, arrays of different lengths, choices, nulls, NaN and infinities."""
+    shape = "tree int, node int, feature int, cut double, choices array<double>, left int, right int, prediction double"
+    rows = [
+        (0, 0, 0, 0.1 + 0.2, None, 1, 2, 5.0), (0, 1, 2, None, [0.0, 2.0], 3, 4, 4.0), (0, 2, None, None, None, -1, -1, 1.5),
+        (0, 3, None, None, None, -1, -1, -0.0), (0, 4, 7, -1.0, None, 5, 6, 2.0), (0, 5, None, None, None, -1, -1, 8.0),
+        (0, 6, None, None, None, -1, -1, 9.0), (1, 0, None, None, None, -1, -1, 0.25),
+    ]
+    nodes = spark.createDataFrame(rows, shape)
+    inf, nan = float("inf"), float("nan")
+    given = [None, [], [None, 1.0, 2.0], [0.1 + 0.2, 0.0, 2.0], [0.3, 0.0, 1.0], [-inf, 0.0, -0.0], [nan, 0.0, 0.0],
+             [inf, 0.0, 0.0], [0.0, 0.0, nan], [0.0, 0.0, None], [0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, -1.0]] * 3
+    by_node = {r[:2]: r for r in rows}
+
+    def walked(tree, x):
+        path = [0]
+        while by_node[tree, path[-1]][5] >= 0:
+            _, _, feature, cut, choices, left, right, _ = by_node[tree, path[-1]]
+            value = x[feature] if x is not None and feature < len(x) else None
+            below = value is not None and (value in choices if choices else value <= cut)
+            path.append(left if below else right)
+        return path, by_node[tree, path[-1]][7]
+
+    df = spark.createDataFrame(list(enumerate(given)), "id int, x array<double>").repartition(2)
+    found = df.select("id", route(nodes, "x").alias("routes"))
+    assert found.schema["routes"].dataType.simpleString() == "array<struct<path:array<int>,prediction:double>>"
+    for r in found.collect():
+        assert [(t.path, t.prediction) for t in r.routes] == [walked(tree, given[r.id]) for tree in (0, 1)]
+
+
+def test_routing_runs_no_expression_row_by_row(spark, vectors):
+    nodes = tree_nodes(spark, models.tree("price", depth=3).fit(vectors))
+    plan = vectors.select(route(nodes, "x"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan
