@@ -14,7 +14,7 @@ from tablefit.sources.records import read_split_csv
 from tablefit.sources.tables import read_table, write_table
 from tablefit.specs import CleanSpec
 
-MALFORMED = "_malformed"
+MALFORMED, DIGEST = "_malformed", "_digest"
 
 
 def convert_csv(
@@ -52,9 +52,14 @@ def convert_csv(
     ]
     clean = clean_table(raw, spec, carry=[MALFORMED])
     names = [c for c in clean.columns if c != MALFORMED and c not in partition_by]
-    sums = [F.sum(F.when(F.col(key) == v, row_digest(names))).alias(f"d{i}") for i, v in enumerate(values)] if digest else []
+    sums, unwritten = [], [MALFORMED]
+    if digest:
+        # a column of its own, as observed aggregates are not compiled
+        clean = clean.withColumn(DIGEST, row_digest(names))
+        sums = [F.sum(F.when(F.col(key) == v, F.col(DIGEST))).alias(f"d{i}") for i, v in enumerate(values)]
+        unwritten.append(DIGEST)
     counts = write_table(
-        clean, target, partitions, partition_by, True, [*per_value, *odd, *sums], [MALFORMED]
+        clean, target, partitions, partition_by, True, [*per_value, *odd, *sums], unwritten
     )
     before = {v: counts[f"n{i}"] for i, v in enumerate(values)}
     found = reconcile_counts(before, read_table(spark, target), key)
@@ -63,7 +68,9 @@ def convert_csv(
     if not digest:
         return found
     # a row per kept value on both sides
-    handed = spark.createDataFrame([(v, counts[f"d{i}"]) for i, v in enumerate(values)], f"{key} string, handed decimal(30,0)")
+    handed = spark.range(1).select(F.inline(F.array(*(
+        F.struct(F.lit(v).alias(key), F.lit(counts[f"d{i}"]).cast("decimal(30,0)").alias("handed")) for i, v in enumerate(values)
+    ))))
     read = value_digest(read_table(spark, target), key, names).select(key, "digest")
     return found.join(F.broadcast(handed), key, "left").join(read, key, "left").select(
         *found.columns, F.col("handed").eqNullSafe(F.col("digest")).alias("same_values")

@@ -10,6 +10,7 @@ from checks.listings import clean, feature_rows
 from tablefit import listing
 from tablefit.operators import evaluate, summary
 from tablefit.operators.grouping import Group, TopNGrouper
+from tablefit.plans import convert
 from tablefit.plans.clean_table import clean_table
 from tablefit.plans.feature_table import build_features
 from tablefit.sources.tables import COMPILED_METHOD_BYTES
@@ -113,3 +114,23 @@ def test_queries_compile_their_wide_projections(spark, name):
         assert int(spark.conf.get(limit)) == COMPILED_METHOD_BYTES
     finally:
         spark.conf.set(limit, before)
+
+
+def test_digest_is_a_compiled_column_that_is_not_written(spark, tmp_path, monkeypatch):
+    """Observed aggregates are interpreted: they add up the hash of a row, and do not make it."""
+    (tmp_path / "x.csv").write_text("id,room_type,price\n1,Private room,$5.00\n2,Private room,\n3,Hotel room,$7.00\n")
+    observed = []
+    plain = convert.write_table
+
+    def seen(df, path, partitions, by, rebalance, columns, unwritten):
+        observed.extend(str(c) for c in columns)
+        return plain(df, path, partitions, by, rebalance, columns, unwritten)
+
+    monkeypatch.setattr(convert, "write_table", seen)
+    found = convert.convert_csv(spark, str(tmp_path / "x.csv"), str(tmp_path / "out"), listing.LISTING_CLEAN, digest=True)
+    assert any("sum" in c for c in observed) and not any("xxhash64" in c for c in observed)
+    assert convert.DIGEST not in spark.read.parquet(str(tmp_path / "out")).columns
+    assert "ExistingRDD" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.room_type: (r.rows_after, r.same_values) for r in found.collect()} == {
+        "Private room": (2, True), "Hotel room": (1, True), "Entire home/apt": (0, True), "Shared room": (0, True),
+    }
