@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from tablefit.llm import simhash
-from tablefit.llm.components import _large_star, _small_star, components
+from tablefit.llm.components import _large_star, _small_star, _star_step, components
 from tablefit.llm.simhash import simhash_groups
 
 
@@ -104,3 +104,42 @@ def test_no_table_is_broadcast(spark, make_docs):
     finally:
         spark.conf.set(limit, before)
     assert simhash.leave_one(docs, groups).count() == groups.where("doc_id = component_id").count() == 10
+
+
+@pytest.mark.parametrize("batch", [3, 10000])
+def test_star_steps(spark, batch):
+    """Each step gives the links of its definition, none without need twice in a node, by one shuffle and one sort."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    rng = random.Random(5)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(60)] + [(7, i) for i in range(100, 160)]
+    links = spark.createDataFrame(pairs + pairs[:30], "a long, b long").repartition(3)
+    try:
+        spark.conf.set(size, str(batch))
+        for large, defined in ((True, _large_star), (False, _small_star)):
+            step = _star_step(links, large)
+            plan = step._jdf.queryExecution().executedPlan().toString()
+            assert not any(name in plan for name in ("Join", "Aggregate", "Broadcast"))
+            assert plan.count("Exchange hashpartitioning") == 1
+            got = [tuple(r) for r in step.collect()]
+            assert set(got) == {tuple(r) for r in defined(links.where("a != b")).collect()}
+            assert len(got) <= len(pairs) + 30
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_rounds_of_components_are_small(spark, monkeypatch):
+    """A round writes one table whose plan holds two sorts and no hash map."""
+    from tablefit.llm import components as module
+    plans = []
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    kept = module.kept
+    monkeypatch.setattr(module, "kept", noted)
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    assert {r.root for r in components(links).collect()} == {0}
+    assert len(plans) > 2
+    assert all(p.count("Sort [") == 2 and "Aggregate" not in p and "Join" not in p for p in plans[1:])
