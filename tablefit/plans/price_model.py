@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from tablefit.operators import models, prep
 from tablefit.operators.evaluate import compared_metrics, examples
-from tablefit.operators.sampling import sample_n, split
+from tablefit.operators.sampling import sample_n, split, split_kept
 from tablefit.plans.feature_table import build_features, filter_ranges, grouper
 from tablefit.sources.tables import stored, written
 from tablefit.specs import FeatureSpec
@@ -69,8 +69,10 @@ def train_and_compare(
     written to the shared folder first, the vectors unscaled; the scaler is fitted
     on them as written, and a lost executor costs a read.  Both go at the end; the predictions stay.
     """
-    with stored(features, "features") as rows:
-        train, test = split(rows, key, ratio, seed, group_key)
+    with ExitStack() as rows:
+        train, test = split_kept(
+            features, lambda made: rows.enter_context(stored(made, "features")), key, ratio, seed, group_key
+        )
         fitted_on = sample_n(train, key, max_train_rows, seed)
         with ExitStack() as kept:
             preparation, vectors = prep.fit_on_kept(

@@ -92,6 +92,11 @@ def test_currency_equals_the_regular_expression(spark):
     assert all(r.a == r.b for r in both.collect())
 
 
+def test_currency_drops_every_symbol(spark):
+    df = spark.createDataFrame([("$1,2$3,",), (" $,4.5,",), ("-$6",), ("$",), ("",), ("1.2.3",), (None,)], "c string")
+    assert [r[0] for r in df.select(clean.currency(df, "c")).collect()] == [123.0, 4.5, -6.0, None, None, None, None]
+
+
 @pytest.mark.parametrize(
     "columns",
     [["id", "room_type"], ["id", "room_type", "price", "month"], ["room_type", "unheard_of"]],

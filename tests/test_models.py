@@ -278,3 +278,15 @@ def test_scaler_is_fitted_on_the_kept_vectors(spark, rows):
     assert np.allclose(model.stages[-1].std.toArray(), plain.stages[-1].std.toArray(), rtol=1e-12)
     ours, theirs = ([r.features for r in m.transform(rows).orderBy("key").collect()] for m in (model, plain))
     assert all(np.allclose(a.toArray(), b.toArray(), rtol=1e-12) for a, b in zip(ours, theirs))
+
+
+def test_vectors_are_made_once_and_of_every_row(spark, rows, capsys):
+    """No filter makes the inputs a second time; rows with nulls, NaN and unseen levels are kept."""
+    model = prep.build(SPEC).fit(rows)
+    odd = spark.createDataFrame(
+        [("a", 1.0, None, None, math.nan, None), ("b", 2.0, "boat", math.nan, None, 1.0)], rows.schema
+    )
+    made = model.transform(odd)
+    assert [len(r.features_raw) for r in made.collect()] == [prep.width(made, "features_raw")] * 2
+    made.explain(True)
+    assert "atleastnnonnulls" not in capsys.readouterr().out.lower()

@@ -122,3 +122,13 @@ def test_approximate_quantiles_of_few_rows_are_exact(spark):
     found = quantiles.approximate_quantiles(df, ["x"], PROBS, 0.001)["x"]
     assert found == exact_quantiles(df, {"x": PROBS})["x"]
     assert quantiles.approximate_quantiles(df.limit(0), ["x"], [0.5], 0.001) == {"x": [None]}
+
+
+def test_approximate_quantiles_hand_python_one_column(spark, monkeypatch):
+    """However many columns are asked for: each one handed over is asked for its size after every row."""
+    df = spark.createDataFrame([(1.0, None, 5.0), (2.0, math.nan, 6.0), (3.0, 9.0, None)], "a double, b double, c double")
+    handed, run = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda df, *args: handed.append(df.columns) or run(df, *args))
+    found = quantiles.approximate_quantiles(df, ["a", "b", "c"], [0.5], 0.001)
+    assert [len(columns) for columns in handed] == [1]
+    assert found == {"a": [2.0], "b": [9.0], "c": [5.0]}

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablefit.functions.hashing import unit_hash
-from tablefit.operators.sampling import sample, sample_n, split
+from tablefit.operators.sampling import sample, sample_n, split, split_kept
+from tablefit.sources.tables import written
 
 
 @pytest.fixture(scope="module")
@@ -112,3 +113,15 @@ def test_rows_that_differ_only_in_where_their_nulls_are(spark):
         sorted(map(tuple, sample_n(df.repartition(n), "key", 10).collect()), key=repr) for n in (1, 3, 7)
     ]
     assert len(picks[0]) == 10 and picks[0] == picks[1] == picks[2]
+
+
+def test_split_kept_equals_split_and_hashes_no_key_again(table, capsys):
+    df = table.withColumn("in_train", F.lit("a column of its own"))
+    for key, group in (("key", None), (["key", "id"], "owner")):
+        sides = split_kept(df, lambda made: written(made, "sides"), key, 0.7, 3, group)
+        for ours, theirs in zip(sides, split(df, key, 0.7, 3, group)):
+            assert ours.columns == df.columns
+            assert sorted(ours.collect()) == sorted(theirs.collect())
+            capsys.readouterr()
+            ours.explain(True)
+            assert "md5" not in capsys.readouterr().out

@@ -136,6 +136,20 @@ def test_tune_changes_a_setting_only(spark):
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
 
 
+@pytest.mark.parametrize("before, tasks", [(None, 3), ("1", 3), ("1000000", None)])
+def test_tune_cuts_several_tasks_a_core(spark, before, tasks):
+    """A larger number that is set stays."""
+    for name in ("spark.sql.files.minPartitionNum", "spark.sql.adaptive.coalescePartitions.minPartitionNum"):
+        try:
+            spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+            tune(spark)
+            wanted = int(before) if tasks is None else tasks * spark.sparkContext.defaultParallelism
+            assert int(spark.conf.get(name)) == wanted
+        finally:
+            spark.conf.unset(name)
+            tune(spark)
+
+
 def test_convert(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
